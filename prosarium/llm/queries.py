@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .leakage import leaked_items
 from .pieces import split_elements, split_texts
+from .sentences import split_sentences
 from .tokens import encode_texts
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -28,5 +30,13 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "heldout_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_sentences(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_found, p8_found)}
 SQL: dict[str, str] = {}
