@@ -90,7 +90,7 @@ def metrics(c: Column) -> Column:
     held = lambda a: F.filter(a, lambda x: x.isNotNull())
     adj = lambda a: held(F.transform(pros, lambda t: F.rtrim(F.regexp_extract(t, rf'{a}="([^"]*)"', 1), F.lit("%")).try_cast("double")))
     total = F.size(tags("<[^/][^>]*>"))
-    times = held(F.transform(brk, lambda t: F.rtrim(F.regexp_extract(t, r'time="([^"]*)"', 1), F.lit("ms")).try_cast("int")))
+    times = held(F.transform(brk, lambda t: F.regexp_extract(F.rtrim(F.regexp_extract(t, r'time="([^"]*)"', 1), F.lit("ms")), r"^\s*([+-]?\d+)\s*$", 1).try_cast("int")))
     return F.struct(
         total.alias("total_tags"), F.size(pros).alias("prosody_count"), F.size(brk).alias("break_count"),
         adj("pitch").alias("pitch_adjustments"), adj("rate").alias("rate_adjustments"), adj("volume").alias("volume_adjustments"),

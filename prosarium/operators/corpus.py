@@ -70,26 +70,26 @@ def chunk_bounds(words: list[int], ends: list[bool], limit: int = 100, backtrack
     return out
 
 
-@vectorised("array<int>")
+@vectorised("array<struct<begin:int,size:int>>")
 def _bounds(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for w, e, limit, back in batches:
-        yield pd.Series([None if x is None else chunk_bounds([int(v) for v in x], [bool(v) for v in y], int(m), bool(k)) for x, y, m, k in zip(w, e, limit, back)])
-
-
-def chunk_sequence(seq: Column, limit: int = 100, backtrack: bool = True) -> Column:
-    """Array of sequences. Only word counts and sentence marks go through Python. Null for null."""
-    is_text = lambda e: F.coalesce(e["type"] == "text", F.lit(False))
-    words = F.transform(seq, lambda e: F.when(is_text(e), word_count(e["text"])).otherwise(0))
-    ends = F.transform(seq, lambda e: is_text(e) & F.coalesce(F.endswith(F.rtrim(e["text"]), F.lit(".")), F.lit(False)))
-    cuts = _bounds(words, ends, F.lit(limit), F.lit(backtrack))
-    return F.transform(cuts, lambda c, i: F.slice(seq, F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)) + 1, c - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1))))
+        out = []
+        for x, y, m, k in zip(w, e, limit, back):
+            cuts = chunk_bounds([int(v) for v in x], [bool(v) for v in y], int(m), bool(k)) if x is not None else []
+            out.append([{"begin": a, "size": b - a} for a, b in zip([0, *cuts], cuts)])
+        yield pd.Series(out)
 
 
 def chunk_rows(df: DataFrame, key: str, seq: str, limit: int = 100, backtrack: bool = True) -> DataFrame:
-    """One row per chunk: id ('key', or 'key_partN' if there are several), chunk_no, chunk."""
-    cut = df.withColumn("__c", chunk_sequence(F.col(seq), limit, backtrack)).select(key, F.size("__c").alias("__n"), F.posexplode("__c").alias("__i", "chunk"))
+    """One row per chunk: id ('key', or 'key_partN' if there are several), chunk_no, chunk. Null and empty
+    sequences have none. Only word counts and sentence marks go through Python, the elements stay in the JVM."""
+    is_text = lambda e: F.coalesce(e["type"] == "text", F.lit(False))
+    words = F.transform(F.col(seq), lambda e: F.when(is_text(e), word_count(e["text"])).otherwise(0))
+    ends = F.transform(F.col(seq), lambda e: is_text(e) & F.coalesce(F.endswith(F.rtrim(e["text"]), F.lit(".")), F.lit(False)))
+    cut = df.select(key, F.col(seq).alias("__s"), _bounds(words, ends, F.lit(limit), F.lit(backtrack)).alias("__c"))
+    rows = cut.select(key, "__s", F.size("__c").alias("__n"), F.posexplode("__c").alias("__i", "c"))
     name = F.when(F.col("__n") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_part"), (F.col("__i") + 1).cast("string")))
-    return cut.select(name.alias("id"), (F.col("__i") + 1).alias("chunk_no"), "chunk")
+    return rows.select(name.alias("id"), (F.col("__i") + 1).alias("chunk_no"), F.slice("__s", F.col("c.begin") + 1, F.col("c.size")).alias("chunk"))
 
 
 def segment_samples(df: DataFrame, key: str, seq: str) -> DataFrame:
