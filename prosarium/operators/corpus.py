@@ -9,12 +9,12 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
 from ..functions.vectorised import vectorised
-from .ranking import sharded_row_number
+from .ranking import sharded_row_number, windowed_in_blocks
 
 ELEMENT = "struct<segment:string,type:string,text:string,time:string,prosody:struct<pitch:string,rate:string,volume:string>>"
 SEQUENCE = f"array<{ELEMENT}>"
@@ -185,9 +185,10 @@ def bootstrap(df: DataFrame, key: str, runs: int, seed: int = 42) -> DataFrame:
 
 
 def sliding_windows(df: DataFrame, keys: list[str], order: str, value: str, k: int) -> DataFrame:
-    """Adds win, the k consecutive values around each row (the row at place k // 2), for complete windows only."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(k // 2), k - 1 - k // 2)
-    return df.withColumn("win", F.collect_list(value).over(w)).where(F.size("win") == k)
+    """Adds win, the k consecutive values around each row (the row at place k // 2), for complete windows only. `order` is a
+    number that tells the rows of a key apart."""
+    whole = windowed_in_blocks(df, keys, F.floor(F.col(order) / 1024), [F.col(order)], k // 2, k - 1 - k // 2, lambda w: {"win": F.collect_list(value).over(w)})
+    return whole.where(F.size("win") == k)
 
 
 def pack_segments(rows: list[tuple[int, float]], target: float, margin: float) -> list[tuple[list[int], float | None]]:

@@ -7,10 +7,12 @@ are accumulated over the whole key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def sharded_row_number(df: DataFrame, keys: list[str], shard: Column, order: list[Column], out: str) -> DataFrame:
@@ -43,3 +45,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, spread: Column, salt
     big = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     small = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return null_safe_join(big, small, [on, "__salt"], "left").drop("__salt")
+
+
+def windowed_in_blocks(df: DataFrame, keys: list[str], shard: Column, order: list[Column], before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = 4096) -> DataFrame:
+    """Adds make(window)'s columns, where the window holds `before` rows before and `after` rows after each row of
+    its keys. A key's rows are cut into blocks by their position; each block also gets the rows within reach of its
+    borders, so no key has to fit a task. shard and order as in sharded_row_number."""
+    placed = sharded_row_number(df, keys, shard, order, "__pos")
+    home = F.floor(F.col("__pos") / block)
+    reach = F.array_distinct(F.array(home, F.greatest(F.lit(0), F.floor((F.col("__pos") - after) / block)), F.floor((F.col("__pos") + before) / block)))
+    spread = placed.withColumn("__block", F.explode(reach))
+    w = Window.partitionBy(*keys, "__block").orderBy("__pos").rowsBetween(-before, after)
+    return spread.withColumns(make(w)).where(F.col("__block") == home).drop("__pos", "__block")

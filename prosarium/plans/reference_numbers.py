@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, prosody, text
 from ..operators import corpus, intervals
 from ..operators.periods import spoken
-from ..operators.ranking import null_safe_join
+from ..operators.ranking import salted_join, sharded_row_number, windowed_in_blocks
 from .tables import table
 
 
@@ -36,7 +36,7 @@ def m1_m5_adjustments(spark, folder):
     """Pitch against the voice's median, volume, rate, ratio and speaking time of every chunk."""
     m = _measured(spark, folder)
     base = m.groupBy("voice").agg(metrics.exact_median(F.col("pn")).alias("base"), metrics.exact_median(F.col("ln")).alias("loud"))
-    j = null_safe_join(m, base, ["voice"])
+    j = salted_join(m, base, "voice", F.col("row_id"))
     return j.select("row_id", r6(prosody.pitch_percent(F.col("pn"), F.col("base")), "pitch"), r6(prosody.volume_percent(F.col("loud"), F.col("ls")), "volume"), r6(prosody.rate_percent(F.col("nombre_de_mots"), F.col("dn"), F.col("ds")), "rate"), r6(prosody.rate_ratio(F.col("nombre_de_mots"), F.col("dn"), F.col("ds")), "ratio"), r6(prosody.speaking_seconds(F.col("dn"), F.lit(0.25)), "speaking"))
 
 
@@ -171,10 +171,10 @@ def g25_r15_words(spark, folder):
 def w1_w2_rolling_median(spark, folder):
     """Centred rolling median of 11 segments' pitch, the voice's median where it has at most 10 segments."""
     s = table(spark, folder, "bdd_ssml").groupBy("voice", "seg_no").agg(F.min(F.when((F.col("average_natural_pitch_per_sentence") > 0) & (F.col("average_natural_pitch_per_sentence") < 1000), F.col("average_natural_pitch_per_sentence"))).alias("p"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("voice"))
-    roll = F.percentile("p", F.lit(0.5)).over(Window.partitionBy("voice").orderBy("seg_no").rowsBetween(-5, 5))
-    whole = F.percentile("p", F.lit(0.5)).over(Window.partitionBy("voice"))
-    return s.select("voice", "seg_no", r6(F.coalesce(F.when(n <= 10, whole).otherwise(roll), F.lit(1.0)), "base"))
+    whole = s.groupBy("voice").agg(F.count(F.lit(1)).alias("n"), metrics.exact_median(F.col("p")).alias("whole"))
+    s = windowed_in_blocks(s, ["voice"], F.floor(F.col("seg_no") / 1024), [F.col("seg_no")], 5, 5, lambda w: {"roll": F.percentile("p", F.lit(0.5)).over(w)})
+    s = salted_join(s, whole, "voice", F.col("seg_no"))
+    return s.select("voice", "seg_no", r6(F.coalesce(F.when(F.col("n") <= 10, F.col("whole")).otherwise(F.col("roll")), F.lit(1.0)), "base"))
 
 
 def w5_sliding_windows(spark, folder):
@@ -197,12 +197,14 @@ def w7_w9_rankings(spark, folder):
 
 def w10_anonymous_ids(spark, folder):
     p = table(spark, folder, "predictions").groupBy("voice").agg(F.min("pred_id").alias("first_id"))
-    return p.select("voice", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("first_id")).alias("speaker_no"))
+    placed = sharded_row_number(p, [], F.floor(F.col("first_id") / 65536), [F.col("first_id")], "n")
+    return placed.select("voice", (F.col("n") + 1).cast("int").alias("speaker_no"))
 
 
 def o1_numeric_order(spark, folder):
     s = table(spark, folder, "bdd_ssml").groupBy("voice", "segment").agg(F.min("row_id").alias("row_id"))
-    return s.select("voice", "segment", F.row_number().over(Window.partitionBy("voice").orderBy(text.sortable_number(F.col("segment")))).alias("place"))
+    no = text.sortable_number(F.col("segment"))
+    return sharded_row_number(s, ["voice"], F.floor(no / 65536), [no], "n").select("voice", "segment", (F.col("n") + 1).cast("int").alias("place"))
 
 
 def o2_split_sizes(spark, folder):
