@@ -35,11 +35,13 @@ PAIRS = {"«": "»", "“": "”", "„": "“”", "‹": "›", "(": ")", "（
 GOES_ON = frozenset(",;:،؛、，；：")
 
 _CLOSERS = "".join(sorted(set("".join(PAIRS.values()))))
+#: Closing marks that can't open anything; they are taken in even if a blank line has parted them from what they close.
+_ONLY_CLOSERS = frozenset("»”›)）」』]】》〉")
 _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
 _LINE_WS = r"[\t \xa0  -   　]"
 _EVENT = re.compile(
-    rf"(?P<blank>{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}[{WS}]*)|(?P<tag>{TAG})|(?P<mark>[.!?…。！？।॥؟۔]+)"
-    rf"|(?P<open>[{re.escape(''.join(PAIRS))}])|(?P<close>[{re.escape(_CLOSERS)}])|(?P<straight>\")|(?P<thai>(?<=[ก-๏๚-๿)\]”»\"])[{WS}]+)"
+    rf"(?P<blank>{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}[{WS}]*)|(?P<thai>(?<=[ก-๏๚-๿)\]”»\"])(?:{TAG})*[{WS}](?:[{WS}]|{TAG})*)|(?P<tag>{TAG})|(?P<mark>[.!?…。！？।॥؟۔]+)"
+    rf"|(?P<open>[{re.escape(''.join(PAIRS))}])|(?P<close>[{re.escape(_CLOSERS)}])|(?P<straight>\")"
 )
 _SKIP = re.compile(rf"(?:[{WS}]|{TAG})*")
 _GAP_BLANK = re.compile(rf"{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}")
@@ -50,6 +52,7 @@ _ROMAN = re.compile(r"[IVXLC]+\b")
 _ALWAYS = frozenset("。！？।॥؟۔")
 _CASELESS_WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿ｦ-ﾟ]")
 _THAI = re.compile(r"[ก-๏๚-๿]")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
 _IPA = re.compile(r"[ɐ-ʯ]")
 
 
@@ -92,16 +95,21 @@ class _Ahead:
         self.gap = m.end() > at
         self.char = text[self.at] if self.at < len(text) else ""
         self.blank = self.gap and _GAP_BLANK.search(text, at, self.at) is not None
-        self.case = self._case(text) if self.char else "end"
+        self.case = self._case(text, at) if self.char else "end"
 
-    def _case(self, text: str) -> str:
+    def _case(self, text: str, start: int) -> str:
+        """lower, upper, digit, none (a script without case) or end. Tokens without letters, entities, phonetic signs,
+        stray accents and words of another script within Latin text say nothing about case and are passed over."""
         at = self.at
-        for _ in range(4):  # tokens without letters, entities and phonetic signs say nothing about case
+        latin = any(_LATIN.match(c) for c in text[max(0, start - 8) : start])
+        for _ in range(5):
             m = _TOKEN.match(text, at)
             if not m:
-                return "end"
-            token = m[0]
-            if not _ENTITY.match(token) and not _IPA.search(token) and token != "\\n":
+                return "end" if at == self.at else "none"
+            token = unicodedata.normalize("NFC", m[0])
+            foreign = latin and not _LATIN.search(token) and any(c.isalpha() for c in token)
+            stray = any(unicodedata.category(c) == "Mn" for c in token) and _LATIN.search(token)
+            if not foreign and not stray and not _ENTITY.match(token) and not _IPA.search(token) and token != "\\n":
                 for c in token:
                     if c.isalnum():
                         return "lower" if c.islower() else "digit" if c.isdigit() else "upper" if c.isupper() or c.istitle() else "none"
@@ -121,6 +129,11 @@ def _visible_end(text: str, begin: int, end: int) -> int:
 _TOKEN_OR_TAG = re.compile(rf"{TAG}|(?P<seen>[^{WS}<]+|<)")
 
 
+def _has_word(text: str, begin: int, end: int) -> bool:
+    """A letter or digit stands there, outside of tags."""
+    return any(m["seen"] and any(c.isalnum() for c in m["seen"]) for m in _TOKEN_OR_TAG.finditer(text, begin, end))
+
+
 def sentence_ends(text: str) -> list[int]:
     """end_char of every sentence, ascending."""
     ends: list[int] = []
@@ -144,7 +157,7 @@ def sentence_ends(text: str) -> list[int]:
         if m.start() < skip_to or m["tag"]:
             continue
         a, b = m.span()
-        if m["blank"]:
+        if m["blank"] or m["thai"] and _GAP_BLANK.search(text, a, b):
             for e in waiting:
                 emit(e)
             stack.clear()
@@ -164,7 +177,7 @@ def sentence_ends(text: str) -> list[int]:
                 # No mark stands right before it, so the surrounding sentence goes on; unless that is
                 # only the quotation, whose last mark comes after it.
                 begin = ends[-1] if ends else 0
-                if _EVENT.match(text, b) and text[b] in ".!?…" and not any(c.isalnum() for c in text[begin:opened]):
+                if _EVENT.match(text, b) and text[b] in ".!?…" and not _has_word(text, begin, opened):
                     for w in waiting:
                         emit(w)
                 waiting.clear()
@@ -182,7 +195,7 @@ def sentence_ends(text: str) -> list[int]:
             if not _may_end(text, a, b, m["mark"], ahead, ends[-1] if ends else 0):
                 continue
             e, closed = b, False
-            while ahead.char and not ahead.blank and (ahead.char in _CLOSERS or ahead.char == '"') and stack and close(ahead.char):
+            while ahead.char and not ahead.blank and (close(ahead.char) if stack and (ahead.char in _CLOSERS or ahead.char == '"') else ahead.char in _ONLY_CLOSERS):
                 e = skip_to = ahead.at + 1
                 closed, ahead = True, _Ahead(text, e)
             on = ahead.case == "lower" or ahead.char in GOES_ON or ahead.char in _ALWAYS or (ahead.char in ".!?…" and ahead.char != "")
@@ -207,7 +220,7 @@ def sentence_ends(text: str) -> list[int]:
         emit(e)
     begin = ends[-1] if ends else 0
     emit(_visible_end(text, begin, len(text)))
-    if len(ends) > 1 and not any(c.isalnum() for c in text[ends[-2] : ends[-1]]):
+    if len(ends) > 1 and not _has_word(text, ends[-2], ends[-1]):
         ends.pop()  # signs without a word after the last sentence are no sentence
     return ends
 
