@@ -40,8 +40,7 @@ class Categorical:
 
 
 def _normal(seed: int, *on: Column) -> Column:
-    """Standard normal deviate that only depends on the row: twelve 16-bit hash parts would do as
-    well; here Box-Muller over two uniform hashes."""
+    """Standard normal deviate that only depends on the row: Box-Muller over two hashes."""
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *on), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
 
@@ -77,12 +76,13 @@ def chained_impute(df: DataFrame, key: str, group: str, numeric: list[Numeric],
         return _long(slim, [], [], numeric, categorical)
     mean = {n: overall[n] for n in [*y, *x]}
     live = [n for n in y if mean[n] is not None]
-    groups = slim.groupBy("g").agg(*[((F.coalesce(F.sum(n), F.lit(0.0)) + PRIOR * mean[n]) / (F.count(n) + PRIOR)).alias(f"m_{n}") for n in live])
-    base = salted_join(slim, groups, "g", F.col("id")) if live else slim
+    base = slim
+    if live:
+        means = [((F.coalesce(F.sum(n), F.lit(0.0)) + PRIOR * mean[n]) / (F.count(n) + PRIOR)).alias(f"m_{n}") for n in live]
+        base = salted_join(slim, slim.groupBy("g").agg(*means), "g", F.col("id"))
     now = base.select("*", *[F.coalesce(F.col(n), F.col(f"m_{n}")).alias(f"f_{n}") for n in live], *[F.coalesce(F.col(n), F.lit(mean[n] or 0.0)).alias(f"p_{n}") for n in x])
     now = cut_lineage(now)
 
-    fits: dict[str, tuple[list[str], np.ndarray, float]] = {}
     for r in range(rounds if live else 0):
         for n in live:
             terms = [F.lit(1.0), *[F.col(f"f_{o}") for o in live if o != n], *[F.col(f"p_{p}") for p in x], F.col(f"m_{n}")]
@@ -90,7 +90,6 @@ def chained_impute(df: DataFrame, key: str, group: str, numeric: list[Numeric],
             guess = sum((t * float(b) for t, b in zip(terms[1:], beta[1:])), F.lit(float(beta[0])))
             noisy = guess + _normal(seed + 31 * r, F.col("id"), F.lit(n)) * sigma
             now = now.withColumn(f"f_{n}", F.coalesce(F.col(n), noisy))
-            fits[n] = ([], beta, sigma)
     for n in c:
         now = _classify(now, n, [f"f_{o}" for o in live], seed)
     return _long(now, live, c, numeric, categorical)

@@ -40,6 +40,9 @@ def periods_and_gaps(df: DataFrame, entity: list[str], begin: str = "b_ms", end:
     Null entity columns form an entity. Touching and nested intervals merge, repeated rows change
     nothing; a single interval gives one period and no gap; an empty table gives no rows.
     """
+    named, entity = entity, [f"__k{i}" for i in range(len(entity))]
+    df = df.select(*[F.col(c).alias(k) for c, k in zip(named, entity)], F.col(begin).alias("__begin"), F.col(end).alias("__end"))
+    begin, end = "__begin", "__end"
     known = df.where(F.col(begin).isNotNull() & F.col(end).isNotNull()).select(*entity, F.col(begin).cast("long").alias("__b"), F.col(end).cast("long").alias("__e"))
     sides = F.explode(F.array(F.struct(F.col("__b").alias("at"), F.lit(1).alias("starts"), F.lit(0).alias("ends")), F.struct(F.col("__e").alias("at"), F.lit(0).alias("starts"), F.lit(1).alias("ends"))))
     marks = known.select(*entity, sides.alias("__side")).select(*entity, "__side.*").groupBy(*entity, "at").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends")).withColumn("shard", F.floor(F.col("at") / shard))
@@ -66,7 +69,8 @@ def periods_and_gaps(df: DataFrame, entity: list[str], begin: str = "b_ms", end:
     here = closing.where(F.col("since").isNotNull()).select(*entity, F.lit("period").alias("kind"), F.col("since").alias("begin_ms"), F.col("at").alias("end_ms"))
     from_before = null_safe_join(closing.where(F.col("since").isNull()), carried, by).select(*entity, F.lit("period").alias("kind"), F.col("earlier").alias("begin_ms"), F.col("at").alias("end_ms"))
     gaps = borders.where("gap_after").select(*entity, F.lit("gap").alias("kind"), F.col("at").alias("begin_ms"), F.col("next").alias("end_ms"))
-    return here.unionByName(from_before).unionByName(gaps)
+    out = here.unionByName(from_before).unionByName(gaps)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(named, entity)], "kind", "begin_ms", "end_ms")
 
 
 def spoken(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.impute import Categorical, Numeric, chained_impute
 from ..operators.nested import object_store, unpack_columns, unpack_payloads
 from ..operators.periods import mend_intervals, periods_and_gaps, spoken
+from ..operators.ranking import null_safe_join
 from ..operators.spikes import faulty_readings
 from .tables import table
 
@@ -59,8 +60,7 @@ def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
     seg_no = F.expr("try_cast(regexp_extract(segment, '([0-9]+)$', 1) AS BIGINT)")
     order = [F.col("seg_no"), F.col("segment"), F.col("syn_no")]
     faults = faulty_readings(rows.withColumn("seg_no", F.coalesce(seg_no, F.lit(-1))), "voice", ["seg_no", "segment", "syn_no"], order, F.floor(F.col("seg_no") / 64), READINGS)
-    on = [rows[c].eqNullSafe(faults[c]) for c in ("voice", "segment", "syn_no")]
-    return rows.join(faults, on).select("row_id", "field_name", "kind", "deviation_sd")
+    return null_safe_join(rows.select("row_id", "voice", "segment", "syn_no"), faults.drop("seg_no"), ["voice", "segment", "syn_no"]).select("row_id", "field_name", "kind", "deviation_sd")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +94,7 @@ SQL = {
     "p5_found": f"""
         WITH raw AS (
           SELECT voice, segment, {_NUM("begin_syntagme_natural")} AS b, {_NUM("end_syntagme_natural")} AS e,
-                 CASE WHEN duration_syntagme_natural > 0 AND duration_syntagme_natural < 600 THEN duration_syntagme_natural END AS d
+                 CASE WHEN NOT isnan(duration_syntagme_natural) AND duration_syntagme_natural > 0 AND duration_syntagme_natural < 600 THEN duration_syntagme_natural END AS d
           FROM bdd_syntagme_ssml WHERE regexp_matches(syntagme, '{_WS}')),
         ms AS (SELECT voice, segment, coalesce({_MS("b")}, {_MS("e")} - {_MS("d")}) AS b, coalesce({_MS("e")}, {_MS("b")} + {_MS("d")}) AS e FROM raw),
         iv AS (SELECT voice, segment, least(b, e) AS b, greatest(b, e) AS e FROM ms WHERE b IS NOT NULL AND e IS NOT NULL),

@@ -223,8 +223,8 @@ def o4_episode_split(spark, folder):
 
 
 def o6_hash_sample(spark, folder):
-    """20 rows by hash; their number and that all are rows of the table."""
-    s = corpus.checked_sample(table(spark, folder, "predictions").select("pred_id"), "pred_id", 20)
+    """10 rows by hash; their number and that all are rows of the table."""
+    s = corpus.checked_sample(table(spark, folder, "predictions").select("pred_id"), "pred_id", 10)
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pred_id").alias("ids"))
 
 
@@ -427,7 +427,7 @@ SQL = {
     "o2_split_sizes": "WITH n AS (SELECT count(*) AS n FROM corpus) SELECT s.split, n, n AS ids FROM (SELECT 'train' AS split, CAST(floor(n * 0.8) AS BIGINT) AS n FROM n UNION ALL SELECT 'val', CAST(floor(n * 0.1) AS BIGINT) FROM n UNION ALL SELECT 'test', n - CAST(floor(n * 0.8) AS BIGINT) - CAST(floor(n * 0.1) AS BIGINT) FROM n) s",
     "o3_sequential_split": "WITH p AS (SELECT pred_id, row_number() OVER (ORDER BY pred_id) - 1 AS k, count(*) OVER () AS n FROM predictions) SELECT pred_id, CASE WHEN k < floor(n * 0.8) THEN 'train' WHEN k < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM p",
     "o4_episode_split": "SELECT voice, CAST(1 AS BIGINT) AS splits, count(*) AS n FROM bdd_ssml WHERE voice IS NOT NULL GROUP BY voice",
-    "o6_hash_sample": "SELECT CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS ids",
+    "o6_hash_sample": "SELECT CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS ids",
     "o7_bootstrap": "SELECT CAST(r AS INTEGER) AS run, count(*) AS n FROM predictions, range(10) t(r) GROUP BY r",
     "j1_j6_set_joins": """WITH a AS (SELECT DISTINCT voice, segment FROM bdd_ssml), b AS (SELECT DISTINCT voice, segment FROM (SELECT voice, unnest(parsed_sequence).segment AS segment FROM corpus) WHERE segment IS NOT NULL AND voice IS NOT NULL)
         SELECT a.*, 'both' AS side FROM a SEMI JOIN b USING (voice, segment) UNION ALL SELECT a.*, 'left' FROM a ANTI JOIN b USING (voice, segment) UNION ALL SELECT b.*, 'right' FROM b ANTI JOIN a USING (voice, segment)""",

@@ -20,7 +20,7 @@ def read_table_csv(spark: SparkSession, path: str, schema: str = schemas.SEGMENT
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """stem, line_no (within its file), line. Files are read whole, so they must be small; there may be any number."""
-    files = spark.read.option("wholetext", True).text(path).select(file_stem(F.input_file_name()).alias("stem"), "value")
+    files = spark.read.text(path, wholetext=True).select(file_stem(F.input_file_name()).alias("stem"), "value")
     return files.select("stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
@@ -60,7 +60,7 @@ def intervals_of(df: DataFrame, value: str, tier: str | None = None) -> DataFram
 
 def read_textgrids(spark: SparkSession, folder: str, tier: str | None = None) -> DataFrame:
     """All *.TextGrid below a folder: stem, idx, xmin, xmax, mark."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.TextGrid").text(folder, wholetext=True)
     return intervals_of(files.select(file_stem(F.input_file_name()).alias("stem"), "value"), "value", tier)
 
 
@@ -95,13 +95,13 @@ def corpus_records(value: Column) -> Column:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Voice, x, y of every voice of a corpus file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(corpus_records(F.col("value"))).alias("voice", "r")).select("voice", "r.*")
 
 
 def read_json_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Objects and lists of objects of all *.json; files that are no JSON give nothing."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.json").select(file_stem(F.input_file_name()).alias("stem"), F.trim("value").alias("v"))
+    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(file_stem(F.input_file_name()).alias("stem"), F.trim("value").alias("v"))
     many = F.from_json(F.when(F.startswith("v", F.lit("[")), F.col("v")).otherwise(F.concat(F.lit("["), "v", F.lit("]"))), f"array<struct<{schema}>>")
     return files.select("stem", F.explode(many).alias("r")).where(F.col("r").isNotNull()).select("stem", "r.*")
 
