@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,12 @@ _TWO = str.maketrans({"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l",
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 
 
+@cache
+def _rewritten() -> dict[int, str | None]:
+    """Combining marks and invisible characters beyond ASCII dropped, _TWO written out."""
+    return {c: None for c in range(0xA0, 0xE01F0) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc")} | _TWO
+
+
 def words_of(text: str) -> list[str]:
     """Words without case, accents, punctuation, white space, mark-up and invisible characters; in
     Chinese and Japanese each character is one."""
@@ -45,9 +52,7 @@ def words_of(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Mn", "Me", "Cf", "Cc") or c in "\n\t\r\x0b\x0c\x85")
-        text = text.casefold().translate(_TWO)
+        text = unicodedata.normalize("NFKD", text).casefold().translate(_rewritten())
     else:
         text = text.lower()
     return _WORD.findall(text)
@@ -108,6 +113,11 @@ class Items:
         for i, c in enumerate(self.codes):
             self.member[i, c] = True
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
+        m = np.maximum(1, np.ceil(LEAST * self.lengths - 1e-9).astype(np.int64))
+        e = (CHANGED * m + 1e-9).astype(np.int64)
+        w = np.array([window_width(max(1, int(k))) for k in self.lengths], np.int64)
+        self.least_hits = np.maximum(1, m - w + 1 - w * e)
+        self.bands = int(e.max(initial=0)) // 8 + 1  # bands of 8 diagonals that a leak's changes can reach
         # Two-word shingles of items, and which item has which.
         size = len(seen) + 1
         shingles = [np.unique(c[:-1].astype(np.int64) * size + c[1:]) for c in self.codes]
@@ -221,20 +231,26 @@ class Scanner:
             # One candidate per document, item and band of diagonals.
             diagonal = at - start[owner[at]] - place
             band = (diagonal + (1 << 30)) // 8
-            keys.append(np.unique((owner[at] * len(it.ids) + item) * (1 << 31) + band))
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            key, hits = np.unique((owner[at] * len(it.ids) + item) * (1 << 31) + band, return_counts=True)
+            # A leak of the least length keeps m - w + 1 windows but for w per change, all within reach of its diagonal.
+            near = sum(_at(key, hits, key + k) for k in range(-it.bands, it.bands + 1))
+            keys.append(key[near >= it.least_hits[(key >> 31) % len(it.ids)]])
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         if not len(key):
             return []
         pair, diagonal = key >> 31, ((key & ((1 << 31) - 1)) * 8) - (1 << 30)
         doc, item = pair // len(it.ids), pair % len(it.ids)
         good = self._weigh(codes, start, lengths, doc, item, diagonal)
-        found, at_once = set(), {}
+        at_once: dict[tuple[int, int], list[int]] = {}
         for d, i, diag in zip(doc[good].tolist(), item[good].tolist(), diagonal[good].tolist()):
             at_once.setdefault((d, i), []).append(diag)
+        pairs, spans = [], []
         for (d, i), diags in at_once.items():
-            if self._leaks(codes[start[d] : start[d] + lengths[d]], i, diags):
-                found.add((d, i))
-        return sorted(found)
+            doc = codes[start[d] : start[d] + lengths[d]]
+            for lo, hi in self._spans(len(doc), i, diags):
+                pairs.append((d, i))
+                spans.append((it.codes[i], doc[lo:hi]))
+        return sorted({p for p, ok in zip(pairs, hold_stretches(spans)) if ok})
 
     def _weigh(self, codes: np.ndarray, start: np.ndarray, lengths: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         """Similarity by shingles, as a necessary condition: a stretch of m words with e changes keeps at
@@ -262,20 +278,18 @@ class Scanner:
                 out[part[good]] = _densest(it.member[who[good], words[at[good]]], w) >= m - e
         return out
 
-    def _leaks(self, doc: np.ndarray, i: int, diagonals: list[int]) -> bool:
-        it = self.items
-        item = it.codes[i]
-        n = len(item)
+    def _spans(self, size: int, i: int, diagonals: list[int]) -> list[tuple[int, int]]:
+        """Parts of a document to align with item i; neighbouring bands come together."""
+        n = int(self.items.lengths[i])
         reach = int(CHANGED * n) + 9
-        # Neighbouring bands are aligned together.
-        at, spans = 0, []
+        spans: list[tuple[int, int]] = []
         for d in sorted(diagonals):
-            lo, hi = max(0, d - reach), min(len(doc), d + 8 + n + reach)
+            lo, hi = max(0, d - reach), min(size, d + 8 + n + reach)
             if spans and lo <= spans[-1][1]:
-                spans[-1][1] = hi
+                spans[-1] = (spans[-1][0], hi)
             else:
-                spans.append([lo, hi])
-        return any(holds_stretch(item, doc[lo:hi]) for lo, hi in spans)
+                spans.append((lo, hi))
+        return spans
 
 
 def _densest(hit: np.ndarray, width: int) -> np.ndarray:
@@ -285,47 +299,81 @@ def _densest(hit: np.ndarray, width: int) -> np.ndarray:
     return (total[:, width:] - total[:, :-width]).max(axis=1)
 
 
-def holds_stretch(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Exact check: some stretch of at least LEAST of the item's words stands in doc, in order, with at
-    most CHANGED of the stretch's words changed, added or missing.
+def hold_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 64) -> list[bool]:
+    """Exact check of (item words, document words): some stretch of at least LEAST of the item's words
+    stands in the document, in order, with at most CHANGED of the stretch's words changed, added or missing.
 
-    A local alignment (a match earns 1, a change, addition or omission costs 1) gives the best chain
-    of matching words; every part of the chain is then held against both limits.
+    A local alignment (a match earns 1, a change, addition or omission costs 1) gives the best chain of
+    matching words; every part of the chain is then held against both limits. Pairs of like
+    size are aligned together, row by row.
     """
-    n, m = len(item), len(doc)
-    if not n or not m:
-        return False
-    score = np.zeros((n + 1, m + 1), np.int32)
+    out = [False] * len(pairs)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        # Long documents are aligned alone, so that the scores stay within some MB.
+        take = max(1, min(together, 4_000_000 // (max(len(pairs[k][0]) for k in order[at : at + together]) * len(pairs[order[min(at + together, len(order)) - 1]][1]) + 1)))
+        batch = order[at : at + take]
+        at += take
+        for k, chain in zip(batch, _chains([pairs[k][0] for k in batch], [pairs[k][1] for k in batch])):
+            out[k] = _within_limits(chain, len(pairs[k][0]))
+    return out
+
+
+def _chains(items: list[np.ndarray], docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Places (item, document) of the matching words of each pair's best local alignment."""
+    size, n, m = len(items), max(map(len, items)), max(map(len, docs))
+    a, b = np.full((size, n), -2, np.int32), np.full((size, m), -1, np.int32)
+    for k, (x, y) in enumerate(zip(items, docs)):
+        a[k, : len(x)], b[k, : len(y)] = x, y
+    score = np.zeros((n + 1, size, m + 1), np.int32)
     steps = np.arange(m + 1, dtype=np.int32)
     for r in range(1, n + 1):
-        same = np.where((doc == item[r - 1]), 1, -1).astype(np.int32)
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(score[r - 1, :-1] + same, score[r - 1, 1:] - 1)
-        row = np.maximum(row, 0)
+        row = score[r]
+        np.maximum(score[r - 1, :, :-1] + np.where(b == a[:, r - 1 : r], np.int32(1), np.int32(-1)), score[r - 1, :, 1:] - 1, out=row[:, 1:])
+        np.maximum(row, 0, out=row)
         # Additions cost 1 each along the row: a running maximum of row + place, minus place.
-        score[r] = np.maximum(np.maximum.accumulate(row + steps) - steps, 0)
-    r, c = np.unravel_index(int(np.argmax(score)), score.shape)
-    chain = []
-    while r > 0 and c > 0 and score[r, c] > 0:
-        s = score[r, c]
-        same = item[r - 1] == doc[c - 1]
-        if s == score[r - 1, c - 1] + (1 if same else -1):
-            if same:
-                chain.append((r - 1, c - 1))
-            r, c = r - 1, c - 1
-        elif s == score[r - 1, c] - 1:
-            r -= 1
-        else:
-            c -= 1
-    if not chain:
+        np.maximum(np.maximum.accumulate(row + steps, axis=1) - steps, 0, out=row)
+    flat = score.transpose(1, 0, 2).reshape(size, -1).argmax(axis=1)
+    r, c = flat // (m + 1), flat % (m + 1)
+    who = np.arange(size)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(who):
+        live = (r > 0) & (c > 0)
+        live[live] = score[r[live], who[live], c[live]] > 0
+        who, r, c = who[live], r[live], c[live]
+        if not len(who):
+            break
+        s = score[r, who, c]
+        same = a[who, r - 1] == b[who, c - 1]
+        across = s == score[r - 1, who, c - 1] + np.where(same, 1, -1)
+        down = ~across & (s == score[r - 1, who, c] - 1)
+        hit = across & same
+        found.append((who[hit], r[hit] - 1, c[hit] - 1))
+        r, c = r - (across | down), c - ~down
+    if not found:
+        return [np.zeros((0, 2), np.int64)] * size
+    owner, i, j = (np.concatenate([f[k] for f in found])[::-1] for k in range(3))
+    return [np.stack([i[owner == k], j[owner == k]], axis=1) for k in range(size)]
+
+
+def _within_limits(chain: np.ndarray, n: int) -> bool:
+    if not len(chain):
         return False
-    a = np.array(chain[::-1])
-    changes = np.concatenate([[0], np.cumsum(np.maximum(np.diff(a[:, 0]), np.diff(a[:, 1])) - 1)])
-    length = a[None, :, 0] - a[:, None, 0] + 1
+    changes = np.concatenate([[0], np.cumsum(np.maximum(np.diff(chain[:, 0]), np.diff(chain[:, 1])) - 1)])
+    length = chain[None, :, 0] - chain[:, None, 0] + 1
     wrong = changes[None, :] - changes[:, None]
     return bool(((length >= LEAST * n - 1e-9) & (wrong <= CHANGED * length + 1e-9)).any())
 
 
+def _at(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of the wanted keys, 0 for those that aren't there; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
+
+
 def leaked_items(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc, item: one row per document and item that it gives away.
 
