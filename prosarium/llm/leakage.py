@@ -35,14 +35,17 @@ CHUNK_WORDS = 150_000  # words of documents worked on at once
 
 _MARKUP = re.compile(rf"{TAG}|<\|\w+\|>")
 #: Letters that are written as two (fixed values); accents go by decomposition.
-_TWO = str.maketrans({"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l", "đ": "d"})
+_TWO = {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l", "đ": "d"}
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 
 
 @cache
-def _rewritten() -> dict[int, str | None]:
-    """Combining marks and invisible characters beyond ASCII dropped, _TWO written out."""
-    return {c: None for c in range(0xA0, 0xE01F0) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc")} | _TWO
+def _unseen() -> re.Pattern:
+    """Combining marks and invisible characters beyond ASCII."""
+    codes = [c for c in range(0xA0, 0xE01F0) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc")]
+    begins = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends)) + "]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -52,7 +55,9 @@ def words_of(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).casefold().translate(_rewritten())
+        text = _unseen().sub("", unicodedata.normalize("NFKD", text)).casefold()
+        for one, two in _TWO.items():
+            text = text.replace(one, two)
     else:
         text = text.lower()
     return _WORD.findall(text)
