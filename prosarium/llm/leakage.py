@@ -40,12 +40,9 @@ _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W_぀-ヿ㐀-䶿一-鿿
 
 
 @cache
-def _unseen() -> re.Pattern:
+def _unseen() -> frozenset[str]:
     """Combining marks and invisible characters beyond ASCII."""
-    codes = [c for c in range(0xA0, 0xE01F0) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc")]
-    begins = [c for k, c in enumerate(codes) if k == 0 or codes[k - 1] != c - 1]
-    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends)) + "]+")
+    return frozenset(chr(c) for c in range(0xA0, 0xE01F0) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf", "Cc"))
 
 
 def words_of(text: str) -> list[str]:
@@ -55,7 +52,9 @@ def words_of(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = _unseen().sub("", unicodedata.normalize("NFKD", text)).casefold()
+        text = unicodedata.normalize("NFKD", text).casefold()
+        for mark in _unseen().intersection(text):  # few in any text
+            text = text.replace(mark, "")
         for one, two in _TWO.items():
             text = text.replace(one, two)
     else:
