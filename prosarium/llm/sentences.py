@@ -43,6 +43,8 @@ _EVENT = re.compile(
     rf"(?P<blank>{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}[{WS}]*)|(?P<thai>(?<=[ก-๏๚-๿)\]”»\"])(?:{TAG})*[{WS}](?:[{WS}]|{TAG})*)|(?P<tag>{TAG})|(?P<mark>[.!?…。！？।॥؟۔]+)"
     rf"|(?P<open>[{re.escape(''.join(PAIRS))}])|(?P<close>[{re.escape(_CLOSERS)}])|(?P<straight>\")"
 )
+#: Characters that may belong to white space or a tag.
+_NOT_SURE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000>") | {chr(c) for c in range(0x2000, 0x200B)}
 _SKIP = re.compile(rf"(?:[{WS}]|{TAG})*")
 _GAP_BLANK = re.compile(rf"{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}")
 _TOKEN = re.compile(rf"[^{WS}<]+|<")
@@ -106,9 +108,11 @@ class _Ahead:
             m = _TOKEN.match(text, at)
             if not m:
                 return "end" if at == self.at else "none"
-            token = unicodedata.normalize("NFC", m[0])
-            foreign = latin and not _LATIN.search(token) and any(c.isalpha() for c in token)
-            stray = any(unicodedata.category(c) == "Mn" for c in token) and _LATIN.search(token)
+            token, foreign, stray = m[0], False, False
+            if not token.isascii():
+                token = unicodedata.normalize("NFC", token)
+                foreign = latin and not _LATIN.search(token) and any(c.isalpha() for c in token)
+                stray = _LATIN.search(token) and any(unicodedata.category(c) == "Mn" for c in token)
             if not foreign and not stray and not _ENTITY.match(token) and not _IPA.search(token) and token != "\\n":
                 for c in token:
                     if c.isalnum():
@@ -143,7 +147,7 @@ def sentence_ends(text: str) -> list[int]:
 
     def emit(e: int) -> None:
         begin = ends[-1] if ends else 0
-        if e > begin and _visible_end(text, begin, e) > begin:
+        if e > begin and (text[e - 1] not in _NOT_SURE or _visible_end(text, begin, e) > begin):
             ends.append(e)
 
     def close(c: str) -> bool:
