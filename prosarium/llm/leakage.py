@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import TAG
+from .text import TAG, spread
 
 LEAST = 0.4  # part of an item's words that a leak holds
 CHANGED = 0.2  # part of a stretch's words that may be changed, added or missing
@@ -425,4 +425,4 @@ def _scan(documents: DataFrame, doc: str, text: str, items: Items, item: str) ->
                     yield flush()
         yield flush()
 
-    return documents.where(F.length(text) > 0).select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, f"{doc} long, {item} long")
+    return spread(documents.where(F.length(text) > 0).select(F.col(doc).cast("long"), F.col(text)), doc).mapInArrow(run, f"{doc} long, {item} long")

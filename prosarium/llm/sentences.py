@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import TAG, WS, by_rows
+from .text import TAG, WS, by_rows, spread
 
 SENTENCES = pa.schema([("doc_id", pa.int64()), ("sent_no", pa.int32()), ("end_char", pa.int32())])
 SENTENCES_DDL = "doc_id long, sent_no int, end_char int"
@@ -294,4 +294,4 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
             for i, e in enumerate(sentence_ends(t)):
                 yield k, i, e
 
-    return df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text)).mapInArrow(by_rows(emit, SENTENCES), SENTENCES_DDL)
+    return spread(df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text)), key).mapInArrow(by_rows(emit, SENTENCES), SENTENCES_DDL)

@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import spread
+
 #: The split of byte-level BPE into words (fixed value). White space is Unicode White_Space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -178,4 +180,4 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFra
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, "ids"])
 
-    return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, f"{key} long, ids array<int>")
+    return spread(df.select(F.col(key).cast("long"), F.col(text)), key).mapInArrow(run, f"{key} long, ids array<int>")
