@@ -15,6 +15,11 @@ from ..functions.text import alignment_token, loose
 from ..functions.vectorised import vectorised
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Small groups whose work is in Python: as many tasks as the session's shuffles have, however few bytes they hold."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def global_pairs(a: list[str], b: list[str], match: int = 1, mismatch: int = -1, gap: int = -1) -> list[tuple[int, int]]:
     """A1: index pairs of the best global alignment, -1 for a gap. On the way back a pair is preferred to an
     item of the left alone, that to one of the right alone."""
@@ -138,7 +143,7 @@ def pitch_contour_distance(a: Column, b: Column) -> Column:
 def align_tables(left: DataFrame, right: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """A1 per group: keys, pair_no, left_order, right_order (null for a gap). Groups on one side only have no rows."""
     one = lambda df: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.coalesce(alignment_token(F.col(text)), F.lit("")).alias("t")))).alias("__a"))
-    both = one(left).withColumnRenamed("__a", "__l").join(one(right), keys)
+    both = _spread(one(left).withColumnRenamed("__a", "__l").join(one(right), keys), keys)
     made = both.withColumn("__p", _pairs(F.transform("__l", lambda s: s["t"]), F.transform("__a", lambda s: s["t"])))
     at = lambda a, i: F.when(i >= 0, F.get(F.col(a), i)["o"])
     rows = made.select(*keys, F.posexplode("__p").alias("pair_no", "__x"), "__l", "__a")
@@ -164,7 +169,7 @@ def _chunk_pairs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 def match_chunks(left: DataFrame, right: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """A2 per group: keys, left_no, right_no (from 0), similarity."""
     one = lambda df: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, loose(F.col(text)).alias("t")))), lambda s: s["t"]).alias("__a"))
-    both = one(left).withColumnRenamed("__a", "__l").join(one(right), keys)
+    both = _spread(one(left).withColumnRenamed("__a", "__l").join(one(right), keys), keys)
     return both.select(*keys, F.explode(_chunk_pairs("__l", "__a")).alias("p")).select(*keys, F.col("p.i").alias("left_no"), F.col("p.j").alias("right_no"), F.col("p.sim").alias("similarity"))
 
 
@@ -244,7 +249,7 @@ def _greedy(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def greedy_match(gold: DataFrame, pred: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """J15 per group: keys, gold_no, pred_no, score."""
     one = lambda df: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda s: s["t"]).alias("__a"))
-    both = one(gold).withColumnRenamed("__a", "__g").join(one(pred), keys)
+    both = _spread(one(gold).withColumnRenamed("__a", "__g").join(one(pred), keys), keys)
     return both.select(*keys, F.explode(_greedy("__g", "__a")).alias("r")).select(*keys, F.col("r.g").alias("gold_no"), F.col("r.p").alias("pred_no"), F.col("r.score").alias("score"))
 
 

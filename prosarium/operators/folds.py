@@ -8,10 +8,11 @@ then finished with the state it starts from.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +32,15 @@ def exponential_average(df: DataFrame, keys: list[str], order: list[Column], sha
     if alpha < 0.01:
         raise ValueError("alpha must be at least 0.01")
     placed = sharded_row_number(df, keys, shard, order, "__pos").withColumns({"__block": F.floor(F.col("__pos") / BLOCK), "__x": F.coalesce(F.col(value).cast("double"), F.lit(0.0))})
-    schema = placed.withColumn(out, F.lit(0.0)).schema
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        x, s = pdf["__x"].to_numpy(), 0.0
-        got = np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
+    def within(rows: Iterator[tuple[tuple, float]]) -> Iterator[float]:
+        group, s = None, 0.0
+        for g, v in rows:
+            if g != group:
+                group, s = g, 0.0
             s = alpha * v + (1 - alpha) * s
-            got[i] = s
-        pdf[out] = got
-        return pdf
+            yield s
 
-    begun = cut_lineage(placed.groupBy(*keys, "__block").applyInPandas(within, schema))
+    begun = cut_lineage(_along(placed, [*keys, "__block"], "__pos", "__x", within, out))
     last = begun.groupBy(*keys, (F.col("__block") + 1).alias("__block")).agg(F.max_by(out, "__pos").alias("__carry"))
     first = begun.where(F.col("__pos") == 0).select(*keys, F.lit(0).cast("bigint").alias("__block"), F.col("__x").alias("__carry"))
     carried = null_safe_join(begun, last.unionByName(first), [*keys, "__block"], "left")
@@ -59,40 +56,59 @@ def limit_steps(df: DataFrame, keys: list[str], order: list[Column], shard: Colu
     block is then limited from its start value. Null values count as 0.
     """
     placed = cut_lineage(sharded_row_number(df, keys, shard, order, "__pos").withColumns({"__block": F.floor(F.col("__pos") / BLOCK), "__x": F.coalesce(F.col(value).cast("double"), F.lit(0.0))}))
-    key_types = [f for f in placed.schema.fields if f.name in keys]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_types)
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields if f.name in keys)
 
     def line(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("__pos")["__x"].tolist()
         head = pdf.iloc[:1][[*keys, "__block"]].copy()
-        if head["__block"].iloc[0] == 0:
-            xs, ys = [0.0], [run_limit(x, most)[-1]]  # nothing comes before, the line is never asked
-        else:
-            xs, ys = compose_limits(x, most)
+        xs, ys = compose_limits(x, most) if head["__block"].iloc[0] else ([0.0], [run_limit(x, most)[-1]])  # nothing comes before block 0
         head["xs"], head["ys"] = [xs], [ys]
         return head
 
-    lines = placed.groupBy(*keys, "__block").applyInPandas(line, f"{key_ddl}, `__block` bigint, xs array<double>, ys array<double>")
+    # Lines are only needed where a block follows.
+    follows = placed.where(F.col("__pos") == F.col("__block") * BLOCK).where(F.col("__block") > 0).select(*keys, (F.col("__block") - 1).alias("__block"))
+    lines = null_safe_join(placed, follows, [*keys, "__block"], "left_semi").groupBy(*keys, "__block").applyInPandas(line, f"{key_ddl}, `__block` bigint, xs array<double>, ys array<double>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__block")
         state, states = float("nan"), []
         for b, xs, ys in zip(pdf["__block"], pdf["xs"], pdf["ys"]):
-            states.append(state)
             state = float(ys[0]) if b == 0 else apply_line(list(xs), list(ys), state)
-        return pdf[[*keys, "__block"]].assign(__state=states)
+            states.append(state)
+        return pdf[[*keys]].assign(__block=pdf["__block"] + 1, __state=states)
 
     starts = lines.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, `__block` bigint, `__state` double")
-    ready = null_safe_join(placed, starts, [*keys, "__block"])
-    schema = ready.withColumn(out, F.lit(0.0)).schema
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        state = pdf["__state"].iloc[0]
-        pdf[out] = run_limit(pdf["__x"].tolist(), most, None if np.isnan(state) else float(state))
-        return pdf
-
-    return ready.groupBy(*keys, "__block").applyInPandas(finish, schema).drop("__pos", "__block", "__x", "__state")
+    ready = null_safe_join(placed, starts, [*keys, "__block"], "left")
+    # A block's start value stands before its first value, as one more row of the scan.
+    ready = ready.withColumn("__in", F.when((F.col("__pos") == F.col("__block") * BLOCK) & F.col("__state").isNotNull(), F.least(F.greatest(F.col("__x"), F.col("__state") - most), F.col("__state") + most)).otherwise(F.col("__x")))
+
+    def finish(rows: Iterator[tuple[tuple, float]]) -> Iterator[float]:
+        group, state = None, 0.0
+        for g, v in rows:
+            if g != group:
+                group, state = g, v
+            state = v if abs(v - state) <= most else state + most if v > state else state - most
+            yield state
+
+    return _along(ready, [*keys, "__block"], "__pos", "__in", finish, out).drop("__pos", "__block", "__x", "__state", "__in")
+
+
+def _along(df: DataFrame, by: list[str], order: str, value: str, scan: Callable[[Iterator[tuple[tuple, float]]], Iterator[float]], out: str) -> DataFrame:
+    """Adds what scan yields for each (group, value), read in order; groups lie together, batch after batch."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartition(parts, *by).sortWithinPartitions(*by, order)
+    schema = df.withColumn(out, F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: deque[tuple[tuple, float]] = deque()
+        results = scan(iter(rows.popleft, None))
+        for b in batches:
+            groups = list(zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in by]))
+            rows.extend(zip(groups, b.column(b.schema.get_field_index(value)).to_pylist()))
+            got = [next(results) for _ in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def run_limit(x: list[float], most: float, state: float | None = None) -> list[float]:

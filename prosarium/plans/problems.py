@@ -91,6 +91,19 @@ SQL = {
         WHERE regexp_matches(syntagme, '{_WS}') AND NOT coalesce(average_natural_pitch_per_sentence > 0 AND average_natural_pitch_per_sentence < 1000 AND NOT isnan(average_natural_pitch_per_sentence), false)
         UNION ALL
         SELECT 'bdd_ssml', row_id, 'azure_voice_name' FROM bdd_ssml WHERE NOT coalesce(regexp_matches(azure_voice_name, '^fr-FR-.+Neural$'), false)""",
+    # Level: median of 31 readings; spread: from the middle 68 % first, then of the readings within 4.5 of it.
+    "p4_found": f"""
+        WITH d AS (SELECT coalesce(voice, '') AS voice, CAST(regexp_extract(segment, '([0-9]+)$', 1) AS BIGINT) AS sn, segment, syn_no, row_id, unnest(['natural_pitch_syntagme', 'synthesized_pitch_syntagme', 'rate_adjustment']) AS f, unnest([natural_pitch_syntagme, synthesized_pitch_syntagme, rate_adjustment]) AS x
+                   FROM bdd_syntagme_ssml WHERE regexp_matches(syntagme, '{_WS}')),
+        r AS (SELECT voice, sn, segment, syn_no, f, min(x) AS x FROM d WHERE x IS NOT NULL AND NOT isnan(x) AND x <> 0 GROUP BY ALL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY voice, f ORDER BY sn, segment, syn_no) AS k, row_number() OVER (PARTITION BY voice, f ORDER BY sn, segment, syn_no) - row_number() OVER (PARTITION BY voice, f, x ORDER BY sn, segment, syn_no) AS island,
+                   CASE WHEN f = 'rate_adjustment' THEN abs(x) > 100 ELSE x < 0 OR x > 1000 END AS imp FROM r),
+        q AS (SELECT *, count(*) OVER (PARTITION BY voice, f, x, island) >= 6 AS stuck FROM p),
+        n AS (SELECT *, x - median(x) OVER (PARTITION BY voice, f ORDER BY k ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS u FROM q WHERE NOT imp AND NOT stuck),
+        s0 AS (SELECT voice, f, 1.4826 * median(abs(u)) AS s0 FROM n GROUP BY ALL),
+        s AS (SELECT voice, f, sqrt(avg(u * u) FILTER (abs(u) <= 4.5 * s0)) AS sd FROM n JOIN s0 USING (voice, f) GROUP BY ALL),
+        bad AS (SELECT voice, f, segment, syn_no FROM q WHERE imp OR stuck UNION ALL SELECT voice, f, segment, syn_no FROM n JOIN s USING (voice, f) WHERE abs(u) > 5.5 * sd)
+        SELECT d.row_id, d.f AS field_name FROM d JOIN bad ON d.voice = bad.voice AND d.f = bad.f AND d.segment IS NOT DISTINCT FROM bad.segment AND d.syn_no IS NOT DISTINCT FROM bad.syn_no""",
     "p5_found": f"""
         WITH raw AS (
           SELECT voice, segment, {_NUM("begin_syntagme_natural")} AS b, {_NUM("end_syntagme_natural")} AS e,
