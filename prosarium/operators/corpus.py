@@ -323,3 +323,11 @@ def _respeed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def respeed_column(ssml: Column, rate: str) -> Column:
     """X14 on a column."""
     return _respeed(ssml, F.lit(rate))
+
+
+def few_shot_prompt(examples: DataFrame, text: str, params: str, order: str, most: int = 5) -> DataFrame:
+    """One row with the prompt of the first `most` examples by order, numbered, with their parameters as indented JSON."""
+    first = examples.orderBy(order).limit(most)
+    item = F.concat(F.lit('Text: "'), text, F.lit('"\nParameters:\n```json\n'), F.to_json(params, {"pretty": "true"}), F.lit("\n```\n\n"))
+    rows = first.agg(F.array_sort(F.collect_list(F.struct(order, item.alias("t")))).alias("a"))
+    return rows.select(F.array_join(F.transform("a", lambda s, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), s["t"])), "").alias("prompt"))

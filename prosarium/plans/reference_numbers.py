@@ -360,13 +360,40 @@ def r12_pair_manifest(spark, folder):
     return p.select("voice", "chunk_no", F.posexplode("segments").alias("pos", "seg_no"), F.size("segments").alias("n"), "keep_last_s").select("voice", "chunk_no", "pos", "seg_no", F.when(F.col("pos") == F.col("n") - 1, F.round("keep_last_s", 6)).alias("keep_s"))
 
 
+def r4_r5_r14_lookups(spark, folder):
+    """The file of a segment by exact name, else the first that contains it; the segment's marks in order."""
+    s = table(spark, folder, "bdd_syntagme_ssml")
+    files = s.where(F.col("synthesized_syntagme_audio_path").isNotNull()).groupBy("voice", "segment").agg(F.min("synthesized_syntagme_audio_path").alias("path"))
+    exact = files.where(F.col("path").rlike("segment_ph[0-9]*[02468].wav"))
+    marks = s.where(~text.is_blank(F.col("syntagme"))).groupBy("voice", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("syn_no", "row_id", F.trim("syntagme").alias("t")))), lambda r: r["t"]), " ").alias("said"))
+    j = marks.join(exact.withColumnRenamed("path", "own"), ["voice", "segment"], "left").join(files, ["voice", "segment"], "left")
+    return j.select("voice", "segment", F.coalesce("own", "path").alias("path"), F.md5("said").alias("said"))
+
+
+def r8_few_shot_prompt(spark, folder):
+    """No SQL: pretty JSON differs between engines."""
+    p = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("params").isNotNull())
+    return corpus.few_shot_prompt(p, "input_text", "params", "pred_id")
+
+
+def r23_break_listing(spark, folder):
+    e = table(spark, folder, "corpus").select("record_id", F.posexplode(corpus.canonical_sequence(F.col("parsed_sequence"))).alias("i", "e"))
+    return e.where("e.type = 'break'").select("record_id", "i", F.col("e.time").alias("time"), text.milliseconds(F.col("e.time")).isNull().alias("odd"))
+
+
+def a11_position_pairs(spark, folder):
+    """Words of a text by position against their normalised forms, and whether they agree."""
+    b = table(spark, folder, "bdd_ssml").where(spoken(F.col("syntagme"))).select("row_id", text.manifest_words(F.col("syntagme")).alias("w"))
+    return b.select("row_id", F.posexplode("w").alias("i", "p")).select("row_id", "i", "p.word", (text.fold_word(F.col("p.original")) == F.regexp_replace("p.word", r"[^a-z0-9_]", "")).alias("agrees"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         m1_m5_adjustments, m6_m10_legacy, m8_m11_arrays, m17_m19_m20_percents, m18_cosine, g1_g2_joined, g3_path_means, g4_first_active, g5_g8_quantiles, g6_g7_corpus_stats, g7_punctuation, g9_break_summary, g10_g12_calibration,
         g11_sequence_averages, g13_g14_errors, g15_g16_presence, g17_g18_token_scores, g21_g22_summaries, g23_tag_counts, g25_r15_words, w1_w2_rolling_median, w5_sliding_windows, w6_z_scores, w7_w9_rankings, w10_anonymous_ids,
         o1_numeric_order, o2_split_sizes, o3_sequential_split, o4_episode_split, o6_hash_sample, o7_bootstrap, j1_j6_set_joins, j4_p14_paired_features, j5_placeholders, j6_missing_words, j7_top_up, j12_j13_lookups, u1_u5_sets,
-        r1_r9_r10_arrays, r2_alignment_lines, r6_r7_corpus_targets, r12_pair_manifest, r16_r17_lexicon, r18_manifest, r19_status_counts,
+        r1_r9_r10_arrays, r2_alignment_lines, r4_r5_r14_lookups, r8_few_shot_prompt, r23_break_listing, a11_position_pairs, r6_r7_corpus_targets, r12_pair_manifest, r16_r17_lexicon, r18_manifest, r19_status_counts,
     )
 } | {"s_p12_noise_gate": p12_p13_gates, "s_p13_placeholders": p13_placeholders, "s_p17_first_rows": p17_o8_first_rows}
 
@@ -447,6 +474,13 @@ SQL = {
         {_S("list_transform(range(1, len(b) + 1), lambda i: CASE WHEN i > 1 AND floor(b[i - 1] / 500) = floor(b[i] / 500) THEN -100 ELSE b[i] END)")} AS first FROM p""",
     "r2_alignment_lines": "WITH c AS (SELECT row_id, syn_no, syntagme, " + ", ".join(f"coalesce(CAST(CAST(round(CASE WHEN NOT isnan({a}_syntagme_{k}) AND abs({a}_syntagme_{k}) < 1e6 THEN {a}_syntagme_{k} END * 1000) AS BIGINT) AS VARCHAR), '0') AS {a[0]}{k[0]}" for a in ("begin", "end") for k in ("synthesized", "natural")) + r""" FROM bdd_syntagme_ssml WHERE regexp_matches(syntagme, '[^\s\x{85}\x{A0}\x{202F}\x{2009}\x{3000}]'))
         SELECT row_id, md5(syn_no || ': ' || syntagme || ' (' || bs || '-' || es || ') || ' || syn_no || ': ' || syntagme || ' (' || bn || '-' || en || ')') AS line FROM c""",
+    "r4_r5_r14_lookups": """WITH f AS (SELECT voice, segment, min(synthesized_syntagme_audio_path) AS p FROM bdd_syntagme_ssml WHERE synthesized_syntagme_audio_path IS NOT NULL GROUP BY ALL),
+        m AS (SELECT voice, segment, string_agg(trim(syntagme), ' ' ORDER BY syn_no, row_id) AS said FROM bdd_syntagme_ssml WHERE trim(coalesce(syntagme, '')) <> '' GROUP BY ALL)
+        SELECT voice, segment, p AS path, md5(said) AS said FROM m LEFT JOIN f USING (voice, segment)""",
+    "r23_break_listing": f"WITH {_ELS} SELECT record_id, i, e.time AS time, {_MS('e.time')} IS NULL AS odd FROM els WHERE type = 'break'",
+    "a11_position_pairs": rf"""WITH w AS (SELECT row_id, list_filter(string_split(translate(translate(translate(trim(syntagme), '"', ''''), '.,;:!?()[]{{}}', ''), '-_', '  '), ' '), lambda w: w <> '') AS w FROM bdd_ssml WHERE regexp_matches(syntagme, '[^\s\x{{85}}\x{{A0}}\x{{202F}}\x{{2009}}\x{{3000}}]'))
+        SELECT row_id, CAST(i - 1 AS INTEGER) AS i, translate(lower(w[i]), '{text.ACCENTS_WIDE[0]}', '{text.ACCENTS_WIDE[1]}') AS word,
+          translate(regexp_replace(lower(w[i]), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '{text.ACCENTS[0]}', '{text.ACCENTS[1]}') = regexp_replace(translate(lower(w[i]), '{text.ACCENTS_WIDE[0]}', '{text.ACCENTS_WIDE[1]}'), '[^a-z0-9_]', '', 'g') AS agrees FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)""",
     "r6_r7_corpus_targets": f"""WITH {_ELS}, t AS (SELECT record_id, i, {_PV("e.prosody.pitch")} AS p FROM els WHERE type = 'text' AND trim(e.text) <> ''), v AS (SELECT * FROM t WHERE p IS NOT NULL)
         SELECT record_id, i, round(p, 6) AS pitch, round((p - avg(p) OVER ()) / CASE WHEN stddev_pop(p) OVER () = 0 THEN 1 ELSE stddev_pop(p) OVER () END, 6) AS z FROM v""",
     "r16_r17_lexicon": """WITH l AS (SELECT word, max_by(phon, p_partkey) AS phon FROM (SELECT lower(split_part(p_name, ' ', 1)) AS word, p_partkey, p_name AS phon FROM part) GROUP BY word) SELECT * FROM l UNION ALL SELECT DISTINCT lower(n_name), lower(n_name) FROM nation WHERE lower(n_name) NOT IN (SELECT word FROM l)""",

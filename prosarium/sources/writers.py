@@ -77,3 +77,20 @@ def render_html(df: DataFrame, title: str = "", most: int = 1000) -> str:
     cell = lambda v, t: f"<{t}>{html.escape('' if v is None else str(v))}</{t}>"
     body = "".join("<tr>" + "".join(cell(v, "td") for v in r) + "</tr>" for r in rows)
     return f"<html><head><title>{html.escape(title)}</title></head><body><table><tr>{''.join(cell(c, 'th') for c in df.columns)}</tr>{body}</table></body></html>"
+
+
+def html_diff(a: str, b: str, width: int = 80) -> str:
+    """Two transcripts side by side, wrapped."""
+    import textwrap
+    from difflib import HtmlDiff
+
+    return HtmlDiff(wrapcolumn=width).make_table(textwrap.wrap(a, width), textwrap.wrap(b, width))
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """Df by way of a Parquet folder, which is made if it isn't there. The folder must be shared by all executors."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
