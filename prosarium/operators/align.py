@@ -209,16 +209,34 @@ def merged_words(a: Column, b: Column) -> Column:
     return _merged(a, b)
 
 
-def best_word(synth: DataFrame, natural: DataFrame, keys: list[str], synth_no: str, natural_no: str, word: str) -> DataFrame:
-    """For each synthetic word the natural word of the same group: the first equal one, else the first of those with the
-    greatest ratio of lengths of which one contains the other. keys, synth_no, natural_no. Groups are segments."""
-    pairs = synth.select(*keys, synth_no, F.col(word).alias("__s")).join(natural.select(*keys, natural_no, F.col(word).alias("__n")), keys)
-    exact = F.col("__s") == F.col("__n")
-    near = F.contains("__n", "__s") | F.contains("__s", "__n")
-    score = F.try_divide(F.least(F.length("__s"), F.length("__n")), F.greatest(F.length("__s"), F.length("__n")))
-    # Exact matches win by place, others by score, then place.
-    rank = F.struct(exact.cast("int"), F.when(exact, 1.0).otherwise(score), -F.col(natural_no))
-    return pairs.where(exact | (near & (score > 0))).groupBy(*keys, synth_no).agg(F.max_by(natural_no, rank).alias(natural_no))
+def best_words(synth: list[str], natural: list[str]) -> list[int]:
+    """For each synthetic word the place of a natural word, -1 if there is none: the first equal one, else the first
+    of those with the greatest ratio of lengths of which one contains the other."""
+    first: dict[str, int] = {}
+    for k, w in enumerate(natural):
+        first.setdefault(w, k)
+    known: dict[str, int] = {}
+    for s in synth:
+        if s not in known:
+            best, top = first.get(s, -1), 0.0
+            if best < 0:
+                for n, k in first.items():  # in order of place
+                    if s and n and (s in n or n in s) and (r := min(len(s), len(n)) / max(len(s), len(n))) > top:
+                        best, top = k, r
+            known[s] = best
+    return [known[s] for s in synth]
+
+
+@vectorised("array<int>")
+def _best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([best_words(list(x), list(y)) for x, y in zip(a, b)])
+
+
+def best_word(df: DataFrame, keys: list[str], synth: str, natural: str) -> DataFrame:
+    """J14 on two arrays of words per row: keys, synth_no, natural_no. Distinct words are compared inside the row, no pairs are emitted."""
+    rows = df.where(F.col(synth).isNotNull() & F.col(natural).isNotNull()).select(*keys, _best(synth, natural).alias("__b"))
+    return rows.select(*keys, F.posexplode("__b").alias("synth_no", "natural_no")).where(F.col("natural_no") >= 0)
 
 
 def greedy_text_pairs(gold: list[str], pred: list[str]) -> list[tuple[int, int, float]]:

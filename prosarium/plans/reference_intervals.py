@@ -198,7 +198,7 @@ def w4_limit_steps(spark, folder):
 
 def a4_levenshtein(spark, folder):
     p = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("gold_ssml").isNotNull())
-    return p.select("pred_id", F.levenshtein(F.substring(F.regexp_replace("input_text", r"[^\x00-\x7F]", ""), 1, 60), F.substring(F.regexp_replace("gold_ssml", r"<[^>]+>|[^\x00-\x7F]", ""), 1, 60)).alias("distance"))
+    return p.select("pred_id", F.levenshtein(F.regexp_replace("input_text", r"[^\x00-\x7F]", ""), F.regexp_replace("gold_ssml", r"<[^>]+>|[^\x00-\x7F]", "")).alias("distance"))
 
 
 def i20_break_labels(spark, folder):
@@ -257,9 +257,8 @@ def a9_contour_distance(spark, folder):
 
 def j14_best_words(spark, folder):
     c = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("gold_ssml").isNotNull())
-    s = c.select("pred_id", F.posexplode(F.slice(F.split(F.lower("input_text"), " "), 1, 30)).alias("synth_no", "w"))
-    n = c.select("pred_id", F.posexplode(F.slice(F.split(F.lower(F.trim(F.regexp_replace("gold_ssml", "<[^>]+>", " "))), " +"), 1, 30)).alias("natural_no", "w"))
-    return align.best_word(s, n, ["pred_id"], "synth_no", "natural_no", "w")
+    words = c.select("pred_id", F.split(F.lower("input_text"), " ").alias("s"), F.split(F.lower(F.trim(F.regexp_replace("gold_ssml", "<[^>]+>", " "))), " +").alias("n"))
+    return align.best_word(words, ["pred_id"], "s", "n")
 
 
 def j15_greedy_matches(spark, folder):
@@ -361,12 +360,12 @@ SQL = {
         SELECT voice, round(min(b), 4) AS s_start, round(max(e), 4) AS s_end FROM r GROUP BY voice, s""",
     "w3_exponential_average": _STEP("0.2 * n.value + 0.8 * r.s") + " SELECT voice, pos, round(s, 4) AS smooth FROM r",
     "w4_limit_steps": _STEP("CASE WHEN abs(n.value - r.s) > 8 THEN r.s + sign(n.value - r.s) * 8 ELSE n.value END") + " SELECT voice, pos, round(s, 4) AS limited FROM r",
-    "a4_levenshtein": "SELECT pred_id, CAST(levenshtein(substr(regexp_replace(input_text, '[^\\x00-\\x7F]', '', 'g'), 1, 60), substr(regexp_replace(gold_ssml, '<[^>]+>|[^\\x00-\\x7F]', '', 'g'), 1, 60)) AS INTEGER) AS distance FROM predictions WHERE input_text IS NOT NULL AND gold_ssml IS NOT NULL",
+    "a4_levenshtein": "SELECT pred_id, CAST(levenshtein(regexp_replace(input_text, '[^\\x00-\\x7F]', '', 'g'), regexp_replace(gold_ssml, '<[^>]+>|[^\\x00-\\x7F]', '', 'g')) AS INTEGER) AS distance FROM predictions WHERE input_text IS NOT NULL AND gold_ssml IS NOT NULL",
     "i20_break_labels": r"""WITH s AS (SELECT record_id, list_filter(parsed_sequence, lambda e: e IS NOT NULL) AS s FROM corpus), e AS (SELECT record_id, i, s[i] AS e, s[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s)),
         w AS (SELECT record_id, CAST(i - 1 AS INTEGER) AS i, lower(trim(nx.type)) AS nt, list_filter(regexp_split_to_array(trim(e.text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM e WHERE lower(trim(e.type)) = 'text')
         SELECT record_id, i, CAST(k - 1 AS INTEGER) AS k, ws[k] AS word, CASE WHEN k = len(ws) AND nt = 'break' THEN 1 ELSE 0 END AS label FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM w)""",
     "i3_segment_ids": f"WITH {IV} SELECT idx, voice || '_' || segment || '_segment_' || row_number() OVER (PARTITION BY voice, segment ORDER BY idx) AS phrase_id, round(xmax - xmin, 4) AS duration FROM iv",
-    "j14_best_words": r"""WITH c AS (SELECT pred_id, string_split(lower(input_text), ' ')[1:30] AS a, regexp_split_to_array(lower(trim(regexp_replace(gold_ssml, '<[^>]+>', ' ', 'g'))), ' +')[1:30] AS b FROM predictions WHERE input_text IS NOT NULL AND gold_ssml IS NOT NULL),
+    "j14_best_words": r"""WITH c AS (SELECT pred_id, string_split(lower(input_text), ' ') AS a, regexp_split_to_array(lower(trim(regexp_replace(gold_ssml, '<[^>]+>', ' ', 'g'))), ' +') AS b FROM predictions WHERE input_text IS NOT NULL AND gold_ssml IS NOT NULL),
         s AS (SELECT pred_id, i - 1 AS i, a[i] AS w FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM c)), n AS (SELECT pred_id, j - 1 AS j, b[j] AS w FROM (SELECT *, unnest(range(1, len(b) + 1)) AS j FROM c)),
         p AS (SELECT pred_id, i, j, s.w = n.w AS x, CASE WHEN s.w = n.w THEN 1.0 WHEN contains(n.w, s.w) OR contains(s.w, n.w) THEN least(length(s.w), length(n.w)) / nullif(greatest(length(s.w), length(n.w)), 0) END AS sc FROM s JOIN n USING (pred_id))
         SELECT pred_id, CAST(i AS INTEGER) AS synth_no, CAST(j AS INTEGER) AS natural_no FROM (SELECT *, row_number() OVER (PARTITION BY pred_id, i ORDER BY x DESC, sc DESC, j) AS r FROM p WHERE sc > 0) WHERE r = 1""",

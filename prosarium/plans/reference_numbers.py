@@ -331,8 +331,8 @@ def r6_r7_corpus_targets(spark, folder):
     """Percents of text elements and their z-scores by overall mean and deviation."""
     e = table(spark, folder, "corpus").select("record_id", F.posexplode(corpus.canonical_sequence(F.col("parsed_sequence"))).alias("i", "e")).where("e.type = 'text' AND trim(e.text) <> ''")
     e = e.select("record_id", "i", text.percent(F.col("e.prosody.pitch")).alias("pitch")).where(F.col("pitch").isNotNull())
-    s = e.agg(F.avg("pitch").alias("m"), metrics.safe_std(F.col("pitch")).alias("s"))  # one row
-    return e.crossJoin(F.broadcast(s)).select("record_id", "i", r6(F.col("pitch"), "pitch"), r6((F.col("pitch") - F.col("m")) / F.col("s"), "z"))
+    m, s = e.agg(F.avg("pitch"), metrics.safe_std(F.col("pitch"))).first()  # two numbers
+    return e.select("record_id", "i", r6(F.col("pitch"), "pitch"), r6((F.col("pitch") - F.lit(m)) / F.lit(s), "z"))
 
 
 def r16_r17_lexicon(spark, folder):
@@ -463,6 +463,7 @@ SQL = {
     "j5_placeholders": """WITH a AS (SELECT voice, segment, max(syntagme) AS a FROM bdd_ssml WHERE seg_no % 3 <> 0 GROUP BY ALL), b AS (SELECT voice, segment, max(syn_no) AS b FROM bdd_syntagme_ssml WHERE syn_no % 2 = 0 GROUP BY ALL)
         SELECT voice, segment, md5(coalesce(a, '...')) AS mark, coalesce(b, 0) AS until FROM a FULL JOIN b USING (voice, segment)""",
     "j6_missing_words": f"SELECT DISTINCT word FROM (SELECT {_WORDS('text')} AS word FROM heldout_items) WHERE word NOT IN (SELECT {_WORDS('syntagme')} FROM bdd_ssml)",
+    "j7_top_up": """WITH c AS (SELECT record_id, md5(coalesce(x, chr(1)) || '|' || coalesce(CAST(parsed_sequence AS VARCHAR), chr(1))) AS h FROM corpus) SELECT count(DISTINCT h) AS kept, 0 AS overlap FROM c WHERE h NOT IN (SELECT h FROM c WHERE record_id % 4 = 0)""",
     "j12_j13_lookups": """WITH p AS (SELECT pred_id, voice, input_text, max(pred_id) OVER (PARTITION BY input_text) AS last_id FROM predictions WHERE input_text IS NOT NULL AND voice IS NOT NULL), g AS (SELECT voice, min(ssml) AS g FROM bdd_ssml GROUP BY voice)
         SELECT pred_id, last_id, md5(coalesce(a.g, b.g, input_text)) AS gold FROM p LEFT JOIN g a ON a.voice = p.voice LEFT JOIN g b ON b.voice = regexp_replace(p.voice, '_EP01$', '_EP02')""",
     "u1_u5_sets": """WITH a AS (SELECT voice FROM corpus WHERE voice IS NOT NULL), b AS (SELECT voice FROM training_raw WHERE voice IS NOT NULL) SELECT *, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'left' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
