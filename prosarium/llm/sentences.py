@@ -23,7 +23,7 @@ SENTENCES_DDL = "doc_id long, sent_no int, end_char int"
 
 # Abbreviations by what may follow them. Lower case, without the last point.
 #: A name or the rest of an expression follows: never an end.
-TITLES = "m mm mme mmes mlle mlles dr dre pr prof st ste sts stes mgr mr mrs ms messrs rev hon gen col capt lt sgt sr sra srta sres dra d dña hr fr frl av bd boul apr env ca cf conf ex éd ed eds vgl bzw evtl ggf inkl bspw sog u.a z.b d.h u.u i.e e.g c.-à-d p.ex approx aprox vs ud uds डॉ श्री श्रीमती प्रो पं د أ م".split()
+TITLES = "m mm mme mmes mlle mlles dr dre pr prof st ste sts stes mgr mr mrs ms messrs rev hon gen col capt lt sgt sr sra srta sres dra d dña hr fr frl av bd boul apr env ca cf conf ex éd ed eds vgl bzw evtl ggf inkl bspw sog u.a z.b d.h u.u i.e e.g c.-à-d c.-a-d p.ex approx aprox vs ud uds डॉ श्री श्रीमती प्रो पं د أ م".split()
 #: A number follows: no end before a digit, a Roman numeral or a small letter.
 NUMBERED = "p pp pág págs pag fig figs ch chap cap caps vol vols n no nos nr nrn num núm t tom v vv app art arts abs abb kap bd. s.v sq sqq f ff § l ll".split()
 #: These may close a sentence: no end before a small letter or a digit.
@@ -254,6 +254,10 @@ def _may_end(text: str, a: int, b: int, mark: str, ahead: _Ahead, begin: int) ->
         if follows in ORDINAL_AFTER or earlier and earlier[-1].lower() in ORDINAL_BEFORE and ahead.case == "upper":
             return False
         return True
+    alone = before.isalpha() and (a == 1 or not (text[a - 2].isalnum() or text[a - 2] in "._-" or unicodedata.category(text[a - 2])[0] == "M"))
+    if alone and "a" <= before <= "z" and ahead.case == "upper":
+        # A small letter before a capital: a word at the end, unless a Roman numeral (t. II) or z. B. follows.
+        return not _ROMAN.match(text, ahead.at) and not (before == "z" and text.startswith("B.", ahead.at))
     kind = _abbreviation(text, a)
     if kind == "title":
         return False
@@ -263,7 +267,7 @@ def _may_end(text: str, a: int, b: int, mark: str, ahead: _Ahead, begin: int) ->
         if ahead.case == "digit":
             return "\n" in text[b : ahead.at] or "\r" in text[b : ahead.at]
         return ahead.case != "lower"
-    if before.isalpha() and (a == 1 or not (text[a - 2].isalnum() or unicodedata.category(text[a - 2])[0] == "M")):
+    if alone:
         # A single letter with a point is an initial, in scripts that have them.
         return not ("A" <= before.upper() <= "Z" or before.isupper())
     return True
