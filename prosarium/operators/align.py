@@ -34,12 +34,12 @@ def global_pairs(a: list[str], b: list[str], match: int = 1, mismatch: int = -1,
         row[0] = score[i, 0]
         row[1:] = np.maximum(score[i - 1, :-1] + same, score[i - 1, 1:] + gap)
         score[i] = np.maximum.accumulate(row - steps) + steps  # chains of gaps to the right
-    out, i, j = [], n, m
+    out, i, j, at = [], n, m, score.tolist()
     while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+        if i and j and at[i][j] == at[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif i and score[i, j] == score[i - 1, j] + gap:
+        elif i and at[i][j] == at[i - 1][j] + gap:
             i -= 1
             out.append((i, -1))
         else:
@@ -52,16 +52,16 @@ def best_similarity_pairs(sim: np.ndarray) -> list[tuple[int, int]]:
     """A2: one-to-one pairs in order with the greatest sum of similarities. On ties skipping on the left comes
     before skipping on the right, and a pair must be strictly better than either."""
     n, m = sim.shape
-    best = np.zeros((n + 1, m + 1))
-    move = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            up, left, both = best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + sim[i - 1, j - 1]
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    move = [[0] * (m + 1) for _ in range(n + 1)]
+    for i, row in enumerate(sim.tolist(), 1):
+        for j, s in enumerate(row, 1):
+            up, left, both = best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + s
             k = 0 if up >= left and up >= both else 1 if left >= both else 2
-            best[i, j], move[i, j] = (up, left, both)[k], k
+            best[i][j], move[i][j] = (up, left, both)[k], k
     out, i, j = [], n, m
     while i and j:
-        k = move[i, j]
+        k = move[i][j]
         if k == 2:
             out.append((i - 1, j - 1))
         i, j = i - (k != 1), j - (k != 0)
@@ -113,19 +113,21 @@ def dtw_rmse(a: np.ndarray, b: np.ndarray) -> float:
     n, m = len(a), len(b)
     if not n or not m:
         return float("nan")
-    cost = np.abs(a[:, None] - b[None, :])
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0
+    cost = np.abs(a[:, None] - b[None, :]).tolist()
+    total = [[float("inf")] * (m + 1) for _ in range(n + 1)]
+    total[0][0] = 0.0
     for i in range(1, n + 1):
+        above, row, costs = total[i - 1], total[i], cost[i - 1]
         for j in range(1, m + 1):
-            total[i, j] = cost[i - 1, j - 1] + min(total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])
+            row[j] = costs[j - 1] + min(above[j - 1], above[j], row[j - 1])
     i, j, squares, steps = n, m, 0.0, 0
     while i and j:
-        squares += cost[i - 1, j - 1] ** 2
+        squares += cost[i - 1][j - 1] ** 2
         steps += 1
-        k = int(np.argmin((total[i - 1, j - 1], total[i - 1, j], total[i, j - 1])))
+        ways = (total[i - 1][j - 1], total[i - 1][j], total[i][j - 1])
+        k = ways.index(min(ways))
         i, j = i - (k != 2), j - (k != 1)
-    return float(np.sqrt(squares / steps))
+    return (squares / steps) ** 0.5
 
 
 @vectorised("double")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import prosody, ssml, text
 from ..operators import corpus
-from .tables import table
+from .tables import dealt_out, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     """Texts without letters outside ASCII and Latin-1, in which SQL engines agree on case and classes."""
-    return table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"[^\x09\x0A\x20-\x7E\x{C0}-\x{FF}]", "").alias("t")).where(F.col("t").isNotNull())
+    d = dealt_out(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", F.regexp_replace("text", r"[^\x09\x0A\x20-\x7E\x{C0}-\x{FF}]", "").alias("t")).where(F.col("t").isNotNull())
 
 
 _DOCS = r"docs AS (SELECT doc_id, regexp_replace(text, '[^\x09\x0A\x20-\x7E\x{C0}-\x{FF}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"
