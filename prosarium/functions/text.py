@@ -18,6 +18,9 @@ FUNCTION_WORDS = "que et ou mais donc car ni où dont à de du au aux en par pou
 #: Closed classes that no pause may follow (DET ADP CCONJ SCONJ PART PRON), seeded by the function words.
 NO_PAUSE_AFTER = sorted({*FUNCTION_WORDS, *"le la les l un une des ce cet cette ces mon ma mes son sa ses leur leurs je tu il elle on nous vous ils elles se ne qui".split()})
 SPELLING = {"predestinait": "prédestinait", "appatride": "apatride", "magellane": "Magellan", "qu'est-ce": "Qu'est-ce"}
+#: The word and space classes of the reference, which is Python: combining marks are no part of words, the separators 1C to 1F are white space.
+MARK = r"(?U)[^\p{L}\p{N}_\s\x1C-\x1F]"
+SPACE = r"(?U)[\s\x1C-\x1F]"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -35,9 +38,24 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def squeeze_all(c: Column) -> Column:
+    """Single spaces for white space of any kind, no-break spaces among it."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def strip_all(c: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE[4:]}+", "")
+
+
+def whole_word(group: str) -> str:
+    """Pattern of one of the words, without letters, digits or underscores beside it."""
+    return rf"(?iU)(?<![\p{{L}}\p{{N}}_])({group})(?![\p{{L}}\p{{N}}_])"
+
+
 def fold_word(c: Column) -> Column:
     """small letters, no punctuation, French accents dropped."""
-    return F.translate(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""), *ACCENTS)
+    return F.translate(F.regexp_replace(F.lower(c), MARK, ""), *ACCENTS)
 
 
 def fold_word_plain(c: Column) -> Column:
@@ -52,17 +70,17 @@ def alignment_token(c: Column) -> Column:
 
 def loose(c: Column) -> Column:
     """small letters, no punctuation, single spaces."""
-    return squeeze(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
+    return squeeze_all(F.regexp_replace(F.lower(c), MARK, ""))
 
 
 def without_punctuation(c: Column) -> Column:
     """small letters, no punctuation, spaces inside kept."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
+    return F.trim(F.regexp_replace(F.lower(c), MARK, ""))
 
 
 def without_ascii_punctuation(c: Column) -> Column:
     """ASCII punctuation dropped, small letters, single spaces."""
-    return squeeze(F.lower(F.translate(c, ASCII_PUNCTUATION, "")))
+    return squeeze_all(F.lower(F.translate(c, ASCII_PUNCTUATION, "")))
 
 
 @vectorised("string")
@@ -79,14 +97,14 @@ def composed(c: Column) -> Column:
 def drop_marks_after(c: Column, words: list[str]) -> Column:
     """F8 3a: commas and points right after one of the words are dropped."""
     group = "|".join(words)
-    return F.regexp_replace(c, rf"(?iU)\b({group})\b\s*[,.]+", "$1")
+    return F.regexp_replace(c, rf"{whole_word(group)}{SPACE[4:]}*[,.]+", "$1")
 
 
 def clean_transcript(c: Column) -> Column:
     """F8 without the tagger's part: single spaces, no comma, point or [*] after function words, no semicolon.
     Dropping [*] also takes the space after it."""
     group = "|".join(FUNCTION_WORDS)
-    c = F.regexp_replace(drop_marks_after(squeeze(c), FUNCTION_WORDS), rf"(?iU)\b({group})\b\s*\[\*\]\s*", "$1")
+    c = F.regexp_replace(drop_marks_after(squeeze_all(c), FUNCTION_WORDS), rf"{whole_word(group)}\s*\[\*\]\s*", "$1")
     return F.translate(c, ";", "")
 
 
@@ -94,7 +112,7 @@ def drop_spurious_marks(c: Column, also_points: bool = False) -> Column:
     """commas and [*] after a word that no pause may follow. The word's class comes from the
     closed list NO_PAUSE_AFTER, in place of a tagger."""
     group = "|".join(NO_PAUSE_AFTER)
-    return F.regexp_replace(c, rf"(?iU)\b({group})\b\s*(?:\[\*\]|{'[,.]' if also_points else ','})+", "$1")
+    return F.regexp_replace(c, rf"{whole_word(group)}{SPACE[4:]}*(?:\[\*\]|{'[,.]' if also_points else ','})+", "$1")
 
 
 def without_commas(c: Column) -> Column:
@@ -104,7 +122,7 @@ def without_commas(c: Column) -> Column:
 
 def aligner_text(c: Column) -> Column:
     """punctuation to spaces, then single spaces."""
-    return squeeze(F.regexp_replace(c, r'[.,!?;:"\\()\-_“”«»]', " "))
+    return squeeze_all(F.regexp_replace(c, r'[.,!?;:"\\()\-_“”«»]', " "))
 
 
 def manifest_words(c: Column) -> Column:
@@ -119,13 +137,17 @@ def straight_to_apostrophe(c: Column) -> Column:
     return F.translate(c, '"', "'")
 
 
-def word_count(c: Column) -> Column:
-    """words between white space; 0 for blank and null."""
+def word_count(c: Column, wide: bool = False) -> Column:
+    """words between white space; 0 for blank and null. wide: white space of any kind, as str.split()."""
+    if wide:
+        return F.coalesce(F.size(F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")), F.lit(0))
     return F.when(is_blank(c), F.lit(0)).otherwise(F.size(F.split(squeeze(c), " ")))
 
 
-def sentence_count(c: Column) -> Column:
-    """non-blank parts between runs of . ! ?"""
+def sentence_count(c: Column, wide: bool = False) -> Column:
+    """non-blank parts between runs of . ! ? wide: blank is white space of any kind."""
+    if wide:
+        return F.size(F.filter(F.split(c, r"[.!?]+"), lambda p: strip_all(p) != ""))
     return F.size(F.filter(F.split(c, r"[.!?]+"), lambda p: F.trim(p) != ""))
 
 
@@ -153,7 +175,7 @@ def breath_hint(c: Column) -> Column:
 def correct_spelling(c: Column, corrections: dict[str, str] | None = None) -> Column:
     """whole words, whatever their case."""
     for wrong, right in (corrections or SPELLING).items():
-        c = F.regexp_replace(c, rf"(?iU)\b{wrong}\b", right)
+        c = F.regexp_replace(c, whole_word(wrong), right)
     return c
 
 

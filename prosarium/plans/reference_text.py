@@ -46,6 +46,37 @@ def f16_f18_escapes(spark, folder):
     return _docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
 
 
+def _whole_docs(spark: SparkSession, folder: str) -> DataFrame:
+    d = dealt_out(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return d.select("doc_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
+
+
+def f1_f6_whole_texts(spark, folder):
+    """As f1_f6_normal_forms, on the texts as they are. No SQL for these four, as engines differ in case, classes and white space."""
+    t = F.col("t")
+    cols = {"f1": text.fold_word(t), "f2": text.fold_word_plain(t), "f3": text.alignment_token(t), "f4": text.loose(t), "f5": text.strip_all(text.without_punctuation(t)), "f6": text.without_ascii_punctuation(t)}
+    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
+
+
+def f8_f13_whole_texts(spark, folder):
+    """As f8_f13_cleaning, on the texts as they are; F12 and F13 drop line ends at both ends first."""
+    t = F.col("t")
+    line = F.btrim(t, F.lit("\n"))
+    cols = {"f8": text.clean_transcript(t), "f9": text.drop_spurious_marks(t), "f10": text.without_commas(t), "f11": text.aligner_text(t), "f12": F.array_join(F.transform(text.manifest_words(line), lambda p: F.concat(p["word"], F.lit("|"), p["original"])), " "), "f13": text.straight_to_apostrophe(line)}
+    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
+
+
+def f14_f15_whole_texts(spark, folder):
+    t = F.col("t")
+    return _whole_docs(spark, folder).select("doc_id", text.word_count(t, wide=True).alias("words"), text.sentence_count(t, wide=True).alias("sentences"), text.mark_count(t).alias("marks"))
+
+
+def f16_f18_whole_texts(spark, folder):
+    t = F.col("t")
+    cols = {"f16": text.xml_escape(text.without_control(t)), "f17": text.breath_hint(t), "f18": text.correct_spelling(t)}
+    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
+
+
 def f19_f21_names(spark, folder):
     p = table(spark, folder, "predictions")
     return p.select("pred_id", text.model_label(F.col("model")).alias("label"), text.speaker_of(F.col("voice")).alias("speaker"), text.episode_of(F.col("voice")).alias("episode"))
@@ -234,7 +265,7 @@ def p10_p11_filters(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        f1_f6_normal_forms, f7_composed, f8_f13_cleaning, f14_f15_counts, f16_f18_escapes, f19_f21_names, f22_f23_prompts, x1_parsed, x2_x4_x12_reading, x5_x7_documents, x6_chunk_documents, x8_damping,
+        f1_f6_normal_forms, f1_f6_whole_texts, f7_composed, f8_f13_cleaning, f8_f13_whole_texts, f14_f15_counts, f14_f15_whole_texts, f16_f18_escapes, f16_f18_whole_texts, f19_f21_names, f22_f23_prompts, x1_parsed, x2_x4_x12_reading, x5_x7_documents, x6_chunk_documents, x8_damping,
         x8_x9_legacy_documents, x10_breaks_of_150, x11_x13_service, x14_respeed, x15_parse_answers, x16_x17_from_params, x18_element_values, x19_x23_layouts, x24_x25_layouts, x26_x27_chunks, x28_paragraphs,
         x28_segments, x29_x30_checks, i22_segment_samples, i23_params, i24_prediction_sequence, g24_merged_maps,
     )
