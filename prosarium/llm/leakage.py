@@ -1,7 +1,7 @@
 """Evaluation items that leak into documents.
 
 Words are hashed with weights into 64-bit SimHash fingerprints of windows sized by the item: as
-long as the run of words that a leak of the least length must leave untouched, however its allowed
+long as the run of words that a leak of any length must leave untouched, however its allowed
 changes are spread. Every document window is looked up in a multi-index of the items' windows,
 RADIUS + 1 blocks of bits, which by the pigeonhole principle finds every fingerprint within RADIUS
 bits. A found place is a candidate alignment of a document and an item; candidates are checked
@@ -117,11 +117,8 @@ class Items:
         for i, c in enumerate(self.codes):
             self.member[i, c] = True
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
-        m = np.maximum(1, np.ceil(LEAST * self.lengths - 1e-9).astype(np.int64))
-        e = (CHANGED * m + 1e-9).astype(np.int64)
-        w = np.array([window_width(max(1, int(k))) for k in self.lengths], np.int64)
-        self.least_hits = np.maximum(1, m - w + 1 - w * e)
-        self.bands = int(e.max(initial=0)) // 8 + 1  # bands of 8 diagonals that a leak's changes can reach
+        self.least_hits = np.array([least_hits(len(c)) for c in self.codes], np.int64)
+        self.bands = int(CHANGED * self.lengths.max(initial=0) + 1e-9) // 8 + 1  # bands of 8 diagonals that a leak's changes can reach
         # Two-word shingles of items, and which item has which.
         size = len(seen) + 1
         shingles = [np.unique(c[:-1].astype(np.int64) * size + c[1:]) for c in self.codes]
@@ -140,11 +137,27 @@ class Items:
         return np.append(np.where(self.shingles[at] == key, at, none), none)
 
 
+@cache
+def stretches(words: int) -> list[tuple[int, int]]:
+    """(k, e): lengths of leaks of an item and the changes they may hold, from the least length on, each
+    time one more change is allowed. Lengths between have the changes of the one before and keep more."""
+    out: list[tuple[int, int]] = []
+    for k in range(max(1, int(np.ceil(LEAST * words - 1e-9))), max(1, words) + 1):
+        e = int(CHANGED * k + 1e-9)
+        if not out or e > out[-1][1]:
+            out.append((k, e))
+    return out
+
+
 def window_width(words: int) -> int:
-    """Longest run that e changes must leave untouched in a stretch of m words, the least of a leak."""
-    m = max(1, int(np.ceil(LEAST * words - 1e-9)))
-    e = int(CHANGED * m + 1e-9)
-    return max(1, -(-(m - e) // (e + 1)))
+    """Longest run that the changes must leave untouched in a leak of any length."""
+    return max(1, min(-(-(k - e) // (e + 1)) for k, e in stretches(words)))
+
+
+def least_hits(words: int) -> int:
+    """Fewest windows without a change in a leak of any length: k - w + 1 but for w per change."""
+    w = window_width(words)
+    return max(1, min(k - w + 1 - w * e for k, e in stretches(words)))
 
 
 class _Index:
@@ -236,7 +249,7 @@ class Scanner:
             diagonal = at - start[owner[at]] - place
             band = (diagonal + (1 << 30)) // 8
             key, hits = np.unique((owner[at] * len(it.ids) + item) * (1 << 31) + band, return_counts=True)
-            # A leak of the least length keeps m - w + 1 windows but for w per change, all within reach of its diagonal.
+            # All windows that a leak keeps lie within reach of its diagonal.
             near = sum(_at(key, hits, key + k) for k in range(-it.bands, it.bands + 1))
             keys.append(key[near >= it.least_hits[(key >> 31) % len(it.ids)]])
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -257,19 +270,17 @@ class Scanner:
         return sorted({p for p, ok in zip(pairs, hold_stretches(spans)) if ok})
 
     def _weigh(self, codes: np.ndarray, start: np.ndarray, lengths: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Similarity by shingles, as a necessary condition: a stretch of m words with e changes keeps at
-        least m - 1 - 2e of the item's two-word shingles and m - e of its words, within reach of the
-        candidate's diagonal. Every shingle weighs the same, else no bound would hold for all leaks."""
+        """Similarity by shingles, as a necessary condition: a stretch of k words with e changes keeps at
+        least k - 1 - 2e of the item's two-word shingles and k - e of its words in k + e words, as words may be
+        added, within reach of the candidate's diagonal; a candidate needs them for some k. Every shingle weighs
+        the same, else no bound would hold for all leaks."""
         it = self.items
         out = np.zeros(len(doc), bool)
         shingles = np.append(it.shingle_codes(codes), len(it.shingles))
         words = np.append(codes, 0)
         for n in np.unique(it.lengths[item]):
-            m = max(1, int(np.ceil(LEAST * n - 1e-9)))
-            e = int(CHANGED * m + 1e-9)
             reach = int(CHANGED * n) + 9
             size = int(n) + 2 * reach
-            w = min(size, m + e)  # added words lengthen the stretch
             mine = np.flatnonzero(it.lengths[item] == n)
             for part in np.array_split(mine, len(mine) * size // 4_000_000 + 1):
                 if not len(part):
@@ -278,8 +289,10 @@ class Scanner:
                 inside = (at >= 0) & (at < lengths[doc[part]][:, None])
                 at = np.where(inside, at + start[doc[part]][:, None], len(codes))
                 who = item[part][:, None]
-                good = _densest(it.has[who, shingles[at]], w) >= m - 1 - 2 * e
-                out[part[good]] = _densest(it.member[who[good], words[at[good]]], w) >= m - e
+                pairs, single = _sums(it.has[who, shingles[at]]), _sums(it.member[who, words[at]])
+                for k, e in stretches(int(n)):
+                    w = min(size, k + e)
+                    out[part] |= (_densest(pairs, w) >= k - 1 - 2 * e) & (_densest(single, w) >= k - e)
         return out
 
     def _spans(self, size: int, i: int, diagonals: list[int]) -> list[tuple[int, int]]:
@@ -296,10 +309,15 @@ class Scanner:
         return spans
 
 
-def _densest(hit: np.ndarray, width: int) -> np.ndarray:
-    """Most hits in any `width` neighbouring places, by row."""
+def _sums(hit: np.ndarray) -> np.ndarray:
+    """Hits before each place and before the end, by row."""
     total = np.zeros((hit.shape[0], hit.shape[1] + 1), np.int32)
     np.cumsum(hit, axis=1, out=total[:, 1:])
+    return total
+
+
+def _densest(total: np.ndarray, width: int) -> np.ndarray:
+    """Most hits in any `width` neighbouring places, by row, from their sums."""
     return (total[:, width:] - total[:, :-width]).max(axis=1)
 
 
