@@ -201,6 +201,12 @@ def a4_levenshtein(spark, folder):
     return p.select("pred_id", F.levenshtein(F.regexp_replace("input_text", r"[^\x00-\x7F]", ""), F.regexp_replace("gold_ssml", r"<[^>]+>|[^\x00-\x7F]", "")).alias("distance"))
 
 
+def a4_whole_texts(spark, folder):
+    """As a4_levenshtein, on the whole texts: characters of any script count, only the mark-up is dropped. No SQL, as DuckDB counts bytes."""
+    p = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("gold_ssml").isNotNull())
+    return p.select("pred_id", F.levenshtein("input_text", F.regexp_replace("gold_ssml", "<[^>]+>", "")).alias("distance"))
+
+
 def i20_break_labels(spark, folder):
     """1 on the last word of a text element before a break, 0 on the other words."""
     from ..operators.corpus import canonical_sequence
@@ -298,7 +304,7 @@ QUERIES = {
     for f in (
         i1_words_and_pauses, i2_fill_silences, i3_segment_ids, i4_legacy_chunks, i5_chunks, i6_without_false_pauses, i7_sentence_pauses, i8_pause_after, i9_speech_runs, i10_break_events,
         i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
-        j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a5_merged_words, a6_repair_overlaps,
+        j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a4_whole_texts, a5_merged_words, a6_repair_overlaps,
         a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors,
     )
 }

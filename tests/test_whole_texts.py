@@ -55,3 +55,21 @@ def test_whole_texts_match_brute_force(spark, tmp_path, name):
     for k, t in enumerate(TEXTS):
         want = {c: v if isinstance(v, int) else hashlib.md5(v.encode()).hexdigest() for c, v in brute(t).items() if c in df.columns}
         assert (k, got[k]) == (k, want)
+
+
+def edits(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_edit_distance_of_whole_texts(spark, tmp_path):
+    pairs = [("L’été à Noël", "L'ete a Noel"), ("été", "t"), ("«\u00a0Oui\u00a0»", "<p>« Oui »</p>"), ("静かだ", "静<break/>か"), ("𝄞a", "a"), ("e\u0301", "é"), ("", "<s>é</s>"), ("abc", "abc"), (None, "x"), ("x", None)]
+    data = [(k, a, b) for k, (a, b) in enumerate(pairs)]
+    spark.createDataFrame(data, "pred_id long, input_text string, gold_ssml string").write.parquet(f"{tmp_path}/predictions.parquet")
+    got = {r["pred_id"]: r["distance"] for r in reference.QUERIES["a4_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {k: edits(a, re.sub("<[^>]+>", "", b)) for k, a, b in data if a is not None and b is not None} and got[0] == 5 and got[1] == 2
