@@ -104,6 +104,12 @@ def i13_window_grid(spark, folder):
     return intervals.window_grid(d, KEYS, "dur").select(*KEYS, "w_start", F.round("w_end", 4).alias("w_end"))
 
 
+def i13_segment_windows(spark, folder):
+    """The grid over whole segments: from 0 to the last usable end of a chunk."""
+    c = table(spark, folder, "bdd_syntagme_ssml").select(*KEYS, F.col("end_syntagme_natural").alias("e")).where("e > 0 AND e < double('infinity')")  # NaN is above infinity
+    return intervals.window_grid(c.groupBy(*KEYS).agg(F.max("e").alias("dur")), KEYS, "dur").select(*KEYS, "w_start", F.round("w_end", 4).alias("w_end"))
+
+
 def i14_consecutive_runs(spark, folder):
     d = table(spark, folder, "bdd_ssml").select("voice", F.col("seg_no").cast("bigint").alias("seg_no"))
     return intervals.consecutive_runs(d, ["voice"], "seg_no")
@@ -303,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_words_and_pauses, i2_fill_silences, i3_segment_ids, i4_legacy_chunks, i5_chunks, i6_without_false_pauses, i7_sentence_pauses, i8_pause_after, i9_speech_runs, i10_break_events,
-        i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
+        i11_pause_table, i12_gap_sessions, i13_window_grid, i13_segment_windows, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
         j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a4_whole_texts, a5_merged_words, a6_repair_overlaps,
         a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors,
     )
@@ -334,6 +340,8 @@ SQL = {
         SELECT voice, segment, idx, round(gap, 4) AS gap_s, NOT gap > 0.01 AS no_pause FROM g WHERE gap IS NOT NULL""",
     "i13_window_grid": f"""WITH {IV}, d AS (SELECT voice, segment, round(max(xmax) % 1000, 3) AS dur FROM iv GROUP BY ALL)
         SELECT voice, segment, w_start, round(least(w_start + 15.0, dur), 4) AS w_end FROM (SELECT voice, segment, dur, CAST(unnest(range(0, CAST(floor(dur) AS BIGINT), 15)) AS INTEGER) AS w_start FROM d)""",
+    "i13_segment_windows": """WITH d AS (SELECT voice, segment, max(end_syntagme_natural) AS dur FROM bdd_syntagme_ssml WHERE isfinite(end_syntagme_natural) AND end_syntagme_natural > 0 GROUP BY ALL)
+        SELECT voice, segment, w_start, round(least(w_start + 15.0, dur), 4) AS w_end FROM (SELECT voice, segment, dur, CAST(unnest(range(0, CAST(floor(dur) AS BIGINT), 15)) AS INTEGER) AS w_start FROM d)""",
     "i14_consecutive_runs": "SELECT voice, min(s) AS first_no, max(s) AS last_no, count(*) AS n FROM (SELECT voice, s, s - row_number() OVER (PARTITION BY voice ORDER BY s) AS i FROM (SELECT DISTINCT voice, CAST(seg_no AS BIGINT) AS s FROM bdd_ssml WHERE seg_no IS NOT NULL)) GROUP BY voice, i",
     "i16_close_small_gaps": f"""WITH {IV}, a AS (SELECT voice, segment, idx, floor(xmin * 1000) / 1000 AS xmin, CASE WHEN idx % 2 = 0 THEN floor(xmax * 1000) / 1000 - 0.05 ELSE floor(xmax * 1000) / 1000 - 0.5 END AS e FROM iv), g AS (SELECT *, round(xmin - coalesce(lag(e) OVER w, 0), 3) AS gap FROM a {_W}),
         s AS (SELECT *, sum(CASE WHEN gap <= 0.11 THEN gap ELSE 0 END) OVER (PARTITION BY voice, segment ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM g)
