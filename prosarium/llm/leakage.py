@@ -327,7 +327,8 @@ def hold_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 6
 
     A local alignment (a match earns 1, a change, addition or omission costs 1) gives the best chain of
     matching words; every part of the chain is then held against both limits. Pairs of like
-    size are aligned together, row by row.
+    size are aligned together, row by row. Where no part holds but the score would do for some
+    stretch, all other chains are looked at, too.
     """
     out = [False] * len(pairs)
     order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
@@ -338,7 +339,8 @@ def hold_stretches(pairs: list[tuple[np.ndarray, np.ndarray]], together: int = 6
         batch = order[at : at + take]
         at += take
         for k, chain in zip(batch, _chains([pairs[k][0] for k in batch], [pairs[k][1] for k in batch])):
-            out[k] = _within_limits(chain, len(pairs[k][0]))
+            n = len(pairs[k][0])
+            out[k] = _within_limits(chain, n) or (_score(chain) >= min(length - 2 * e for length, e in stretches(n)) and _any_stretch(*pairs[k]))
     return out
 
 
@@ -388,6 +390,41 @@ def _within_limits(chain: np.ndarray, n: int) -> bool:
     return bool(((length >= LEAST * n - 1e-9) & (wrong <= CHANGED * length + 1e-9)).any())
 
 
+def _score(chain: np.ndarray) -> int:
+    return 2 * len(chain) - 1 - int(np.maximum(np.diff(chain[:, 0]), np.diff(chain[:, 1])).sum()) if len(chain) else 0
+
+
+def _any_stretch(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether any chain of matching words is within the limits: from every item word that could begin
+    one, the fewest changes to every match that could end it, row by row for all beginnings at once."""
+    n, size = len(a), len(b)
+    steps, far = np.arange(size + 1, dtype=np.int32), np.int32(1 << 28)
+    least = stretches(n)[0][0]
+    together = max(1, 4_000_000 // (size + 1))
+    for first in range(0, n - least + 1, together):
+        until = min(first + together, n - least + 1)
+        cost = np.zeros((0, size + 1), np.int32)  # by beginning and words of b so far
+        begun = np.zeros(0, np.int64)
+        for i in range(first, n):
+            same = b == a[i]
+            length = i - begun + 1
+            ends = cost[:, :-1][:, same].min(axis=1, initial=far)
+            if ((length >= least) & (ends <= CHANGED * length + 1e-9)).any() or (least == 1 and same.any()):
+                return True
+            new = np.full_like(cost, far)
+            np.minimum(cost[:, :-1] + np.where(same, np.int32(0), np.int32(1)), cost[:, 1:] + 1, out=new[:, 1:])
+            if i < until:
+                new = np.concatenate([new, np.where(np.append(False, same), np.int32(0), far)[None]])
+                begun = np.append(begun, i)
+            # Additions cost 1 each along the row.
+            cost = np.minimum.accumulate(new - steps, axis=1) + steps
+            live = cost.min(axis=1) <= CHANGED * (n - begun) + 1e-9
+            cost, begun = cost[live], begun[live]
+            if i >= until and not len(begun):
+                break
+    return False
+
+
 def _at(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Counts of the wanted keys, 0 for those that aren't there; keys are sorted."""
     if not len(keys):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from prosarium.llm import leakage
@@ -45,3 +46,43 @@ def test_bounds_hold_for_all_lengths(n):
         runs = [min(w - 1, k)] * e  # runs a window short, the rest in the last
         assert -(-(k - e) // (e + 1)) >= w
         assert max(0, k - e - sum(runs) - w + 1) >= leakage.least_hits(n)
+
+
+def test_leak_beside_a_better_but_more_changed_copy():
+    rng = random.Random(3)
+    words = [word(rng) for _ in range(60)]
+    leak = made(rng, words[:25], 5, "changed")
+    copy = [word(rng) + "x" if k % 3 == 2 else w for k, w in enumerate(words)]  # one in three changed
+    before, after = ([word(rng) for _ in range(40)] for _ in range(2))
+    docs = [[*before, *leak, *copy, *after], [*before, *copy, *after], [*before, *leak, *after]]
+    assert leakage.Scanner(leakage.Items([0], [words])).scan(docs) == [(0, 0), (2, 0)]
+
+
+def holds(a, b):
+    """Brute force: the fewest changes of every chain between two matches."""
+    n = len(a)
+    for i in range(n):
+        for j in range(len(b)):
+            if a[i] != b[j]:
+                continue
+            best = {(i, j): 0}  # fewest changes of a chain that ends with this match
+            for p in range(i, n):
+                for q in range(j, len(b)):
+                    if a[p] == b[q]:
+                        ways = [c + max(p - r, q - s) - 1 for (r, s), c in best.items() if r < p and s < q]
+                        best[p, q] = min(ways + ([0] if (p, q) == (i, j) else [])) if ways or (p, q) == (i, j) else 99
+                        if p - i + 1 >= 0.4 * n - 1e-9 and best[p, q] <= 0.2 * (p - i + 1) + 1e-9:
+                            return True
+    return False
+
+
+def test_any_stretch_matches_brute_force():
+    rng = random.Random(5)
+    seen = []
+    for _ in range(1500):
+        a, b = ([rng.randint(1, rng.choice([4, 9])) for _ in range(rng.randint(1, 16))] for _ in range(2))
+        want = holds(a, b)
+        pair = (np.array(a, np.int32), np.array(b, np.int32))
+        assert leakage._any_stretch(*pair) == want == leakage.hold_stretches([pair])[0], (a, b)
+        seen.append(want)
+    assert 100 < sum(seen) < 1400
