@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,22 +50,31 @@ def _sha(text: str) -> str:
 
 
 def _merkle(x: object, names: dict[int, str]) -> str:
-    """Identity of a parsed JSON value; names gets the identity of every object and list by id()."""
-    if isinstance(x, dict):
-        held = sorted((k, _merkle(v, names)) for k, v in x.items() if v is not None)
-        out = _sha(",".join(["o", *(f"{k}={v}" for k, v in held)]))
-    elif isinstance(x, list):
-        out = _sha(",".join(["l", *(_merkle(v, names) for v in x)]))
-    elif x is None:
-        return _sha("z")
-    elif isinstance(x, bool):
-        return _sha("b:" + str(x).lower())
-    elif isinstance(x, str):
-        return _sha("s:" + x)
-    else:
-        return _sha("n:" + _plain(x))
-    names[id(x)] = out
-    return out
+    """Identity of a parsed JSON value, of any depth; names gets the identity of every object and list by id()."""
+    out: list[str] = []  # identities of members whose holder isn't done
+    todo: list[tuple[object, bool]] = [(x, False)]
+    while todo:
+        v, ready = todo.pop()
+        if isinstance(v, (dict, list)):
+            if not ready:
+                todo.append((v, True))
+                todo += [(m, False) for m in reversed(v.values() if isinstance(v, dict) else v)]
+                continue
+            ids = out[len(out) - len(v) :]
+            del out[len(out) - len(v) :]
+            if isinstance(v, dict):
+                own = _sha(",".join(["o", *(f"{k}={i}" for k, i in sorted((k, i) for (k, m), i in zip(v.items(), ids) if m is not None))]))
+            else:
+                own = _sha(",".join(["l", *ids]))
+            names[id(v)] = own
+            out.append(own)
+        elif v is None:
+            out.append(_sha("z"))
+        elif isinstance(v, bool):
+            out.append(_sha("b:" + str(v).lower()))
+        else:
+            out.append(_sha("s:" + v if isinstance(v, str) else "n:" + _plain(v)))
+    return out[0]
 
 
 def _plain(x: int | float) -> str:
@@ -91,11 +101,98 @@ def parse_json(text: str | None) -> tuple[bool, object]:
     if not text:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        try:
+            return True, json.loads(text, parse_constant=_no_constant)
+        except RecursionError:
+            return True, _read_deep(text)
+    except ValueError:
         return False, None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = json.JSONDecoder(parse_constant=_no_constant).scan_once
+
+
+def _read_deep(text: str) -> object:
+    """As json.loads, for values nested deeper than it reads."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    top: list[object] = []
+    open_: list[tuple[object, str]] = [(top, "")]  # objects and lists whose end isn't read, with the key of the member at hand
+
+    def member(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"no key at {i}")
+        key, i = _SCALAR(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"no colon at {i}")
+        return key, skip(i + 1)
+
+    i = skip(0)
+    while True:
+        holder, key = open_[-1]
+        mark = text[i : i + 1]
+        if mark in ("{", "["):
+            value: object = {} if mark == "{" else []
+            i = skip(i + 1)
+            inside = text[i : i + 1] != ("}" if mark == "{" else "]")
+        else:
+            try:
+                value, i = _SCALAR(text, i)
+            except StopIteration as e:
+                raise ValueError(f"no value at {i}") from e
+            inside = False
+        if isinstance(holder, dict):
+            holder[key] = value
+        else:
+            holder.append(value)
+        if inside:
+            name, i = member(i) if mark == "{" else ("", i)
+            open_.append((value, name))
+            continue
+        if mark in ("{", "["):
+            i += 1
+        while True:  # what follows a value
+            i = skip(i)
+            holder = open_[-1][0]
+            if holder is top:
+                if i != len(text):
+                    raise ValueError(f"more at {i}")
+                return top[0]
+            after = text[i : i + 1]
+            i += 1
+            if after == ",":
+                i = skip(i)
+                if isinstance(holder, dict):
+                    name, i = member(i)
+                    open_[-1] = holder, name
+                break
+            if after != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"no end at {i}")
+            open_.pop()
+
+
+def _written(x: object, sort_keys: bool = False) -> str:
+    """JSON text, of any depth."""
+    try:
+        return json.dumps(x, ensure_ascii=False, sort_keys=sort_keys)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[object, bool]] = [(x, False)]
+    while todo:
+        v, raw = todo.pop()
+        if raw or not isinstance(v, (dict, list)):
+            out.append(v if raw else json.dumps(v, ensure_ascii=False))
+            continue
+        parts: list[tuple[object, bool]] = []
+        for k, m in (sorted(v.items(), key=lambda e: e[0]) if sort_keys else v.items()) if isinstance(v, dict) else enumerate(v):
+            parts += [(", " if parts else "", True), (json.dumps(k, ensure_ascii=False) + ": " if isinstance(v, dict) else "", True), (m, False)]
+        ends = "{}" if isinstance(v, dict) else "[]"
+        todo += reversed([(ends[0], True), *parts, (ends[1], True)])
+    return "".join(out)
+
+
 def _opened(x: object) -> object:
     """A string that itself holds a JSON object or list, read; anything else as it is."""
     if isinstance(x, str) and (s := x.strip(" \t\r\n"))[:1] in ("{", "["):
@@ -121,7 +218,7 @@ def _flat(x: object) -> Iterator[object]:
 
 
 def _text(x: object) -> str:
-    return x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+    return x if isinstance(x, str) else "" if x is None else _written(x)
 
 
 def children(value: object) -> Iterator[tuple[str, str, int, object, object]]:
@@ -184,18 +281,15 @@ def unpack_payloads(df: DataFrame, record: str, payload: str) -> DataFrame:
                 ok, value = parse_json(text)
                 if not ok:
                     continue
-                try:
-                    names: dict[int, str] = {}
-                    kept = [value]  # keeps what is read from strings alive, so that id() stays unique
-                    for child, segment, pos, parent, v in children(value):
-                        kept += [parent, v]
-                        up = names.get(id(parent)) or _merkle(parent, names)
-                        own = names.get(id(v)) if isinstance(v, (dict, list)) else None
-                        row = (rid, child, segment, pos, up, own or _merkle(v, names), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True))
-                        for c, x in zip(cols, row):
-                            c.append(x)
-                except RecursionError:
-                    continue
+                names: dict[int, str] = {}
+                kept = [value]  # keeps what is read from strings alive, so that id() stays unique
+                for child, segment, pos, parent, v in children(value):
+                    kept += [parent, v]
+                    up = names.get(id(parent)) or _merkle(parent, names)
+                    own = names.get(id(v)) if isinstance(v, (dict, list)) else None
+                    row = (rid, child, segment, pos, up, own or _merkle(v, names), v if isinstance(v, str) else _written(v, sort_keys=True))
+                    for c, x in zip(cols, row):
+                        c.append(x)
             types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([_clean(x) for x in c] if t == pa.string() else c, t) for c, t in zip(cols, types)], names=["record_id", "child", "segment", "pos", "parent_id", "child_id", "value"])
 
