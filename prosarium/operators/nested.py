@@ -1,18 +1,24 @@
 """Nested records to flat tables under Merkle subtree identities.
 
-Every object, list and value gets an identity made bottom-up from its canonical form: equal
-subtrees have equal identities wherever they occur. `identity` does it for typed columns inside
-the JVM; `unpack_payloads` does the same for JSON text of unknown shape. Both emit bridge rows,
-one per occurrence of a child under a parent with its ordinal; `object_store` keeps one copy per
-identity.
+A record is a graph of objects, lists and values. Each gets an identity made bottom-up from its
+canonical form, so equal subtrees have equal identities wherever they occur. `unpack_columns` does
+it for typed columns inside the JVM, `unpack_payloads` for JSON text of unknown shape; the same
+subtree has the same identity in both. Both emit bridge rows, one per occurrence of a child under
+its parent with its name or ordinal, from the record down to the last object; `object_store` keeps
+one copy per identity. Store and bridge together hold the whole records.
+
+Canonical form: fields and members that are null are left out; fields have one order; equal
+numbers are equal however they are written (5, 5.0, 5e0); a string where children are looked for
+that itself holds a JSON object or list counts as that object or list.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,75 +27,180 @@ from pyspark.sql import types as T
 
 #: Key names that hold children, and the child kinds they give (fixed values).
 METRIC_LISTS = ("pitch_adjustments", "rate_adjustments", "volume_adjustments", "break_times")
-BRIDGE = "record_id long, child string, segment string, pos int, parent_id string, child_id string, value string"
+#: One row per occurrence. parent_id, name (key in an object), ordinal (place in a list, nulls not counted), child_id, kind
+#: (object, list, value; unreadable: a payload that is no JSON) and value say what the child is; child, segment and pos are set
+#: on the children that the tables are about. An object's value holds its plain fields as JSON, a list has none.
+EDGE = T.StructType([T.StructField(n, T.IntegerType() if n in ("ordinal", "pos") else T.StringType()) for n in ("parent_id", "name", "ordinal", "child_id", "kind", "value", "child", "segment", "pos")])
+BRIDGE = "record_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EDGE.fields)
+_EXACT = 10**15  # integers below have one form as integers and as doubles
 
 
-def identity(c: Column, kind: T.DataType) -> Column:
-    """Merkle identity of a typed column; null for null.
+# Typed columns
 
-    A value is hashed with a mark of its sort, a list over its members' identities in order, an
-    object over its non-null fields as name=identity in order of names, so that neither the order
-    nor the presence of null fields matters. Maps count as objects.
+
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
+def _scalar_identity(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return F.sha2(F.concat(F.lit("s:"), c), 256)
+    if isinstance(kind, T.BooleanType):
+        return F.sha2(F.concat(F.lit("b:"), c.cast("string")), 256)
+    if isinstance(kind, T.NumericType):
+        d = c.cast("double")
+        exact = F.format_string("%a", d)
+        if isinstance(kind, T.IntegralType):
+            exact = F.when(d.cast("decimal(38,0)") == c.cast("decimal(38,0)"), exact).otherwise(c.cast("string"))
+        whole = (F.abs(d) < _EXACT) & (d == F.floor(d))
+        return F.when(c.isNotNull(), F.sha2(F.concat(F.lit("n:"), F.when(whole, d.cast("long").cast("string")).otherwise(exact)), 256))
+    return F.sha2(F.concat(F.lit("s:"), c.cast("string")), 256)
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _edge(parent: Column | None, name: Column | None, ordinal: Column | None, own: Column, kind: str, value: Column | None, child: str | None = None, segment: Column | None = None, pos: Column | None = None) -> Column:
+    given = (parent, name, ordinal, own, F.lit(kind), value, F.lit(child), segment, pos)
+    return F.struct(*[(F.lit(None) if c is None else c).cast(f.dataType).alias(f.name) for c, f in zip(given, EDGE.fields)])
+
+
+def _no_edges() -> Column:
+    return F.array().cast(T.ArrayType(EDGE))
+
+
+def _hash(mark: str, parts: Column | list[Column]) -> Column:
+    """Identity of an object ('o') or list ('l') from its sorted parts."""
+    return F.sha2(F.concat_ws(",", F.lit(mark), *(parts if isinstance(parts, list) else [parts])), 256)
+
+
+def _key(name: str) -> str:
+    """A field's name in an object's canonical form; the length keeps any name from passing for something else."""
+    return f"{len(name)}:{name}="
+
+
+def _node(c: Column, kind: T.DataType, role: str = "", segment: Column | None = None) -> Column:
+    """struct(id, value, below) of a nested column, null for null; below has the edges of its whole subtree.
+    role is the key that the column is found under."""
+    made = _object(c, kind) if isinstance(kind, T.StructType) else _list(c, kind, role, segment) if isinstance(kind, T.ArrayType) else _map(c, kind, role)
+    return F.when(c.isNotNull(), made)
+
+
+def _kind(kind: T.DataType) -> str:
+    return "list" if isinstance(kind, T.ArrayType) else "object"
+
+
+def _object(c: Column, kind: T.StructType) -> Column:
+    fields = sorted(kind.fields, key=lambda f: f.name)
+    deep, flat = [f for f in fields if _nested(f.dataType)], [f for f in fields if not _nested(f.dataType)]
+    value = F.to_json(F.struct(*[c[f.name].alias(f.name) for f in flat])) if flat else F.lit("{}")
+
+    def finish(a: Column) -> Column:
+        ids = [F.concat(F.lit(_key(f.name)), a[f"n{deep.index(f)}"]["id"] if f in deep else _scalar_identity(c[f.name], f.dataType)) for f in sorted(fields, key=lambda f: _key(f.name))]
+
+        def below(own: Column) -> Column:
+            rows = [F.when(a[f"n{i}"].isNotNull(), F.concat(F.array(_edge(own, F.lit(f.name), None, a[f"n{i}"]["id"], _kind(f.dataType), a[f"n{i}"]["value"])), a[f"n{i}"]["below"])).otherwise(_no_edges()) for i, f in enumerate(deep)]
+            return F.struct(own.alias("id"), value.alias("value"), (F.concat(*rows) if rows else _no_edges()).alias("below"))
+
+        return _let(_hash("o", ids), below)
+
+    return _let(F.struct(F.lit(0).alias("none"), *[_node(c[f.name], f.dataType, f.name).alias(f"n{i}") for i, f in enumerate(deep)]), finish)
+
+
+def _list(c: Column, kind: T.ArrayType, role: str, segment: Column | None) -> Column:
+    inner = kind.elementType
+    kept = F.filter(c, lambda e: e.isNotNull())
+    if not _nested(inner):
+        child = "stripped" if segment is not None and isinstance(inner, T.StringType) else role if role in METRIC_LISTS else None
+        place = segment if segment is not None else F.lit("")
+
+        def finish(m: Column) -> Column:
+            own = _hash("l", F.transform(m, lambda e: e["id"]))
+            return _let(own, lambda o: F.struct(o.alias("id"), F.lit(None).cast("string").alias("value"), F.transform(m, lambda e, i: _edge(o, None, i, e["id"], "value", e["text"], child, place if child else None, i if child else None)).alias("below")))
+
+        return _let(F.transform(kept, lambda e: F.struct(_scalar_identity(e, inner).alias("id"), e.cast("string").alias("text"))), finish)
+    child = "sequence" if role == "parsed_sequence" and isinstance(inner, T.StructType) else None
+    named = child is not None and "segment" in inner.fieldNames()
+
+    def finish(m: Column) -> Column:
+        def below(own: Column) -> Column:
+            at = lambda e, i: _edge(own, None, i, e["node"]["id"], _kind(inner), e["node"]["value"], child, e["segment"] if child else None, i if child else None)
+            return F.struct(own.alias("id"), F.lit(None).cast("string").alias("value"), F.flatten(F.transform(m, lambda e, i: F.concat(F.array(at(e, i)), e["node"]["below"]))).alias("below"))
+
+        return _let(_hash("l", F.transform(m, lambda e: e["node"]["id"])), below)
+
+    return _let(F.transform(kept, lambda e: F.struct(_node(e, inner, role, segment).alias("node"), F.coalesce(e["segment"].cast("string") if named else F.lit(None), F.lit("")).alias("segment"))), finish)
+
+
+def _map(c: Column, kind: T.MapType, role: str) -> Column:
+    inner = kind.valueType
+    held = F.filter(F.map_entries(c), lambda e: e["value"].isNotNull())
+    if not _nested(inner):
+        ids = F.transform(held, lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), _scalar_identity(e["value"], inner)))
+        return F.struct(_hash("o", F.array_sort(ids)).alias("id"), F.to_json(F.map_from_entries(held)).alias("value"), _no_edges().alias("below"))
+
+    def finish(m: Column) -> Column:
+        ids = F.transform(m, lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), e["node"]["id"]))
+        return _let(
+            _hash("o", F.array_sort(ids)),
+            lambda own: F.struct(
+                own.alias("id"),
+                F.lit("{}").alias("value"),
+                F.flatten(F.transform(m, lambda e: F.concat(F.array(_edge(own, e["key"], None, e["node"]["id"], _kind(inner), e["node"]["value"])), e["node"]["below"]))).alias("below"),
+            ),
+        )
+
+    return _let(F.transform(held, lambda e: F.struct(e["key"].cast("string").alias("key"), _node(e["value"], inner, "", e["key"].cast("string") if role == "stripped_ssml" else None).alias("node"))), finish)
+
+
+def unpack_columns(df: DataFrame, record: str, sequence: str | None = None, stripped: str | None = None, metrics: str | None = None) -> DataFrame:
+    """Bridge rows (BRIDGE) of typed nested columns, all inside the JVM: one pass with one explode.
+
+    The record is the object of the given columns, under the names parsed_sequence, stripped_ssml and
+    metrics; its own row has no parent. Null lists, maps, structs and members have no rows and no
+    places; a record of nulls only is an empty object. Extra columns are ignored, an empty table gives no rows.
     """
-    if isinstance(kind, T.StructType):
-        fields = [F.concat(F.lit(f.name + "="), identity(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
-        return F.when(c.isNotNull(), F.sha2(F.concat_ws(",", F.lit("o"), *fields), 256))
-    if isinstance(kind, T.ArrayType):
-        ids = F.transform(c, lambda e: F.coalesce(identity(e, kind.elementType), F.sha2(F.lit("z"), 256)))
-        return F.when(c.isNotNull(), F.sha2(F.concat_ws(",", F.lit("l"), ids), 256))
-    if isinstance(kind, T.MapType):
-        held = F.filter(F.map_entries(c), lambda e: e["value"].isNotNull())
-        ids = F.array_sort(F.transform(held, lambda e: F.concat(e["key"].cast("string"), F.lit("="), identity(e["value"], kind.valueType))))
-        return F.when(c.isNotNull(), F.sha2(F.concat_ws(",", F.lit("o"), ids), 256))
-    mark = "s:" if isinstance(kind, T.StringType) else "b:" if isinstance(kind, T.BooleanType) else "n:"
-    return F.sha2(F.concat(F.lit(mark), c.cast("string")), 256)
+    used = {n: c for n, c in (("parsed_sequence", sequence), ("stripped_ssml", stripped), ("metrics", metrics)) if c}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    whole = T.StructType([T.StructField(n, kinds[c]) for n, c in used.items()])
+    slim = df.select(F.col(record).cast("long").alias("record_id"), F.struct(*[F.col(c).alias(n) for n, c in used.items()]).alias("record"))
+    rows = _let(_node(F.col("record"), whole), lambda n: F.concat(F.array(_edge(None, None, None, n["id"], "object", n["value"])), n["below"]))
+    return slim.select("record_id", F.explode(rows).alias("r")).select("record_id", "r.*")
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+# JSON text
 
 
-def _merkle(x: object, names: dict[int, str]) -> str:
-    """Identity of a parsed JSON value, of any depth; names gets the identity of every object and list by id()."""
-    out: list[str] = []  # identities of members whose holder isn't done
-    todo: list[tuple[object, bool]] = [(x, False)]
-    while todo:
-        v, ready = todo.pop()
-        if isinstance(v, (dict, list)):
-            if not ready:
-                todo.append((v, True))
-                todo += [(m, False) for m in reversed(v.values() if isinstance(v, dict) else v)]
-                continue
-            ids = out[len(out) - len(v) :]
-            del out[len(out) - len(v) :]
-            if isinstance(v, dict):
-                own = _sha(",".join(["o", *(f"{k}={i}" for k, i in sorted((k, i) for (k, m), i in zip(v.items(), ids) if m is not None))]))
-            else:
-                own = _sha(",".join(["l", *ids]))
-            names[id(v)] = own
-            out.append(own)
-        elif v is None:
-            out.append(_sha("z"))
-        elif isinstance(v, bool):
-            out.append(_sha("b:" + str(v).lower()))
-        else:
-            out.append(_sha("s:" + v if isinstance(v, str) else "n:" + _plain(v)))
-    return out[0]
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _plain(x: int | float) -> str:
-    """A number as Spark's cast to STRING writes it."""
+def _number(x: int | float) -> str:
+    """One form for equal numbers: digits of integers, else the exact binary form."""
+    if abs(x) < _EXACT and x == math.floor(x):
+        return str(int(x))
     if isinstance(x, int):
-        return str(x)
-    if x == 0 or 1e-3 <= abs(x) < 1e7:
-        s = repr(x)
-        return s if "e" not in s else f"{x:.10f}".rstrip("0")
-    m, e = f"{x:.17e}".split("e")
-    for p in range(17):
-        m, e = f"{x:.{p}e}".split("e")
-        if float(f"{m}e{e}") == x:
-            break
-    return (m if "." in m else m + ".0") + "E" + str(int(e))
+        try:
+            same = int(float(x)) == x
+        except OverflowError:
+            same = False
+        if not same:
+            return str(x)
+    x = float(x)
+    if math.isinf(x):
+        return "Infinity" if x > 0 else "-Infinity"
+    digits, power = x.hex().split("p")
+    digits = digits.rstrip("0")
+    return f"{digits}0p{int(power)}" if digits.endswith(".") else f"{digits}p{int(power)}"
+
+
+def _leaf(x: object) -> str:
+    """Identity of a plain value."""
+    if isinstance(x, str):
+        return _sha("s:" + x)
+    return _sha("b:" + str(x).lower() if isinstance(x, bool) else "n:" + _number(x))
 
 
 def _no_constant(name: str) -> float:
@@ -202,96 +313,111 @@ def _opened(x: object) -> object:
     return x
 
 
-def _flat(x: object) -> Iterator[object]:
-    """The non-null members of lists within lists, in order; a lone value is a list of one."""
-    todo = [iter((x,))]
-    while todo:
-        for v in todo[-1]:
-            v = _opened(v) if not isinstance(v, list) else v
-            if isinstance(v, list):
-                todo.append(iter(v))
-                break
-            if v is not None:
-                yield v
-        else:
-            todo.pop()
-
-
 def _text(x: object) -> str:
     return x if isinstance(x, str) else "" if x is None else _written(x)
 
 
-def children(value: object) -> Iterator[tuple[str, str, int, object, object]]:
-    """(child, segment, pos, parent, value) of one record, in document order.
+class _Node:
+    """An occurrence of an object, list or value in a record."""
+
+    __slots__ = ("child", "flat", "kind", "members", "name", "ordinal", "own", "parent", "pos", "segment", "value")
+
+    def __init__(self, kind: str, parent: _Node | None, name: str | None, ordinal: int | None):
+        self.kind, self.parent, self.name, self.ordinal = kind, parent, name, ordinal
+        self.members: list[_Node] = []
+        self.flat: dict[str, object] = {}  # an object's plain fields
+        self.child = self.segment = self.pos = self.value = None
+        self.own = ""
+
+
+def graph(value: object) -> list[_Node]:
+    """All occurrences of a record in document order, each with its identity.
 
     The key names decide, at any depth: parsed_sequence has objects, stripped_ssml strings by
-    segment, the METRIC_LISTS values. Places count over the kept children of the record (of the
-    segment for stripped); nulls are not kept.
+    segment, the METRIC_LISTS values. A lone value counts as a list of one, lists within lists are
+    read in order. Places count over the kept children of the record (of the segment for stripped).
     """
+    nodes: list[_Node] = []
     places: dict[tuple[str, str], int] = {}
-
-    def placed(child: str, segment: str, parent: object, v: object) -> tuple[str, str, int, object, object]:
-        n = places.get((child, segment), 0)
-        places[child, segment] = n + 1
-        return child, segment, n, parent, v
-
-    todo: list[Iterator[tuple[object, str, object]]] = [iter([(None, "", value)])]
+    # A value with what it is looked through for (a key name, "any", "strings" of a segment, or "" for nothing), its holder and its name there.
+    todo: list[tuple[object, str, str, _Node | None, str | None]] = [(value, "any", "", None, None)]
     while todo:
-        for holder, name, x in todo[-1]:
+        x, role, segment, up, name = todo.pop()
+        if role:
             x = _opened(x)
-            if name == "parsed_sequence":
-                for v in _flat(x):
-                    if isinstance(v, dict):
-                        segment = _text(v.get("segment"))
-                        n = places.get(("sequence", ""), 0)
-                        places["sequence", ""] = n + 1
-                        yield "sequence", segment, n, holder, v
-            elif name == "stripped_ssml":
-                for by in _flat(x):
-                    if isinstance(by, dict):
-                        for segment, strings in by.items():
-                            for v in _flat(strings):
-                                if isinstance(v, str):
-                                    yield placed("stripped", segment, by, v)
-            elif name in METRIC_LISTS:
-                for v in _flat(x):
-                    yield placed(name, "", holder, v)
-            elif isinstance(x, dict):
-                todo.append(iter([(x, k, v) for k, v in x.items()]))
-                break
-            elif isinstance(x, list):
-                todo.append(iter([(x, "", v) for v in x]))
-                break
+        if x is None:
+            continue
+        kind = "object" if isinstance(x, dict) else "list" if isinstance(x, list) else "value"
+        child, inner = None, role
+        if kind == "object":
+            if role == "parsed_sequence":
+                child, segment, inner = "sequence", _text(x.get("segment")), ""
+            elif role in METRIC_LISTS:
+                child, inner = role, ""
+            elif role == "strings":
+                inner = ""
+        elif kind == "value":
+            child = "stripped" if role == "strings" and isinstance(x, str) else role if role in METRIC_LISTS else None
+            if child is None and up is not None and up.kind == "object":
+                up.flat[name] = x
+                continue
+        node = _Node(kind, up, name, len(up.members) if up is not None and up.kind == "list" else None)
+        nodes.append(node)
+        if up is not None:
+            up.members.append(node)
+        if child:
+            by = (child, segment if child == "stripped" else "")
+            node.child, node.segment, node.pos = child, segment if child in ("sequence", "stripped") else "", places.get(by, 0)
+            places[by] = node.pos + 1
+        if kind == "list":
+            todo += [(v, inner, segment, node, None) for v in reversed(x)]
+        elif kind == "object":
+            if role == "stripped_ssml":
+                todo += [(v, "strings", k, node, k) for k, v in reversed(x.items())]
+            elif inner:
+                todo += [(v, k if k in METRIC_LISTS or k in ("parsed_sequence", "stripped_ssml") else "any", "", node, k) for k, v in reversed(x.items())]
+            else:
+                node.flat = {k: v for k, v in x.items() if v is not None and not isinstance(v, (dict, list))}
+                todo += [(v, "", "", node, k) for k, v in reversed(x.items()) if isinstance(v, (dict, list))]
         else:
-            todo.pop()
+            node.value, node.own = x if isinstance(x, str) else _written(x), _leaf(x)
+    for n in reversed(nodes):  # members come after their holders
+        if n.kind == "object":
+            parts = [_key(k) + _leaf(v) for k, v in n.flat.items()] + [_key(m.name) + m.own for m in n.members]
+            n.own = _sha(",".join(["o", *sorted(parts)]))
+            n.value = _written(n.flat, sort_keys=True)
+        elif n.kind == "list":
+            n.own = _sha(",".join(["l", *(m.own for m in n.members)]))
+    return nodes
 
 
 def unpack_payloads(df: DataFrame, record: str, payload: str) -> DataFrame:
-    """Bridge rows (BRIDGE) of records held as JSON text.
+    """Bridge rows (BRIDGE) of records held as JSON text, of any depth.
 
-    Payloads that are null, empty or not valid JSON have no rows. parent_id is the identity of the
-    object that holds the key; child_id that of the child; value its JSON text (strings as they
-    are). Work goes batch by batch, no record is split, nothing is gathered per key.
+    Payloads that are null or empty have no rows; those that are not valid JSON have one row of kind
+    'unreadable' without identities, so that they can be counted. Work goes batch by batch, nothing is gathered per key.
     """
+    schema = pa.schema([("record_id", pa.int64()), *((f.name, pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()) for f in EDGE.fields)])
+
+    def batch(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_clean(x) for x in c] if f.type == pa.string() else c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in schema]
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ok, value = parse_json(text)
-                if not ok:
-                    continue
-                names: dict[int, str] = {}
-                kept = [value]  # keeps what is read from strings alive, so that id() stays unique
-                for child, segment, pos, parent, v in children(value):
-                    kept += [parent, v]
-                    up = names.get(id(parent)) or _merkle(parent, names)
-                    own = names.get(id(v)) if isinstance(v, (dict, list)) else None
-                    row = (rid, child, segment, pos, up, own or _merkle(v, names), v if isinstance(v, str) else _written(v, sort_keys=True))
+                if ok:
+                    rows = ((rid, n.parent and n.parent.own, n.name, n.ordinal, n.own, n.kind, n.value, n.child, n.segment, n.pos) for n in graph(value))
+                else:
+                    rows = iter([(rid, None, None, None, None, "unreadable", None, None, None, None)] if text else [])
+                for row in rows:
                     for c, x in zip(cols, row):
                         c.append(x)
-            types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([_clean(x) for x in c] if t == pa.string() else c, t) for c, t in zip(cols, types)], names=["record_id", "child", "segment", "pos", "parent_id", "child_id", "value"])
+                if len(cols[0]) >= 50_000:
+                    yield batch(cols)
+                    cols = [[] for _ in schema]
+        yield batch(cols)
 
     return df.select(F.col(record).cast("long"), F.col(payload).cast("string")).mapInArrow(run, BRIDGE)
 
@@ -301,40 +427,10 @@ def _clean(x: str | None) -> str | None:
     return x if x is None or x.isascii() else x.encode("utf-8", "replace").decode("utf-8")
 
 
-def unpack_columns(df: DataFrame, record: str, sequence: str | None = None, stripped: str | None = None, metrics: str | None = None) -> DataFrame:
-    """Bridge rows (BRIDGE) of typed nested columns, all inside the JVM: one pass with one explode.
+def object_store(bridge: DataFrame) -> DataFrame:
+    """child_id, kind, value, occurrences: one row per distinct object, list and value, however often it occurs.
 
-    Null lists, maps, structs and members have no rows and no places. The parent of a sequence
-    element or metric value is the record or the metrics struct; of an SSML string, its map.
+    Every parent_id of the bridge is a child_id here. Rows without identity (unreadable payloads) are left out. Counting
+    before the shuffle keeps a value that most records share from loading one task.
     """
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    row = lambda child, segment, pos, parent, own, value: F.struct(F.lit(child).alias("child"), segment.alias("segment"), pos.cast("int").alias("pos"), parent.alias("parent_id"), own.alias("child_id"), value.alias("value"))
-    kept = lambda c: F.filter(c, lambda e: e.isNotNull())
-    parts = []
-    if sequence:
-        element = kinds[sequence].elementType
-        parts.append(F.transform(kept(F.col(sequence)), lambda e, i: row("sequence", F.coalesce(e["segment"].cast("string"), F.lit("")), i, F.col("__record"), identity(e, element), F.to_json(e))))
-    if stripped:
-        up = F.col("__stripped")
-        parts.append(F.flatten(F.transform(F.map_entries(F.col(stripped)), lambda m: F.coalesce(F.transform(kept(m["value"]), lambda s, i: row("stripped", m["key"], i, up, identity(s, T.StringType()), s)), F.array()))))
-    if metrics:
-        for f in kinds[metrics].fields:
-            if f.name in METRIC_LISTS:
-                parts.append(_metric_rows(row, kept(F.col(metrics)[f.name]), f))
-    used = [c for c in (sequence, stripped, metrics) if c]
-    whole = F.sha2(F.concat_ws(",", F.lit("o"), *[F.concat(F.lit(c + "="), identity(F.col(c), kinds[c])) for c in sorted(used)]), 256)
-    ids = {"__record": whole} | ({"__stripped": identity(F.col(stripped), kinds[stripped])} if stripped else {}) | ({"__metrics": identity(F.col(metrics), kinds[metrics])} if metrics else {})
-    rows = F.concat(*[F.coalesce(p, F.array().cast(_ROWS)) for p in parts])
-    return df.select(F.col(record).cast("long").alias("record_id"), *used, *[v.alias(k) for k, v in ids.items()]).select("record_id", F.explode(rows).alias("r")).select("record_id", "r.*")
-
-
-def _metric_rows(row, values: Column, f: T.StructField) -> Column:
-    return F.transform(values, lambda v, i: row(f.name, F.lit(""), i, F.col("__metrics"), identity(v, f.dataType.elementType), v.cast("string")))
-
-
-_ROWS = "array<struct<child:string,segment:string,pos:int,parent_id:string,child_id:string,value:string>>"
-
-
-def object_store(bridge: DataFrame) -> DataFrame:
-    """child_id, kind, value, occurrences: one row per distinct subtree, however often it occurs."""
-    return bridge.groupBy("child_id").agg(F.min("child").alias("child"), F.min("value").alias("value"), F.count(F.lit(1)).alias("occurrences"))
+    return bridge.where(F.col("child_id").isNotNull()).groupBy("child_id").agg(F.min("kind").alias("kind"), F.min("value").alias("value"), F.count(F.lit(1)).alias("occurrences"))

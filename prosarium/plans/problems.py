@@ -14,6 +14,7 @@ from .tables import table
 
 
 def p1_bridge(spark: SparkSession, folder: str) -> DataFrame:
+    """Every occurrence of an object, list or value of the records under its parent; see nested.BRIDGE."""
     parts = [
         unpack_columns(table(spark, folder, "corpus"), "record_id", sequence="parsed_sequence", stripped="stripped_ssml").withColumn("src", F.lit("corpus")),
         unpack_columns(table(spark, folder, "predictions"), "pred_id", metrics="metrics").withColumn("src", F.lit("predictions")),
@@ -23,11 +24,11 @@ def p1_bridge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p1_bridge(spark, folder).select("src", "record_id", "child", "segment", "pos")
+    return p1_bridge(spark, folder).where(F.col("child").isNotNull()).select("src", "record_id", "child", "segment", "pos")
 
 
 def p1_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Each distinct element, SSML string and metric value once, with the number of its occurrences."""
+    """Each distinct object, list and value once, with the number of its occurrences."""
     return object_store(p1_bridge(spark, folder))
 
 
@@ -73,7 +74,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return periods_and_gaps(times, ["voice", "segment"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p3_found, p3_filled, p4_found, p4_faults, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p3_found, p3_filled, p4_found, p4_faults, p5_found)}
 
 _WS = r"[^\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _MS = lambda c: f"CAST(round({c} * 1000) AS BIGINT)"

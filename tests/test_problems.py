@@ -139,7 +139,9 @@ PAYLOADS = [
 
 def test_payload_children(spark):
     df = spark.createDataFrame(list(enumerate(PAYLOADS)), "raw_id int, payload string").withColumn("child", F.lit("clash"))
-    got = rows(nested.unpack_payloads(df, "raw_id", "payload").select("record_id", "child", "segment", "pos", "value"))
+    bridge = nested.unpack_payloads(df, "raw_id", "payload")
+    assert [r[0] for r in rows(bridge.where("kind = 'unreadable'").select("record_id"))] == [2, 3, 4]
+    got = rows(bridge.where("child is not null").select("record_id", "child", "segment", "pos", "value"))
     assert [r[:4] for r in got] == sorted(
         [(7, "sequence", "7", 0), (8, "sequence", "s", 0), (8, "sequence", "", 1), (8, "stripped", "s", 0), (8, "stripped", "t", 0), (8, "stripped", "t", 1)]
         + [(9, "break_times", "", 0), (9, "break_times", "", 1), (9, "break_times", "", 2), *((9, "pitch_adjustments", "", i) for i in range(3)), (10, "rate_adjustments", "", 0)],
@@ -154,17 +156,84 @@ def test_identities_are_the_same_in_columns_and_text(spark):
     df = spark.createDataFrame(data, kind)
     typed = nested.unpack_columns(df, "id", "parsed_sequence", "stripped_ssml", "metrics")
     text = nested.unpack_payloads(df.select("id", F.to_json(F.struct("parsed_sequence", "stripped_ssml", "metrics"), {"ignoreNullFields": "false"}).alias("p")), "id", "p")
-    pick = ("record_id", "child", "segment", "pos", "child_id")
+    pick = ("record_id", "parent_id", "name", "ordinal", "child_id", "kind", "child", "segment", "pos")
     assert rows(typed.select(*pick)) == rows(text.select(*pick))
-    assert len(rows(typed)) == 2 + 2 + 1 + 4
-    store = nested.object_store(typed).where("child = 'sequence'").collect()
+    assert typed.where("child is not null").count() == 2 + 2 + 1 + 4
+    element_id = typed.where("child = 'sequence'").first()["child_id"]
+    store = nested.object_store(typed).where(F.col("child_id") == element_id).collect()
     assert len(store) == 1 and store[0]["occurrences"] == 2
+    assert rebuilt(typed, 1) == {
+        "parsed_sequence": [{"segment": "s1", "type": "text", "text": "é\n", "prosody": {"pitch": "+1%", "volume": "x"}}] * 2,
+        "stripped_ssml": {"s1": ["a", "b"]},
+        "metrics": {"break_times": ["5"], "pitch_adjustments": ["1.5", "-0.25", "1.0E-7", "1.2345678E7"]},
+    }
+    assert rebuilt(typed, 2) == {}
+
+
+def rebuilt(bridge, record):
+    """A record put together from the store and the bridge rows alone."""
+    store = {r["child_id"]: r for r in nested.object_store(bridge).collect()}
+    edges, top = {}, None
+    for r in bridge.where(F.col("record_id") == record).collect():
+        if r["parent_id"] is None:
+            top = r["child_id"]
+        else:
+            assert r["parent_id"] in store, "dangling parent"
+            edges.setdefault(r["parent_id"], set()).add((r["ordinal"], r["name"], r["child_id"]))
+
+    def build(i):
+        kind, value, members = store[i]["kind"], store[i]["value"], edges.get(i, ())
+        if kind == "value":
+            return value
+        if kind == "list":
+            return [build(c) for _, _, c in sorted(members)]
+        return json.loads(value) | {name: build(c) for _, name, c in members}
+
+    return build(top)
+
+
+def canonical(x, held=False):
+    """A payload as store and bridge hold it: without nulls, with strings that hold JSON opened where children are looked for, list values as text."""
+    if isinstance(x, dict):
+        return {k: canonical(v, held) if isinstance(v, (dict, list)) else v for k, v in x.items() if v is not None}
+    if isinstance(x, list):
+        return [canonical(v) if isinstance(v, (dict, list)) else v if isinstance(v, str) else json.dumps(v) for v in x if v is not None]
+    return x
+
+
+def test_records_are_whole_in_store_and_bridge(spark):
+    rng = random.Random(5)
+
+    def made(depth=0):
+        kind = rng.choice("ooll" if depth < 2 else "ol" if depth < 4 else "v") if rng.random() < 0.7 else "v"
+        if kind == "o":
+            return {rng.choice(["a", "b=c,", "k:1", "é"]) + str(i): made(depth + 1) for i in range(rng.randint(0, 4))}
+        if kind == "l":
+            return [made(depth + 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice(["", "x", "=,", 5, -2.5, True, None, 10**20])
+
+    data = [(i, {"extra": made(), "parsed_sequence": [{"segment": "s", "text": "t", "more": made()}, None], "stripped_ssml": {"s": ["a", None], "=": []}}) for i in range(12)]
+    bridge = nested.unpack_payloads(spark.createDataFrame([(i, json.dumps(v)) for i, v in data], "id long, p string"), "id", "p").cache()
+    for i, v in data:
+        assert rebuilt(bridge, i) == canonical(v)
+    stored = nested.object_store(bridge)
+    assert bridge.where("parent_id is not null").join(stored.select(F.col("child_id").alias("parent_id")), "parent_id", "left_anti").count() == 0
+    assert stored.agg(F.sum("occurrences")).first()[0] == bridge.count()
+
+
+def test_identities_know_equal_numbers_and_no_forged_keys():
+    own = lambda text: nested.graph(json.loads(text))[0].own
+    assert own('{"a": 5}') == own('{"a": 5.0}') == own('{"a": 5e0, "b": null}') != own('{"a": "5"}')
+    assert own("[1e300, 0.1, -0.0]") == own("[1.0e+300, 0.10, 0]") != own("[1e300, 0.1]")
+    assert len({own(t) for t in ("[9007199254740993]", "[9007199254740992]", '["9007199254740992"]', "[[9007199254740992]]", "[true]", '["true"]', "[1]")}) == 7
+    inner = nested.graph({"x": 1})[0].own
+    assert own('{"a": {"x": 1}, "b": 2}') != own(json.dumps({f"a={inner},b": 2})) != own(json.dumps({f"a={inner},1:b": 2}))
 
 
 def test_deep_and_empty_records(spark):
     deep = "[" * 3000 + "]" * 3000
     df = spark.createDataFrame([(1, deep), (2, json.dumps({"metrics": {"break_times": list(range(5000))}}))], "id int, p string")
-    assert nested.unpack_payloads(df, "id", "p").count() == 5000
+    assert nested.unpack_payloads(df, "id", "p").where("child is not null").count() == 5000
     assert nested.unpack_payloads(df.limit(0), "id", "p").count() == 0
 
 
