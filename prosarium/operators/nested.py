@@ -21,7 +21,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,45 +35,58 @@ BRIDGE = "record_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}"
 _EXACT = 10**15  # integers below have one form as integers and as doubles
 
 
-# Typed columns
+# Typed columns: one SQL expression per record, written here as text, as building it Column by Column takes seconds
 
 
-def _let(c: Column, body: Callable[[Column], Column]) -> Column:
-    """body(c) with c computed once."""
-    return F.element_at(F.transform(F.array(c), body), 1)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _scalar_identity(c: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StringType):
-        return F.sha2(F.concat(F.lit("s:"), c), 256)
+def _field(c: str, name: str) -> str:
+    return f"{c}.`{name.replace('`', '``')}`"
+
+
+class _Names:
+    """Fresh names for lambda variables."""
+
+    def __init__(self) -> None:
+        self.last = 0
+
+    def new(self) -> str:
+        self.last += 1
+        return f"v{self.last}"
+
+    def let(self, value: str, body: Callable[[str], str]) -> str:
+        """body(value) with the value computed once."""
+        v = self.new()
+        return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
+    def each(self, values: str, body: Callable[[str, str], str]) -> str:
+        v, i = self.new(), self.new()
+        return f"transform({values}, ({v}, {i}) -> {body(v, i)})"
+
+
+def _scalar_identity(c: str, kind: T.DataType) -> str:
     if isinstance(kind, T.BooleanType):
-        return F.sha2(F.concat(F.lit("b:"), c.cast("string")), 256)
+        return f"sha2(concat('b:', cast({c} as string)), 256)"
     if isinstance(kind, T.NumericType):
-        d = c.cast("double")
-        exact = F.format_string("%a", d)
+        d = f"cast({c} as double)"
+        exact = f"format_string('%a', {d})"
         if isinstance(kind, T.IntegralType):
-            exact = F.when(d.cast("decimal(38,0)") == c.cast("decimal(38,0)"), exact).otherwise(c.cast("string"))
-        whole = (F.abs(d) < _EXACT) & (d == F.floor(d))
-        return F.when(c.isNotNull(), F.sha2(F.concat(F.lit("n:"), F.when(whole, d.cast("long").cast("string")).otherwise(exact)), 256))
-    return F.sha2(F.concat(F.lit("s:"), c.cast("string")), 256)
+            exact = f"if(cast({d} as decimal(38,0)) = cast({c} as decimal(38,0)), {exact}, cast({c} as string))"
+        return f"if({c} is null, null, sha2(concat('n:', if(abs({d}) < {_EXACT}D and {d} = floor({d}), cast(cast({d} as bigint) as string), {exact})), 256))"
+    return f"sha2(concat('s:', cast({c} as string)), 256)"
 
 
 def _nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
-def _edge(parent: Column | None, name: Column | None, ordinal: Column | None, own: Column, kind: str, value: Column | None, child: str | None = None, segment: Column | None = None, pos: Column | None = None) -> Column:
-    given = (parent, name, ordinal, own, F.lit(kind), value, F.lit(child), segment, pos)
-    return F.struct(*[(F.lit(None) if c is None else c).cast(f.dataType).alias(f.name) for c, f in zip(given, EDGE.fields)])
-
+def _edge(**given: str) -> str:
+    return "named_struct(" + ", ".join(f"'{f.name}', cast({given.get(f.name, 'null')} as {f.dataType.simpleString()})" for f in EDGE.fields) + ")"
 
-def _no_edges() -> Column:
-    return F.array().cast(T.ArrayType(EDGE))
 
-
-def _hash(mark: str, parts: Column | list[Column]) -> Column:
-    """Identity of an object ('o') or list ('l') from its sorted parts."""
-    return F.sha2(F.concat_ws(",", F.lit(mark), *(parts if isinstance(parts, list) else [parts])), 256)
+_NO_EDGES = f"cast(array() as array<{EDGE.simpleString()}>)"
 
 
 def _key(name: str) -> str:
@@ -81,78 +94,82 @@ def _key(name: str) -> str:
     return f"{len(name)}:{name}="
 
 
-def _node(c: Column, kind: T.DataType, role: str = "", segment: Column | None = None) -> Column:
+def _map_key(c: str) -> str:
+    return f"concat(cast(length({c}) as string), ':', {c}, '=')"
+
+
+def _kind(kind: T.DataType) -> str:
+    return "'list'" if isinstance(kind, T.ArrayType) else "'object'"
+
+
+def _node(n: _Names, c: str, kind: T.DataType, role: str = "", segment: str | None = None) -> str:
     """struct(id, value, below) of a nested column, null for null; below has the edges of its whole subtree.
     role is the key that the column is found under."""
-    made = _object(c, kind) if isinstance(kind, T.StructType) else _list(c, kind, role, segment) if isinstance(kind, T.ArrayType) else _map(c, kind, role)
-    return F.when(c.isNotNull(), made)
+    made = _object(n, c, kind) if isinstance(kind, T.StructType) else _list(n, c, kind, role, segment) if isinstance(kind, T.ArrayType) else _map(n, c, kind, role)
+    return f"if({c} is null, null, {made})"
 
 
-def _kind(kind: T.DataType) -> str:
-    return "list" if isinstance(kind, T.ArrayType) else "object"
+def _under(own: str, node: str, kind: T.DataType, **at: str) -> str:
+    """The edge from `own` to a node, then the node's subtree."""
+    return f"concat(array({_edge(parent_id=own, child_id=node + '.id', kind=_kind(kind), value=node + '.value', **at)}), {node}.below)"
 
 
-def _object(c: Column, kind: T.StructType) -> Column:
-    fields = sorted(kind.fields, key=lambda f: f.name)
-    deep, flat = [f for f in fields if _nested(f.dataType)], [f for f in fields if not _nested(f.dataType)]
-    value = F.to_json(F.struct(*[c[f.name].alias(f.name) for f in flat])) if flat else F.lit("{}")
+def _object(n: _Names, c: str, kind: T.StructType) -> str:
+    fields = sorted(kind.fields, key=lambda f: _key(f.name))
+    deep, flat = [f for f in fields if _nested(f.dataType)], sorted((f for f in fields if not _nested(f.dataType)), key=lambda f: f.name)
+    value = f"to_json(named_struct({', '.join(f'{_quoted(f.name)}, {_field(c, f.name)}' for f in flat)}))" if flat else "'{}'"
+    parts = ["0 as none", *(f"{_node(n, _field(c, f.name), f.dataType, f.name)} as n{i}" for i, f in enumerate(deep))]
 
-    def finish(a: Column) -> Column:
-        ids = [F.concat(F.lit(_key(f.name)), a[f"n{deep.index(f)}"]["id"] if f in deep else _scalar_identity(c[f.name], f.dataType)) for f in sorted(fields, key=lambda f: _key(f.name))]
+    def finish(m: str) -> str:
+        ids = [f"concat({_quoted(_key(f.name))}, {f'{m}.n{deep.index(f)}.id' if f in deep else _scalar_identity(_field(c, f.name), f.dataType)})" for f in fields]
 
-        def below(own: Column) -> Column:
-            rows = [F.when(a[f"n{i}"].isNotNull(), F.concat(F.array(_edge(own, F.lit(f.name), None, a[f"n{i}"]["id"], _kind(f.dataType), a[f"n{i}"]["value"])), a[f"n{i}"]["below"])).otherwise(_no_edges()) for i, f in enumerate(deep)]
-            return F.struct(own.alias("id"), value.alias("value"), (F.concat(*rows) if rows else _no_edges()).alias("below"))
+        def below(own: str) -> str:
+            rows = ", ".join(f"if({m}.n{i} is null, {_NO_EDGES}, {_under(own, f'{m}.n{i}', f.dataType, name=_quoted(f.name))})" for i, f in enumerate(deep))
+            return f"struct({own} as id, {value} as value, {f'concat({rows})' if rows else _NO_EDGES} as below)"
 
-        return _let(_hash("o", ids), below)
+        return n.let(f"sha2(concat_ws(',', 'o', {', '.join(ids)}), 256)", below)
 
-    return _let(F.struct(F.lit(0).alias("none"), *[_node(c[f.name], f.dataType, f.name).alias(f"n{i}") for i, f in enumerate(deep)]), finish)
+    return n.let(f"struct({', '.join(parts)})", finish)
 
 
-def _list(c: Column, kind: T.ArrayType, role: str, segment: Column | None) -> Column:
+def _list(n: _Names, c: str, kind: T.ArrayType, role: str, segment: str | None) -> str:
     inner = kind.elementType
-    kept = F.filter(c, lambda e: e.isNotNull())
+    kept = f"filter({c}, e -> e is not null)"
     if not _nested(inner):
         child = "stripped" if segment is not None and isinstance(inner, T.StringType) else role if role in METRIC_LISTS else None
-        place = segment if segment is not None else F.lit("")
+        at = lambda i: {"child": _quoted(child), "segment": segment or "''", "pos": i} if child else {}
 
-        def finish(m: Column) -> Column:
-            own = _hash("l", F.transform(m, lambda e: e["id"]))
-            return _let(own, lambda o: F.struct(o.alias("id"), F.lit(None).cast("string").alias("value"), F.transform(m, lambda e, i: _edge(o, None, i, e["id"], "value", e["text"], child, place if child else None, i if child else None)).alias("below")))
+        def finish(m: str) -> str:
+            rows = lambda own: n.each(m, lambda e, i: _edge(parent_id=own, ordinal=i, child_id=e + ".id", kind="'value'", value=e + ".text", **at(i)))
+            return n.let(f"sha2(concat_ws(',', 'l', {m}.id), 256)", lambda own: f"struct({own} as id, cast(null as string) as value, {rows(own)} as below)")
 
-        return _let(F.transform(kept, lambda e: F.struct(_scalar_identity(e, inner).alias("id"), e.cast("string").alias("text"))), finish)
+        return n.let(n.each(kept, lambda e, i: f"struct({_scalar_identity(e, inner)} as id, cast({e} as string) as text)"), finish)
     child = "sequence" if role == "parsed_sequence" and isinstance(inner, T.StructType) else None
     named = child is not None and "segment" in inner.fieldNames()
+    at = lambda e, i: {"ordinal": i} | ({"child": _quoted(child), "segment": e + ".segment", "pos": i} if child else {})
 
-    def finish(m: Column) -> Column:
-        def below(own: Column) -> Column:
-            at = lambda e, i: _edge(own, None, i, e["node"]["id"], _kind(inner), e["node"]["value"], child, e["segment"] if child else None, i if child else None)
-            return F.struct(own.alias("id"), F.lit(None).cast("string").alias("value"), F.flatten(F.transform(m, lambda e, i: F.concat(F.array(at(e, i)), e["node"]["below"]))).alias("below"))
-
-        return _let(_hash("l", F.transform(m, lambda e: e["node"]["id"])), below)
+    def finish(m: str) -> str:
+        rows = lambda own: n.each(m, lambda e, i: _under(own, e + ".node", inner, **at(e, i)))
+        return n.let(f"sha2(concat_ws(',', 'l', {m}.node.id), 256)", lambda own: f"struct({own} as id, cast(null as string) as value, flatten({rows(own)}) as below)")
 
-    return _let(F.transform(kept, lambda e: F.struct(_node(e, inner, role, segment).alias("node"), F.coalesce(e["segment"].cast("string") if named else F.lit(None), F.lit("")).alias("segment"))), finish)
+    place = lambda e: f"coalesce(cast({_field(e, 'segment')} as string), '')" if named else "''"
+    return n.let(n.each(kept, lambda e, i: f"struct({_node(n, e, inner, role, segment)} as node, {place(e)} as segment)"), finish)
 
 
-def _map(c: Column, kind: T.MapType, role: str) -> Column:
+def _map(n: _Names, c: str, kind: T.MapType, role: str) -> str:
     inner = kind.valueType
-    held = F.filter(F.map_entries(c), lambda e: e["value"].isNotNull())
+    held = f"filter(map_entries({c}), e -> e.value is not null)"
     if not _nested(inner):
-        ids = F.transform(held, lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), _scalar_identity(e["value"], inner)))
-        return F.struct(_hash("o", F.array_sort(ids)).alias("id"), F.to_json(F.map_from_entries(held)).alias("value"), _no_edges().alias("below"))
+        ids = n.each(held, lambda e, i: f"concat({_map_key(e + '.key')}, {_scalar_identity(e + '.value', inner)})")
+        return f"struct(sha2(concat_ws(',', 'o', array_sort({ids})), 256) as id, to_json(map_from_entries({held})) as value, {_NO_EDGES} as below)"
 
-    def finish(m: Column) -> Column:
-        ids = F.transform(m, lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.lit("="), e["node"]["id"]))
-        return _let(
-            _hash("o", F.array_sort(ids)),
-            lambda own: F.struct(
-                own.alias("id"),
-                F.lit("{}").alias("value"),
-                F.flatten(F.transform(m, lambda e: F.concat(F.array(_edge(own, e["key"], None, e["node"]["id"], _kind(inner), e["node"]["value"])), e["node"]["below"]))).alias("below"),
-            ),
-        )
+    def finish(m: str) -> str:
+        ids = n.each(m, lambda e, i: f"concat({_map_key(e + '.key')}, {e}.node.id)")
+        rows = lambda own: n.each(m, lambda e, i: _under(own, e + ".node", inner, name=e + ".key"))
+        return n.let(f"sha2(concat_ws(',', 'o', array_sort({ids})), 256)", lambda own: f"struct({own} as id, '{{}}' as value, flatten({rows(own)}) as below)")
 
-    return _let(F.transform(held, lambda e: F.struct(e["key"].cast("string").alias("key"), _node(e["value"], inner, "", e["key"].cast("string") if role == "stripped_ssml" else None).alias("node"))), finish)
+    segment = lambda e: f"cast({e}.key as string)" if role == "stripped_ssml" else None
+    return n.let(n.each(held, lambda e, i: f"struct(cast({e}.key as string) as key, {_node(n, e + '.value', inner, '', segment(e))} as node)"), finish)
 
 
 def unpack_columns(df: DataFrame, record: str, sequence: str | None = None, stripped: str | None = None, metrics: str | None = None) -> DataFrame:
@@ -166,8 +183,11 @@ def unpack_columns(df: DataFrame, record: str, sequence: str | None = None, stri
     kinds = {f.name: f.dataType for f in df.schema.fields}
     whole = T.StructType([T.StructField(n, kinds[c]) for n, c in used.items()])
     slim = df.select(F.col(record).cast("long").alias("record_id"), F.struct(*[F.col(c).alias(n) for n, c in used.items()]).alias("record"))
-    rows = _let(_node(F.col("record"), whole), lambda n: F.concat(F.array(_edge(None, None, None, n["id"], "object", n["value"])), n["below"]))
-    return slim.select("record_id", F.explode(rows).alias("r")).select("record_id", "r.*")
+    names = _Names()
+    top = lambda v: f"concat(array({_edge(child_id=v + '.id', kind=_quoted('object'), value=v + '.value')}), {v}.below)"
+    rows = F.expr(names.let(_node(names, "record", whole), top))
+    # Every record has a row of its own. Unlike explode, explode_outer leads to no filter that would make all rows once more.
+    return slim.select("record_id", F.explode_outer(rows).alias("r")).select("record_id", "r.*")
 
 
 # JSON text
