@@ -13,7 +13,7 @@ from .ranking import null_safe_join, sharded_row_number
 BLOCK = 2048  # readings of one source and field that one Python call looks at
 HALO = 40  # readings it sees beyond either border: half a level window, and more than a stuck run needs
 LEVEL_WINDOW = 31
-MAX_ROUNDS = 10
+ORDINARY = 4.5  # robust deviations within which readings shape the ellipsoid
 
 
 def _spread(x: np.ndarray) -> float:
@@ -37,45 +37,63 @@ def running_level(x: np.ndarray, window: int = LEVEL_WINDOW) -> np.ndarray:
     return np.concatenate([mid[0] + step * np.arange(-half, 0), mid, mid[-1] + last * np.arange(1, n - half - len(mid) + 1)])
 
 
-def _outside(a: np.ndarray, b: np.ndarray, ra: float, rb: float, theta: float = 0.0) -> np.ndarray:
-    """Points outside the ellipse with half axes ra, rb, turned by theta."""
-    if ra <= 0 or rb <= 0:
-        return np.abs(a) > max(ra, 0)
-    c, s = np.cos(theta), np.sin(theta)
-    return ((a * c + b * s) / ra) ** 2 + ((b * c - a * s) / rb) ** 2 > 1
+def phase_points(u: np.ndarray) -> np.ndarray:
+    """(value, first difference, second difference) of each deviation, n x 3; beyond the ends lies the level, 0."""
+    before, after = np.append(0.0, u)[:-1], np.append(u, 0.0)[1:]
+    return np.stack([u, (after - before) / 2, after - 2 * u + before], axis=1)
 
 
-def phase_space(u: np.ndarray, rounds: int = MAX_ROUNDS) -> np.ndarray:
+def _products(points: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """Sums of products uu, ud, uv, dd, dv, vv of the chosen points."""
+    p = points[over]
+    return np.array([np.sum(p[:, i] * p[:, j]) for i in range(3) for j in range(i, 3)])
+
+
+def _squared_radius(points: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
+    """Squared distance of points from the centre of the ellipsoid with this covariance."""
+    c = np.zeros((3, 3))
+    c[np.triu_indices(3)] = sums / max(n, 1)
+    c = c + np.triu(c, 1).T
+    return np.einsum("ij,jk,ik->i", points, np.linalg.pinv(c, rcond=1e-9, hermitian=True), points)
+
+
+def _ordinary(u: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return ~found & (np.abs(u) <= ORDINARY * _spread(u[~found]))
+
+
+def phase_space(u: np.ndarray, radius: float | None = None) -> np.ndarray:
     """Phase-space thresholding of deviations from the level: True for spike candidates.
 
-    In each round the deviations, their first and their second differences span three planes; a
-    reading outside the universal-threshold ellipse of any plane is a candidate, and its deviation
-    is set to the level (0) for the next round. It ends when a round adds none.
+    The deviation with its first and second difference is a point in space. Readings that are neither
+    found nor far out give the ellipsoid its axes and tilt. A point beyond `radius` times the ellipsoid
+    (the universal threshold, if none is given) is a spike if its deviation is the largest
+    among its neighbours, whose differences it has pushed outside, too. Its deviation is then set to the level,
+    and the ellipsoid is made again, until no point is found.
     """
-    n = len(u)
-    found = np.zeros(n, bool)
-    if n < 5:
+    found = np.zeros(len(u), bool)
+    if len(u) < 5:
         return found
-    lam = np.sqrt(2 * np.log(n))
-    u = u.copy()
-    for _ in range(rounds):
-        d1 = np.gradient(u)
-        d2 = np.gradient(d1)
-        su, s1, s2 = (_spread(x[~found]) for x in (u, d1, d2))
-        if su <= 0:
-            break
-        theta = np.arctan2(np.sum(u * d2), np.sum(u * u))
-        c2, s2n = np.cos(theta) ** 2, np.sin(theta) ** 2
-        det = c2 * c2 - s2n * s2n
-        a2, b2 = ((lam * su) ** 2 * c2 - (lam * s2) ** 2 * s2n) / det if det else 0, ((lam * s2) ** 2 * c2 - (lam * su) ** 2 * s2n) / det if det else 0
-        ra, rb = (np.sqrt(a2), np.sqrt(b2)) if a2 > 0 and b2 > 0 else (lam * su, lam * s2)
-        out = _outside(u, d1, lam * su, lam * s1) | _outside(d1, d2, lam * s1, lam * s2) | _outside(u, d2, ra, rb, theta)
-        out |= np.abs(u) > lam * su
-        if not (out & ~found).any():
-            break
+    limit = 2 * np.log(len(u)) if radius is None else radius**2
+    near = _ordinary(u, found)
+    while True:
+        left = np.where(found, 0.0, u)
+        calm = near & ~found
+        if not np.any(left[calm]):
+            return found
+        points = phase_points(left)
+        size = np.abs(left)
+        peak = (size >= np.append(0.0, size[:-1])) & (size >= np.append(size[1:], 0.0))
+        out = peak & ~found & (_squared_radius(points, _products(points, calm), int(calm.sum())) > limit)
+        if not out.any():
+            return found
         found |= out
-        u[found] = 0
-    return found
+
+
+def phase_points_alone(u: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Phase points of the found readings, each as if all other found ones were at the level."""
+    left = np.where(found, 0.0, u)
+    before, after = np.append(0.0, left)[:-1], np.append(left, 0.0)[1:]
+    return np.stack([u, (after - before) / 2, after - 2 * u + before], axis=1)[found]
 
 
 def stuck_runs(x: np.ndarray, least: int) -> np.ndarray:
@@ -87,8 +105,8 @@ def stuck_runs(x: np.ndarray, least: int) -> np.ndarray:
 
 
 def _inspect(bounds: dict[str, tuple[float, float]], names: list[str], stuck: int):
-    """Function of one block (source, field, block) for applyInArrow: its faults and candidates, and a
-    summary row (place null) with the number and the sum of squares of its ordinary deviations."""
+    """Function of one block (source, field, block) for applyInArrow: its faults and candidates with
+    their phase points, and a summary row (place null) with the number and the sums of products of its ordinary points."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = table.sort_by("pos")
@@ -99,41 +117,44 @@ def _inspect(bounds: dict[str, tuple[float, float]], names: list[str], stuck: in
         lo, hi = bounds[field]
         impossible, still = (x < lo) | (x > hi), stuck_runs(x, stuck)
         normal = np.flatnonzero(~impossible & ~still)
-        u, spike = np.zeros(len(x)), np.zeros(len(x), bool)
+        u, spike, point = np.zeros(len(normal)), np.zeros(len(normal), bool), np.zeros((len(x), 3))
         if len(normal):
             y = x[normal]
-            u[normal] = y - running_level(y)
-            spike[normal] = phase_space(u[normal])
-            # The level is read again without the candidates, so that a cluster of spikes doesn't move it.
-            calm = normal[~spike[normal]]
-            if 5 <= len(calm) < len(normal):
-                u[normal] = x[normal] - np.interp(normal, calm, running_level(x[calm]))
-        base = _spread(u[normal])
-        ordinary = np.zeros(len(x), bool)
-        ordinary[normal] = np.abs(u[normal]) <= 4.5 * base
-        tell = own & (impossible | still | spike)
-        counted = ordinary & own
+            u = y - running_level(y)
+            spike = phase_space(u)
+            if 5 <= np.sum(~spike) < len(normal):
+                # The level is read again without the candidates, so that a cluster of spikes doesn't move it.
+                u = y - np.interp(np.arange(len(y)), np.flatnonzero(~spike), running_level(y[~spike]))
+                spike = phase_space(u)
+            point[normal[spike]] = phase_points_alone(u, spike)
+        calm = _ordinary(u, spike) & own[normal]
+        sums = _products(phase_points(np.where(spike, 0.0, u)), calm)
+        marked = np.zeros(len(x), bool)
+        marked[normal[spike]] = True
+        tell = own & (impossible | still | marked)
         kind = np.where(impossible, 0, np.where(still, 1, 2))
         k = int(tell.sum())
         places = t["place"].combine_chunks()
         places = places.cast(pa.struct([f.with_nullable(True) for f in places.type]))
+        numbers = pa.array([*point[tell].tolist(), sums.tolist()], pa.list_(pa.float64()))
         return pa.table({
             "voice": pa.array([voice] * (k + 1), pa.string()), "field": pa.array([which] * (k + 1), pa.int32()),
             "place": pa.concat_arrays([places.filter(pa.array(tell)), pa.array([None], places.type)]),
-            "kind": pa.array([*kind[tell].tolist(), -1], pa.int32()), "deviation": pa.array([*np.abs(u[tell]).tolist(), float(np.sum(u[counted] ** 2))], pa.float64()), "n": pa.array([0] * k + [int(counted.sum())], pa.int64()),
+            "kind": pa.array([*kind[tell].tolist(), -1], pa.int32()), "point": numbers, "n": pa.array([0] * k + [int(calm.sum())], pa.int64()),
         })
 
     return run
 
 
-def faulty_readings(df: DataFrame, source: str, place: list[str], order: list[Column], shard: Column, bounds: dict[str, tuple[float, float]], stuck: int = 6, spike_sd: float = 5.5) -> DataFrame:
-    """One row per faulty reading: source, place columns, field_name, kind, deviation_sd.
+def faulty_readings(df: DataFrame, source: str, place: list[str], order: list[Column], shard: Column, bounds: dict[str, tuple[float, float]], stuck: int = 6, spike_radius: float = 6.0) -> DataFrame:
+    """One row per faulty reading: source, place columns, field_name, kind, radius.
 
     `bounds` names the fields with their possible range. kind is 'impossible' (outside the range),
-    'stuck' (one of `stuck` or more equal readings in a row of the source) or 'spike': a candidate of
-    phase-space thresholding that is then more than `spike_sd` standard deviations of the source's
-    ordinary readings away from its level there. Ordinary readings stay within 4, spikes lie beyond
-    6; the limit between leaves room for the error of the estimated level and deviation.
+    'stuck' (one of `stuck` or more equal readings in a row of the source) or 'spike': its phase point
+    (deviation from the level, first and second difference) lies beyond `spike_radius` times the
+    ellipsoid of the source's ordinary readings. Blocks find candidates by ellipsoids of their own, the
+    source's ellipsoid, from the sums of all blocks, decides. Ordinary readings stay within 4 deviations, spikes lie
+    beyond 6, and a point lies at least as far out as its deviation.
 
     Null, NaN and 0 are no readings: they are never faults and don't interrupt a stuck run. Rows with
     the same source and place are deliveries of one reading; if they disagree the smallest counts.
@@ -152,11 +173,24 @@ def faulty_readings(df: DataFrame, source: str, place: list[str], order: list[Co
     blocks = F.explode(F.array_distinct(F.array(home, F.floor((F.col("pos") + HALO) / BLOCK), F.greatest(F.lit(0), F.floor((F.col("pos") - HALO) / BLOCK)))))
     seen = placed.select("voice", "field", "place", "pos", "value", blocks.alias("block")).groupBy("voice", "field", "block")
     kind = dict(df.select(F.struct(*place).alias("p")).dtypes)["p"]
-    told = cut_lineage(seen.applyInArrow(_inspect(bounds, names, stuck), f"voice string, field int, place {kind}, kind int, deviation double, n bigint"))
+    told = cut_lineage(seen.applyInArrow(_inspect(bounds, names, stuck), f"voice string, field int, place {kind}, kind int, point array<double>, n bigint"))
 
-    sd = told.where("kind = -1").groupBy("voice", "field").agg(F.sqrt(F.sum("deviation") / F.greatest(F.sum("n"), F.lit(1))).alias("sd"))
-    faults = null_safe_join(told.where("kind >= 0"), sd, ["voice", "field"])
-    in_sd = F.when(F.col("sd") > 0, F.col("deviation") / F.col("sd"))
+    # The source's ellipsoid from the sums of all its blocks: few rows, whatever the number of readings.
+    total = F.greatest(F.sum("n"), F.lit(1))
+    shape = told.where("kind = -1").groupBy("voice", "field").agg(*[(F.sum(F.col("point")[i]) / total).alias(c) for i, c in enumerate(("uu", "ud", "uv", "dd", "dv", "vv"))])
+    faults = null_safe_join(told.where("kind >= 0"), shape, ["voice", "field"])
+    in_sd = F.sqrt(_squared_radius_column([F.col("point")[i] for i in range(3)]))
     field = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("field") + 1)
     named = F.element_at(F.array(*[F.lit(x) for x in ("impossible", "stuck", "spike")]), F.col("kind") + 1)
-    return faults.where((F.col("kind") < 2) | (in_sd > spike_sd)).select(F.col("voice").alias(source), "place.*", field.alias("field_name"), named.alias("kind"), in_sd.alias("deviation_sd"))
+    kept = faults.withColumn("radius", F.when(F.col("kind") == 2, in_sd)).where((F.col("kind") < 2) | (F.col("radius") > spike_radius))
+    return kept.select(F.col("voice").alias(source), "place.*", field.alias("field_name"), named.alias("kind"), "radius")
+
+
+def _squared_radius_column(p: list[Column]) -> Column:
+    """p' C^-1 p for the covariance in the columns uu .. vv, by cofactors; null where it has no volume."""
+    uu, ud, uv, dd, dv, vv = (F.col(c) for c in ("uu", "ud", "uv", "dd", "dv", "vv"))
+    a, b, c = dd * vv - dv * dv, uv * dv - ud * vv, ud * dv - uv * dd
+    d, e, f = uu * vv - uv * uv, ud * uv - uu * dv, uu * dd - ud * ud
+    det = uu * a + ud * b + uv * c
+    x, y, z = p
+    return F.when(det > 1e-12 * uu * dd * vv, (a * x * x + d * y * y + f * z * z + 2 * (b * x * y + c * x * z + e * y * z)) / det)

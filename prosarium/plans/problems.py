@@ -56,12 +56,12 @@ READINGS = {"natural_pitch_syntagme": PITCH, "synthesized_pitch_syntagme": PITCH
 
 
 def p4_faults(spark: SparkSession, folder: str) -> DataFrame:
-    """row_id, field_name, kind, deviation_sd of every delivery of a faulty reading."""
+    """row_id, field_name, kind, radius of every delivery of a faulty reading."""
     rows = table(spark, folder, "bdd_syntagme_ssml").where(spoken(F.col("syntagme"))).withColumn("voice", F.coalesce("voice", F.lit("")))
     seg_no = F.expr("try_cast(regexp_extract(segment, '([0-9]+)$', 1) AS BIGINT)")
     order = [F.col("seg_no"), F.col("segment"), F.col("syn_no")]
     faults = faulty_readings(rows.withColumn("seg_no", F.coalesce(seg_no, F.lit(-1))), "voice", ["seg_no", "segment", "syn_no"], order, F.floor(F.col("seg_no") / 64), READINGS)
-    return null_safe_join(rows.select("row_id", "voice", "segment", "syn_no"), faults.drop("seg_no"), ["voice", "segment", "syn_no"]).select("row_id", "field_name", "kind", "deviation_sd")
+    return null_safe_join(rows.select("row_id", "voice", "segment", "syn_no"), faults.drop("seg_no"), ["voice", "segment", "syn_no"]).select("row_id", "field_name", "kind", "radius")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,6 +80,32 @@ def test_faults_of_a_moving_source_over_many_blocks(spark):
     assert got.where("voice = 'w'").count() == 0
 
 
+def test_phase_space_decides_what_is_a_spike(spark, monkeypatch):
+    """Neighbours of spikes are outside every plane, too, and a value's size alone doesn't tell: without the ellipsoids rows differ."""
+    rng = np.random.default_rng(11)
+    u = np.clip(rng.normal(0, 1, 3000), -4, 4)
+    at = np.arange(50, 2950, 97)
+    u[at] = rng.choice([-1, 1], len(at)) * rng.uniform(8, 30, len(at))
+    u[[500, 501, 502]] = 12.0, 14.0, 9.0  # a cluster
+    u[700], u[702] = 20.0, -25.0
+    want = set(at.tolist()) | {500, 501, 502, 700, 702}
+    assert set(np.flatnonzero(spikes.phase_space(u, 6.0)).tolist()) == want
+    points = spikes.phase_points(u)
+    inside = spikes._ordinary(u, np.zeros(3000, bool))
+    outside = spikes._squared_radius(points, spikes._products(points, inside), int(inside.sum())) > 36
+    assert set(np.flatnonzero(outside).tolist()) > want | {501, 701, 703}  # one look, without setting spikes to the level
+    df = spark.createDataFrame([("v", i, float(x) + 300) for i, x in enumerate(u)], "voice string, i int, f double")
+    run = lambda: {r["i"] for r in spikes.faulty_readings(df, "voice", ["i"], [F.col("i")], F.floor(F.col("i") / 512), {"f": (0.0, 1000.0)}).collect()}
+    assert run() == want
+    # A whole, not a part, of the result comes through the ellipsoids.
+    monkeypatch.setattr(spikes, "phase_space", lambda u, radius=None: np.zeros(len(u), bool))
+    blocks = spikes._inspect({"f": (0.0, 1000.0)}, ["f"], 6)
+    import pyarrow as pa
+
+    table = pa.table({"place": pa.array([{"i": i} for i in range(3000)]), "pos": np.arange(3000), "value": u + 300})
+    assert blocks((pa.scalar("v"), pa.scalar(0), pa.scalar(0)), table)["kind"].to_pylist() == [-1]
+
+
 def test_faults_of_rounded_constant_and_empty_sources(spark):
     data = [("a", i, 5.0 if i % 2 else 6.0) for i in range(40)] + [("b", i, 7.0) for i in range(5)] + [(None, i, 7.0) for i in range(6)]
     df = spark.createDataFrame(data, "s string, i int, f double")
