@@ -34,6 +34,7 @@ ORDINAL_AFTER = frozenset("januar februar märz april mai juni juli august septe
 PAIRS = {"«": "»", "“": "”", "„": "“”", "‹": "›", "(": ")", "（": "）", "「": "」", "『": "』", "[": "]", "【": "】", "《": "》", "〈": "〉"}
 GOES_ON = frozenset(",;:،؛、，；：")
 
+_OPENERS = {c: [o for o, ends in PAIRS.items() if c in ends] for c in set("".join(PAIRS.values()))} | {'"': ['"']}
 _CLOSERS = "".join(sorted(set("".join(PAIRS.values()))))
 #: Closing marks that can't open anything; they are taken in even if a blank line has parted them from what they close.
 _ONLY_CLOSERS = frozenset("»”›)）」』]】》〉")
@@ -49,7 +50,9 @@ _SKIP = re.compile(rf"(?:[{WS}]|{TAG})*")
 _GAP_BLANK = re.compile(rf"{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}")
 _TOKEN = re.compile(rf"[^{WS}<]+|<")
 _ENTITY = re.compile(r"&#?\w+;")
-_LIST_NUMBER = re.compile(rf"(?:^|[\n\r\x0b\x0c\x85  ])(?:{_LINE_WS}|{TAG})*\(?$")
+_LINE_LEAD = re.compile(rf"(?:{_LINE_WS}|{TAG})*\(?")
+_LINE_END = re.compile(_BREAK)
+_WORD_AHEAD = re.compile(rf"[.,;:!?]*(\w{{1,{max(map(len, ORDINAL_AFTER))}}})[.,;:!?]*(?=[{WS}<]|$)")
 _ROMAN = re.compile(r"[IVXLC]+\b")
 _ALWAYS = frozenset("。！？।॥؟۔")
 _CASELESS_WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿ｦ-ﾟ]")
@@ -71,11 +74,14 @@ def _trie() -> dict:
 
 
 _ABBREVIATIONS = _trie()
+#: Characters before a point that can decide about an abbreviation: the longest one, each letter with an accent of its own, and what stands before it.
+_REACH = 2 * max(map(len, TITLES + NUMBERED + CLOSING)) + 3
+_ORDINAL_REACH = max(map(len, ORDINAL_BEFORE)) + 1
 
 
 def _abbreviation(text: str, end: int) -> str:
     """Class of the abbreviation whose last point is at `end`, or ''. The longest one counts."""
-    word = unicodedata.normalize("NFC", text[max(0, end - 24) : end]).lower()
+    word = unicodedata.normalize("NFC", text[max(0, end - _REACH) : end]).lower()
     node, found, i = _ABBREVIATIONS, "", len(word) - 1
     while i >= -1:
         if "" in node and (i < 0 or not (word[i].isalnum() or word[i] in ".-_" or unicodedata.category(word[i])[0] == "M")):
@@ -86,39 +92,134 @@ def _abbreviation(text: str, end: int) -> str:
     return found
 
 
+class _Reader:
+    """What the automaton asks about a text, in time proportional to its length for all questions
+    together, as they come in ascending order of place: what was found out once is kept."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._letters_to, self._latin = 0, False
+        self._breaks, self._next_break, self._line = _LINE_END.finditer(text), -1, 0
+        self._token = (0, 0, -1, -1, -1, -1)
+        self._cases: dict[tuple[int, bool], str] = {}
+        self._lead = (-1, 0)
+
+    def latin_before(self, at: int) -> bool:
+        """The last letter before a place is Latin."""
+        if at > self._letters_to:
+            for c in reversed(self.text[self._letters_to : at]):
+                if c.isalpha():
+                    self._latin = _LATIN.match(c) is not None
+                    break
+            self._letters_to = at
+        return self._latin
+
+    def line_start(self, at: int) -> int:
+        """Begin of the line that a place lies in."""
+        while self._next_break is not None and self._next_break <= at:
+            self._line = max(self._next_break, 0)
+            m = next(self._breaks, None)
+            self._next_break = m.end() if m else None
+        return self._line
+
+    def first_visible(self, begin: int) -> int:
+        if self._lead[0] != begin:
+            self._lead = begin, _SKIP.match(self.text, begin).end()
+        return self._lead[1]
+
+    def _signs(self, at: int) -> tuple[int, int, int, int]:
+        """End of the token at a place, and its last Latin letter, last letter, last phonetic sign and last stray accent."""
+        if not self._token[0] <= at < self._token[1]:
+            m = _TOKEN.match(self.text, at)
+            if not m:
+                self._token = (at, at, -1, -1, -1, -1)
+            else:
+                token = m[0]
+                latin = alpha = ipa = stray = -1
+                if not token.isascii():
+                    for i, c in enumerate(token):
+                        if c.isalpha():
+                            alpha = i
+                            if _LATIN.match(c):
+                                latin = i
+                        if _IPA.match(c):
+                            ipa = i
+                        elif i and unicodedata.combining(c) and unicodedata.category(c) == "Mn" and len(unicodedata.normalize("NFC", token[i - 1 : i + 1])) > 1:
+                            stray = i
+                self._token = (at, m.end(), *(at + i if i >= 0 else -1 for i in (latin, alpha, ipa, stray)))
+        return self._token[1:]
+
+    def case(self, at: int, latin: bool) -> str:
+        """lower, upper, digit, none (a script without case) or end: what the words from a place on begin with. Tokens without
+        letters, entities, phonetic signs, stray accents and words of another script within Latin text say nothing and are passed over."""
+        text, passed, found = self.text, [], "none"
+        while True:
+            if (at, latin) in self._cases:
+                found = self._cases[at, latin]
+                break
+            end, last_latin, last_alpha, ipa, stray = self._signs(at)
+            if end == at:
+                found = "none" if passed else "end"
+                break
+            passed.append((at, latin))
+            foreign = latin and last_alpha >= at and last_latin < at
+            if not foreign and not (last_latin >= at and stray >= at) and ipa < at and not (end - at == 2 and text.startswith("\\n", at)) and not (text[at] == "&" and _ENTITY.match(text, at)):
+                c = next((c for c in map(text.__getitem__, range(at, end)) if c.isalnum()), "")
+                if c:
+                    found = "lower" if c.islower() else "digit" if c.isdigit() else "upper" if c.isupper() or c.istitle() else "none"
+                    break
+            at = _SKIP.match(text, end).end()
+        for k in passed:
+            self._cases[k] = found
+        return found
+
+
 class _Ahead:
     """What follows a place: the next visible character, and the case of the next word."""
 
-    __slots__ = ("at", "char", "gap", "blank", "case")
+    __slots__ = ("at", "blank", "case", "char", "gap")
 
-    def __init__(self, text: str, at: int):
+    def __init__(self, reader: _Reader, at: int):
+        text = reader.text
         m = _SKIP.match(text, at)
         self.at = m.end()
         self.gap = m.end() > at
         self.char = text[self.at] if self.at < len(text) else ""
         self.blank = self.gap and _GAP_BLANK.search(text, at, self.at) is not None
-        self.case = self._case(text, at) if self.char else "end"
-
-    def _case(self, text: str, start: int) -> str:
-        """lower, upper, digit, none (a script without case) or end. Tokens without letters, entities, phonetic signs,
-        stray accents and words of another script within Latin text say nothing about case and are passed over."""
-        at = self.at
-        latin = any(_LATIN.match(c) for c in text[max(0, start - 8) : start])
-        for _ in range(5):
-            m = _TOKEN.match(text, at)
-            if not m:
-                return "end" if at == self.at else "none"
-            token, foreign, stray = m[0], False, False
-            if not token.isascii():
-                token = unicodedata.normalize("NFC", token)
-                foreign = latin and not _LATIN.search(token) and any(c.isalpha() for c in token)
-                stray = _LATIN.search(token) and any(unicodedata.category(c) == "Mn" for c in token)
-            if not foreign and not stray and not _ENTITY.match(token) and not _IPA.search(token) and token != "\\n":
-                for c in token:
-                    if c.isalnum():
-                        return "lower" if c.islower() else "digit" if c.isdigit() else "upper" if c.isupper() or c.istitle() else "none"
-            at = _SKIP.match(text, m.end()).end()
-        return "none"
+        self.case = reader.case(self.at, reader.latin_before(at)) if self.char else "end"
+
+
+class _Open:
+    """What is open, with the number of each kind, so that a mark that closes nothing costs nothing."""
+
+    def __init__(self) -> None:
+        self.marks: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def __bool__(self) -> bool:
+        return bool(self.marks)
+
+    def holds(self, c: str) -> bool:
+        return self.count.get(c, 0) > 0
+
+    def open(self, c: str) -> None:
+        self.marks.append(c)
+        self.count[c] = self.count.get(c, 0) + 1
+
+    def clear(self) -> None:
+        self.marks.clear()
+        self.count.clear()
+
+    def close(self, c: str) -> bool:
+        """Closes the last mark that c ends, and all that was opened after it."""
+        ends = [o for o in _OPENERS.get(c, ()) if self.holds(o)]
+        if not ends:
+            return False
+        while True:
+            o = self.marks.pop()
+            self.count[o] -= 1
+            if o in ends:
+                return True
 
 
 def _visible_end(text: str, begin: int, end: int) -> int:
@@ -141,7 +242,7 @@ def _has_word(text: str, begin: int, end: int) -> bool:
 def sentence_ends(text: str) -> list[int]:
     """end_char of every sentence, ascending."""
     ends: list[int] = []
-    stack: list[str] = []
+    reader, stack = _Reader(text), _Open()
     waiting: list[int] = []  # boundaries inside what is open
     skip_to = opened = 0
 
@@ -150,13 +251,6 @@ def sentence_ends(text: str) -> list[int]:
         if e > begin and (text[e - 1] not in _NOT_SURE or _visible_end(text, begin, e) > begin):
             ends.append(e)
 
-    def close(c: str) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if c in PAIRS.get(stack[k], stack[k]):
-                del stack[k:]
-                return True
-        return False
-
     for m in _EVENT.finditer(text):
         if m.start() < skip_to or m["tag"]:
             continue
@@ -170,14 +264,14 @@ def sentence_ends(text: str) -> list[int]:
             emit(_visible_end(text, begin, a))
         elif m["open"] or m["straight"]:
             c = m[0]
-            if (c == '"' or c == "“" and "„" in stack) and close(c):
+            if (c == '"' or c == "“" and stack.holds("„")) and stack.close(c):
                 if not stack:
                     waiting.clear()
             else:
                 opened = opened if stack else a
-                stack.append(c)
+                stack.open(c)
         elif m["close"]:
-            if close(m[0]) and not stack:
+            if stack.close(m[0]) and not stack:
                 # No mark stands right before it, so the surrounding sentence goes on; unless that is
                 # only the quotation, whose last mark comes after it.
                 begin = ends[-1] if ends else 0
@@ -186,7 +280,7 @@ def sentence_ends(text: str) -> list[int]:
                         emit(w)
                 waiting.clear()
         elif m["thai"]:
-            before, ahead = text[a - 1], _Ahead(text, a)
+            before, ahead = text[a - 1], _Ahead(reader, a)
             if not _THAI.match(before):
                 before = text[a - 2] if a > 1 else ""
             if _THAI.match(before) and ahead.char and not ahead.char.isdigit() and not ahead.blank:
@@ -195,13 +289,13 @@ def sentence_ends(text: str) -> list[int]:
                 else:
                     emit(a)
         else:
-            ahead = _Ahead(text, b)
-            if not _may_end(text, a, b, m["mark"], ahead, ends[-1] if ends else 0):
+            ahead = _Ahead(reader, b)
+            if not _may_end(reader, a, b, m["mark"], ahead, ends[-1] if ends else 0):
                 continue
             e, closed = b, False
-            while ahead.char and not ahead.blank and (close(ahead.char) if stack and (ahead.char in _CLOSERS or ahead.char == '"') else ahead.char in _ONLY_CLOSERS):
+            while ahead.char and not ahead.blank and (stack.close(ahead.char) if stack and (ahead.char in _CLOSERS or ahead.char == '"') else ahead.char in _ONLY_CLOSERS):
                 e = skip_to = ahead.at + 1
-                closed, ahead = True, _Ahead(text, e)
+                closed, ahead = True, _Ahead(reader, e)
             on = ahead.case == "lower" or ahead.char in GOES_ON or ahead.char in _ALWAYS or (ahead.char in ".!?…" and ahead.char != "")
             if closed and ahead.case == "none" and not on and ahead.char:
                 # Scripts without case: what follows a quotation goes on with it (he said, and then).
@@ -229,8 +323,9 @@ def sentence_ends(text: str) -> list[int]:
     return ends
 
 
-def _may_end(text: str, a: int, b: int, mark: str, ahead: _Ahead, begin: int) -> bool:
+def _may_end(reader: _Reader, a: int, b: int, mark: str, ahead: _Ahead, begin: int) -> bool:
     """Whether the mark at [a, b) can end a sentence, before what is open is looked at."""
+    text = reader.text
     if ahead.blank or not ahead.char:
         return True
     if any(c in _ALWAYS for c in mark):
@@ -246,12 +341,16 @@ def _may_end(text: str, a: int, b: int, mark: str, ahead: _Ahead, begin: int) ->
         k = a
         while k > begin and text[k - 1].isdigit():
             k -= 1
-        if _LIST_NUMBER.search(text, max(0, k - 80), k) or _SKIP.match(text, begin).end() in (k, k - 1) and a - k <= 4:
+        if _LINE_LEAD.fullmatch(text, reader.line_start(k), k) or reader.first_visible(begin) in (k, k - 1) and a - k <= 4:
+            return False
+        follows = _WORD_AHEAD.match(text, ahead.at)
+        if follows and follows[1].lower() in ORDINAL_AFTER:
             return False
-        words = _TOKEN.match(text, ahead.at)
-        follows = words[0].strip(".,;:!?").lower() if words else ""
-        earlier = text[max(0, k - 12) : k].split()
-        if follows in ORDINAL_AFTER or earlier and earlier[-1].lower() in ORDINAL_BEFORE and ahead.case == "upper":
+        space = k
+        while space > begin and text[space - 1].isspace():
+            space -= 1
+        earlier = text[max(0, space - _ORDINAL_REACH) : space].split() if space < k else []
+        if earlier and earlier[-1].lower() in ORDINAL_BEFORE and ahead.case == "upper":
             return False
         return True
     alone = before.isalpha() and (a == 1 or not (text[a - 2].isalnum() or text[a - 2] in "._-" or unicodedata.category(text[a - 2])[0] == "M"))
