@@ -1,11 +1,14 @@
 """Evaluation items that leak into documents.
 
-Words are hashed with weights into 64-bit SimHash fingerprints of windows sized by the item: as
-long as the run of words that a leak of any length must leave untouched, however its allowed
-changes are spread. Every document window is looked up in a multi-index of the items' windows,
-RADIUS + 1 blocks of bits, which by the pigeonhole principle finds every fingerprint within RADIUS
-bits. A found place is a candidate alignment of a document and an item; candidates are checked
-exactly, first by the weight of item words within reach, then by aligning the word sequences.
+Words are hashed with weights into 64-bit SimHash fingerprints of item-sized windows: about as many
+words as the least part of the item that counts as a leak. Every window of a document is looked up in
+a multi-index of the items' windows: BLOCKS groups of bits, of which by the pigeonhole principle one
+differs in at most RADIUS // BLOCKS bits, so every fingerprint within RADIUS is found. What is found
+is a candidate alignment of a document and an item; candidates are checked exactly, first by the weight
+of the item's shingles within reach, then by aligning the word sequences.
+
+Fingerprints of texts that differ in every fifth word may lie further apart than any radius that can be
+indexed. For these worst cases the runs of words that such a leak must leave untouched are looked up, too.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,8 @@ from .text import TAG, spread
 
 LEAST = 0.4  # part of an item's words that a leak holds
 CHANGED = 0.2  # part of a stretch's words that may be changed, added or missing
-RADIUS = 3
-BLOCKS = RADIUS + 1
+RADIUS = 7
+BLOCKS = 4
 BITS = 64 // BLOCKS
 BLOCK_WORDS = 400_000  # words of items whose index one pass over the documents carries
 CHUNK_WORDS = 150_000  # words of documents worked on at once
@@ -36,7 +40,9 @@ CHUNK_WORDS = 150_000  # words of documents worked on at once
 _MARKUP = re.compile(rf"{TAG}|<\|\w+\|>")
 #: Letters that are written as two (fixed values); accents go by decomposition.
 _TWO = {"œ": "oe", "æ": "ae", "ß": "ss", "ø": "o", "ł": "l", "đ": "d"}
-_WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]|[^\W_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+#: Characters that are words by themselves.
+_ONE_EACH = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_WORD = re.compile(rf"[{_ONE_EACH}]|[^\W_{_ONE_EACH}]+")
 
 
 @cache
@@ -72,15 +78,24 @@ def _bits(word: str) -> np.ndarray:
     return np.unpackbits(np.array([h], ">u8").view(np.uint8)).astype(np.int16) * 2 - 1
 
 
-def fingerprints(vectors: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every window of `width` words, given the words' weighted bit vectors (n x 64)."""
-    n = len(vectors) - width + 1
-    if n <= 0:
+def running_sums(vectors: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Sums of the words' weighted bit vectors (n x 64) before each word and before the end; all parts of
+    `rows` words are summed side by side, as numpy is slow along the first axis."""
+    n = len(vectors)
+    parts = np.zeros((-(-n // rows) * rows + 1, 64), np.int32)
+    parts[1 : n + 1] = vectors
+    side = parts[1:].reshape(-1, rows, 64)
+    for i in range(1, rows):
+        side[:, i] += side[:, i - 1]
+    side[1:] += np.cumsum(side[:-1, -1], axis=0)[:, None]
+    return parts[: n + 1]
+
+
+def fingerprints(sums: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of every window of `width` words, from their running sums."""
+    if len(sums) <= width:
         return np.zeros(0, np.uint64)
-    total = vectors[:n].astype(np.int32)
-    for i in range(1, width):
-        total += vectors[i : n + i]
-    return np.packbits(total > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+    return np.packbits(sums[width:] > sums[:-width], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 @dataclass
@@ -93,6 +108,7 @@ class Items:
     weights: np.ndarray = field(init=False)
     codes: list[np.ndarray] = field(init=False)
     index: dict[int, _Index] = field(init=False)
+    runs: dict[int, _Runs] = field(init=False)
 
     def __post_init__(self) -> None:
         seen: dict[str, set[int]] = {}
@@ -107,25 +123,25 @@ class Items:
         self.vectors = np.zeros((len(seen) + 1, 64), np.int16)
         for w, k in self.vocabulary.items():
             self.vectors[k] = _bits(w) * self.weights[k]
-        by_width: dict[int, list[tuple[int, np.ndarray]]] = {}
+        sized: dict[int, list[tuple[int, np.ndarray]]] = {}
+        short: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, c in enumerate(self.codes):
             if len(c):
-                width = window_width(len(c))
-                by_width.setdefault(width, []).append((i, fingerprints(self.vectors[c], width)))
-        self.index = {w: _Index(found) for w, found in by_width.items()}
-        self.member = np.zeros((n, len(seen) + 1), bool)
-        for i, c in enumerate(self.codes):
-            self.member[i, c] = True
+                sums = running_sums(self.vectors[c])
+                for windows, width in ((sized, window_width(len(c))), (short, run_width(len(c)))):
+                    windows.setdefault(width, []).append((i, fingerprints(sums, width)))
+        self.index = {w: _Index(found) for w, found in sized.items()}
+        self.runs = {w: _Runs(found) for w, found in short.items()}
+        size = len(seen) + 1
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
         self.least_hits = np.array([least_hits(len(c)) for c in self.codes], np.int64)
         self.bands = int(CHANGED * self.lengths.max(initial=0) + 1e-9) // 8 + 1  # bands of 8 diagonals that a leak's changes can reach
-        # Two-word shingles of items, and which item has which.
-        size = len(seen) + 1
-        shingles = [np.unique(c[:-1].astype(np.int64) * size + c[1:]) for c in self.codes]
-        self.shingles = np.unique(np.concatenate([*shingles, np.zeros(0, np.int64)]))
-        self.has = np.zeros((n, len(self.shingles) + 1), bool)
-        for i, g in enumerate(shingles):
-            self.has[i, np.searchsorted(self.shingles, g)] = True
+        # Two-word shingles of items, each item's in order of place, and their weights: rare ones weigh more.
+        by_item = [c[:-1].astype(np.int64) * size + c[1:] for c in self.codes]
+        self.shingles, spread_over = np.unique(np.concatenate([*(np.unique(g) for g in by_item), np.zeros(0, np.int64)]), return_counts=True)
+        self.places = [np.searchsorted(self.shingles, g) for g in by_item]
+        self.shingle_weights = np.append(1 + np.round(4 * np.log2(n / spread_over)).astype(np.int64) if n else np.zeros(0, np.int64), 0)
+        self.least_weights = [least_weights(self.shingle_weights[g], len(c)) for g, c in zip(self.places, self.codes)]
 
     def shingle_codes(self, codes: np.ndarray) -> np.ndarray:
         """Number of the shingle that starts at each word; the last number for those of no item."""
@@ -150,18 +166,40 @@ def stretches(words: int) -> list[tuple[int, int]]:
 
 
 def window_width(words: int) -> int:
+    """Width of an item's windows: the least length of a leak, rounded down to a ladder of widths with
+    ratio 3/2, so that a document is fingerprinted in few widths however many lengths the items have."""
+    least, width = stretches(words)[0][0], 1
+    while (wider := max(width + 1, width * 3 // 2)) <= least:
+        width = wider
+    return width
+
+
+def run_width(words: int) -> int:
     """Longest run that the changes must leave untouched in a leak of any length."""
     return max(1, min(-(-(k - e) // (e + 1)) for k, e in stretches(words)))
 
 
 def least_hits(words: int) -> int:
-    """Fewest windows without a change in a leak of any length: k - w + 1 but for w per change."""
-    w = window_width(words)
+    """Fewest runs of run_width without a change in a leak of any length: k - w + 1 but for w per change."""
+    w = run_width(words)
     return max(1, min(k - w + 1 - w * e for k, e in stretches(words)))
 
 
-class _Index:
-    """Fingerprints of item windows, found by any of BLOCKS groups of bits."""
+def least_weights(weights: np.ndarray, words: int) -> np.ndarray:
+    """For each of an item's stretches() the least weight of shingles that a leak of this length keeps, wherever it
+    begins: e changes take 2e shingles at most, in the worst case the heaviest."""
+    out = []
+    for k, e in stretches(words):
+        if k - 1 <= 2 * e:
+            out.append(0)
+            continue
+        parts = np.sort(np.lib.stride_tricks.sliding_window_view(weights, k - 1), axis=1)
+        out.append(int(parts[:, : k - 1 - 2 * e].sum(axis=1).min()))
+    return np.array(out, np.int64)
+
+
+class _Runs:
+    """Places of item windows by fingerprint."""
 
     def __init__(self, found: list[tuple[int, np.ndarray]]):
         prints = np.concatenate([f for _, f in found])
@@ -171,11 +209,34 @@ class _Index:
         order = np.argsort(inverse, kind="stable")
         self.item, self.place = item[order], place[order]
         self.begin = np.searchsorted(inverse[order], np.arange(len(self.prints) + 1))
+
+    def equal(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, number in self.prints) of equal fingerprints."""
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        who = np.flatnonzero(self.prints[at] == prints)
+        return who, at[who]
+
+    def places(self, who: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in prints, item, place in item) of pairs (place in prints, number in self.prints)."""
+        lo, n = self.begin[which], self.begin[which + 1] - self.begin[which]
+        rows = _spans(lo, n)
+        return np.repeat(who, n), self.item[rows], self.place[rows]
+
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.places(*self.equal(prints))
+
+
+class _Index(_Runs):
+    """Fingerprints of item windows, found by any of BLOCKS groups of bits within RADIUS // BLOCKS bits."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray]]):
+        super().__init__(found)
+        near = np.array([sum(1 << b for b in flipped) for k in range(RADIUS // BLOCKS + 1) for flipped in combinations(range(BITS), k)], np.int64)
         self.blocks = []
         for b in range(BLOCKS):
-            part = self._part(self.prints, b)
+            part = (self._part(self.prints, b)[:, None] ^ near).ravel()
             o = np.argsort(part, kind="stable")
-            self.blocks.append((o, np.searchsorted(part[o], np.arange((1 << BITS) + 1))))
+            self.blocks.append(((o // len(near)).astype(np.int32), np.searchsorted(part[o], np.arange((1 << BITS) + 1)).astype(np.int32)))
 
     @staticmethod
     def _part(prints: np.ndarray, b: int) -> np.ndarray:
@@ -183,20 +244,16 @@ class _Index:
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in prints, item, place in item) of all windows within RADIUS bits."""
-        at, near = [], []
+        pairs = []
         for b, (order, begin) in enumerate(self.blocks):
             part = self._part(prints, b)
             lo, n = begin[part], begin[part + 1] - begin[part]
-            who = np.repeat(np.arange(len(prints)), n)
+            who = np.repeat(np.arange(len(prints), dtype=np.int32), n)
             which = order[_spans(lo, n)]
-            close = np.bitwise_count(prints[who] ^ self.prints[which]) <= RADIUS
-            at.append(who[close])
-            near.append(which[close])
-        pairs = np.unique(np.concatenate(at) * len(self.prints) + np.concatenate(near))
-        who, which = pairs // len(self.prints), pairs % len(self.prints)
-        lo, n = self.begin[which], self.begin[which + 1] - self.begin[which]
-        rows = _spans(lo, n)
-        return np.repeat(who, n), self.item[rows], self.place[rows]
+            close = np.flatnonzero(np.bitwise_count(prints[who] ^ self.prints[which]) <= RADIUS)
+            pairs.append(who[close].astype(np.int64) * len(self.prints) + which[close])
+        pairs = np.unique(np.concatenate(pairs))
+        return self.places(pairs // len(self.prints), pairs % len(self.prints))
 
 
 def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -239,9 +296,10 @@ class Scanner:
             more[k] = v
         vectors = np.concatenate([it.vectors, more]) if len(extra) else it.vectors
         owner = np.repeat(np.arange(len(docs)), lengths)
+        sums = running_sums(vectors[rows])
         keys = []
-        for width, index in it.index.items():
-            prints = fingerprints(vectors[rows], width)
+        for width, index in [*it.index.items(), *it.runs.items()]:
+            prints = fingerprints(sums, width)
             whole = np.flatnonzero(owner[: len(prints)] == owner[width - 1 :])  # windows within one document
             who, item, place = index.find(prints[whole])
             at = whole[who]
@@ -249,10 +307,12 @@ class Scanner:
             diagonal = at - start[owner[at]] - place
             band = (diagonal + (1 << 30)) // 8
             key, hits = np.unique((owner[at] * len(it.ids) + item) * (1 << 31) + band, return_counts=True)
-            # All windows that a leak keeps lie within reach of its diagonal.
-            near = sum(_at(key, hits, key + k) for k in range(-it.bands, it.bands + 1))
-            keys.append(key[near >= it.least_hits[(key >> 31) % len(it.ids)]])
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            if not isinstance(index, _Index):
+                # All runs that a leak keeps lie within reach of its diagonal.
+                near = sum(_at(key, hits, key + k) for k in range(-it.bands, it.bands + 1))
+                key = key[near >= it.least_hits[(key >> 31) % len(it.ids)]]
+            keys.append(key)
+        key = np.unique(np.concatenate(keys))
         if not len(key):
             return []
         pair, diagonal = key >> 31, ((key & ((1 << 31) - 1)) * 8) - (1 << 30)
@@ -270,33 +330,41 @@ class Scanner:
         return sorted({p for p, ok in zip(pairs, hold_stretches(spans)) if ok})
 
     def _weigh(self, codes: np.ndarray, start: np.ndarray, lengths: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Similarity by shingles, as a necessary condition: a stretch of k words with e changes keeps at
-        least k - 1 - 2e of the item's two-word shingles and k - e of its words in k + e words, as words may be
-        added, within reach of the candidate's diagonal; a candidate needs them for some k. Every shingle weighs
-        the same, else no bound would hold for all leaks."""
+        """Similarity by weighted shingles, as a necessary condition: within reach of the candidate's diagonal a stretch of
+        k words with e changes keeps shingles of the weight in Items.least_weights and k - e of the item's words in
+        k + e words, as words may be added; a candidate needs them for some k."""
         it = self.items
         out = np.zeros(len(doc), bool)
-        shingles = np.append(it.shingle_codes(codes), len(it.shingles))
-        words = np.append(codes, 0)
-        for n in np.unique(it.lengths[item]):
+        shingles, words = np.append(it.shingle_codes(codes), len(it.shingles)), np.append(codes, 0)
+        order = np.lexsort((item, it.lengths[item]))
+        for mine in np.split(order, np.flatnonzero(np.diff(it.lengths[item[order]])) + 1):
+            n = int(it.lengths[item[mine[0]]]) if len(mine) else 0
             reach = int(CHANGED * n) + 9
-            size = int(n) + 2 * reach
-            mine = np.flatnonzero(it.lengths[item] == n)
-            for part in np.array_split(mine, len(mine) * size // 4_000_000 + 1):
+            size = n + 2 * reach
+            # Parts of bounded size, with the words and shingles of few items as tables.
+            fresh = np.cumsum(np.append(True, np.diff(item[mine]) != 0)) - 1 if len(mine) else mine
+            part_of = np.maximum(np.arange(len(mine)) * size // 4_000_000, fresh * (len(it.vectors) + len(it.shingles)) // 16_000_000)
+            for part in np.split(mine, np.flatnonzero(np.diff(part_of)) + 1):
                 if not len(part):
                     continue
+                items, who = np.unique(item[part], return_inverse=True)
+                has_word, weight = np.zeros((len(items), len(it.vectors)), bool), np.zeros((len(items), len(it.shingles) + 1), np.int32)
+                for row, i in enumerate(items):
+                    has_word[row, it.codes[i]] = True
+                    weight[row, it.places[i]] = it.shingle_weights[it.places[i]]
                 at = (diagonal[part] - reach)[:, None] + np.arange(size)
                 inside = (at >= 0) & (at < lengths[doc[part]][:, None])
                 at = np.where(inside, at + start[doc[part]][:, None], len(codes))
-                who = item[part][:, None]
-                pairs, single = _sums(it.has[who, shingles[at]]), _sums(it.member[who, words[at]])
-                for k, e in stretches(int(n)):
+                pairs, single = _sums(weight[who[:, None], shingles[at]]), _sums(has_word[who[:, None], words[at]])
+                least = np.stack([it.least_weights[i] for i in items])[who]
+                for j, (k, e) in enumerate(stretches(n)):
                     w = min(size, k + e)
-                    out[part] |= (_densest(pairs, w) >= k - 1 - 2 * e) & (_densest(single, w) >= k - e)
+                    out[part] |= (_densest(pairs, w) >= least[:, j]) & (_densest(single, w) >= k - e)
         return out
 
     def _spans(self, size: int, i: int, diagonals: list[int]) -> list[tuple[int, int]]:
-        """Parts of a document to align with item i; neighbouring bands come together."""
+        """Parts of a document to align with item i; neighbouring bands come together, in parts that overlap
+        by more than a leak can take, so that no part grows with the document."""
         n = int(self.items.lengths[i])
         reach = int(CHANGED * n) + 9
         spans: list[tuple[int, int]] = []
@@ -306,11 +374,12 @@ class Scanner:
                 spans[-1] = (spans[-1][0], hi)
             else:
                 spans.append((lo, hi))
-        return spans
+        leak = n + 2 * reach
+        return [(at, min(hi, at + 4 * leak)) for lo, hi in spans for at in range(lo, max(lo + 1, hi - leak), 3 * leak)]
 
 
 def _sums(hit: np.ndarray) -> np.ndarray:
-    """Hits before each place and before the end, by row."""
+    """Hits or weights before each place and before the end, by row."""
     total = np.zeros((hit.shape[0], hit.shape[1] + 1), np.int32)
     np.cumsum(hit, axis=1, out=total[:, 1:])
     return total
@@ -442,8 +511,10 @@ def leaked_items(documents: DataFrame, doc: str, text: str, items: DataFrame, it
     whose text is null, empty or without words have no rows; equal items are all reported; repeated
     documents are all scanned. One long text is aligned only around its candidates.
     """
-    total = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    blocks = int(total) // (2 * block_words) + 1  # a word and its space take two characters at least
+    # A word and its space take two characters at least, but for scripts whose characters are words.
+    most = (F.length(item_text) + F.regexp_count(item_text, F.lit(f"[{_ONE_EACH}]"))) / 2
+    total = items.agg(F.coalesce(F.sum(most), F.lit(0))).first()[0]
+    blocks = int(total) // block_words + 1
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).where(F.col(item_text).isNotNull()).select(item, item_text).collect()

@@ -51,6 +51,7 @@ _GAP_BLANK = re.compile(rf"{_BREAK}(?:{_LINE_WS}|{TAG})*{_BREAK}")
 _TOKEN = re.compile(rf"[^{WS}<]+|<")
 _ENTITY = re.compile(r"&#?\w+;")
 _LINE_LEAD = re.compile(rf"(?:{_LINE_WS}|{TAG})*\(?")
+_LIST_HEAD = re.compile(rf"(?:[{WS}]|{TAG})*(?:\(?\d+[.)])?")
 _LINE_END = re.compile(_BREAK)
 _WORD_AHEAD = re.compile(rf"[.,;:!?]*(\w{{1,{max(map(len, ORDINAL_AFTER))}}})[.,;:!?]*(?=[{WS}<]|$)")
 _ROMAN = re.compile(r"[IVXLC]+\b")
@@ -275,7 +276,7 @@ def sentence_ends(text: str) -> list[int]:
                 # No mark stands right before it, so the surrounding sentence goes on; unless that is
                 # only the quotation, whose last mark comes after it.
                 begin = ends[-1] if ends else 0
-                if _EVENT.match(text, b) and text[b] in ".!?…" and not _has_word(text, begin, opened):
+                if _EVENT.match(text, b) and text[b] in ".!?…" and not _has_word(text, _LIST_HEAD.match(text, begin, opened).end(), opened):
                     for w in waiting:
                         emit(w)
                 waiting.clear()

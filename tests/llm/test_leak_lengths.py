@@ -40,7 +40,7 @@ def test_leaks_with_one_word_in_five_changed(n):
 
 @pytest.mark.parametrize("n", [1, 2, 5, 9, 10, 14, 23, 60, 77])
 def test_bounds_hold_for_all_lengths(n):
-    w = leakage.window_width(n)
+    w = leakage.run_width(n)
     for k in range(max(1, -(-2 * n // 5)), n + 1):
         e = k // 5
         runs = [min(w - 1, k)] * e  # runs a window short, the rest in the last
@@ -86,3 +86,26 @@ def test_any_stretch_matches_brute_force():
         assert leakage._any_stretch(*pair) == want == leakage.hold_stretches([pair])[0], (a, b)
         seen.append(want)
     assert 100 < sum(seen) < 1400
+
+
+def test_item_sized_windows_find_changed_leaks_by_their_radius(monkeypatch):
+    """With the runs switched off the fingerprints alone find nearly all leaks with changes at random places; with radius 0, few of them."""
+    rng = random.Random(9)
+    items = [[word(rng) for _ in range(n)] for n in rng.choices(range(42, 189), k=40)]
+    docs = []
+    for i, ws in enumerate(items * 3):
+        k = rng.randint(len(ws) // 2, len(ws))
+        a = rng.randint(0, len(ws) - k)
+        part = [word(rng) + "x" if rng.random() < 0.12 else w for w in ws[a : a + k]]
+        docs.append([*[word(rng) for _ in range(30)], *part, *[word(rng) for _ in range(30)]])
+
+    def scan(runs, radius):
+        monkeypatch.setattr(leakage, "RADIUS", radius)
+        known = leakage.Items(list(range(40)), items)
+        if not runs:
+            known.runs = {}
+        return set(leakage.Scanner(known).scan(docs))
+
+    every, sized, equal = scan(True, leakage.RADIUS), scan(False, leakage.RADIUS), scan(False, 0)
+    assert sized <= every and len(sized) > 0.9 * len(every) > 90
+    assert len(equal) < 0.6 * len(sized)

@@ -132,7 +132,8 @@ def test_windows_within_the_radius_are_all_found():
     (one,) = index.index.values()
     import numpy as np
 
-    probe = np.concatenate([one.prints ^ np.uint64(1 << rng.randrange(64)) ^ np.uint64(1 << rng.randrange(64)) for _ in range(3)])
+    flips = lambda: np.array([sum(1 << b for b in rng.sample(range(64), leakage.RADIUS)) for _ in one.prints], np.uint64)
+    probe = np.concatenate([one.prints ^ flips() for _ in range(3)])
     who, _, _ = one.find(probe)
     near = {i for i, p in enumerate(probe) if (np.bitwise_count(one.prints ^ p) <= leakage.RADIUS).any()}
     assert set(who.tolist()) == near == set(range(len(probe)))
