@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return texts.unionByName(records).select("item_kind", "item_id", "piece_no", "begin_pos", "end_pos")
 
 
+def p2_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of documents that end with sections, list items and elements of mark-up, too."""
+    return split_texts(table(spark, folder, "documents"), "doc_id", "text", structure=True)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -38,7 +43,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_sentences(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sections, p6_ids, p7_found, p8_found)}
 _W = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _WIN = lambda s, a, b: f"substr(text, {s} + {a}, {b})"
 

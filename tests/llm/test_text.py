@@ -38,7 +38,7 @@ def brute_pieces(t, limit, overlap):
 def test_pieces_of_texts_match_brute_force(seed):
     rng = random.Random(seed)
     t = "".join(rng.choices(["a", "é", " ", "\n", "\n\n", ". ", "。", "!", " ", "… "], [60, 5, rng.choice([0, 5, 20]), 2, rng.choice([0, 1]), rng.choice([0, 4]), 1, 1, 1, 1], k=rng.randint(0, 900)))
-    assert list(pieces.pack(len(t), pieces.text_levels(t), 60, 7)) == brute_pieces(t, 60, 7)
+    assert list(pieces.pack(pieces.text_tree(t), 60, 7)) == brute_pieces(t, 60, 7)
 
 
 def test_pieces_of_records(spark):
@@ -55,7 +55,7 @@ def test_pieces_of_odd_texts(spark):
     assert got == sorted([(4, 0, 0, 1500), (4, 1, 1400, 1501), (5, 0, 0, 1500), (5, 1, 1400, 1600)] + [(4, 0, 0, 1500), (4, 1, 1400, 1501)])
     assert pieces.split_texts(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
-        list(pieces.pack(10, [], 4, 3))
+        list(pieces.pack(pieces.Node(0, 10, []), 4, 3))
 
 
 # Tokens
@@ -125,6 +125,17 @@ def test_leaks_by_length_and_changes(spark):
     assert leakage.leaked_items(df, "doc_id", "text", held.limit(0), "item_id", "text").count() == 0
 
 
+def test_structure_trees():
+    text = "# One\nIntro words here.\n- item a is long\n- item b is long\n# Two\n<p>Para one.</p><p>Para two is here.</p>"
+    cut = lambda limit: [text[b:e] for b, e in pieces.pack(pieces.text_tree(text, True), limit, 0)]
+    assert cut(70) == ["# One\nIntro words here.\n- item a is long\n- item b is long\n", "# Two\n<p>Para one.</p><p>Para two is here.</p>"]
+    assert cut(45) == ["# One\nIntro words here.\n- item a is long\n", "- item b is long\n# Two\n<p>Para one.</p>", "<p>Para two is here.</p>"]
+    # Only oversized nodes are parsed further.
+    tree = pieces.text_tree("a b. " * 200 + "\n\n" + "x " * 40 + "\n\n" + "c d. " * 200)
+    list(pieces.pack(tree, 600, 50))
+    assert [n._children is not None for n in tree.children] == [True, False, True]
+
+
 def test_windows_within_the_radius_are_all_found():
     rng = random.Random(2)
     words = [item(rng, 60).split() for _ in range(5)]
