@@ -137,18 +137,14 @@ def straight_to_apostrophe(c: Column) -> Column:
     return F.translate(c, '"', "'")
 
 
-def word_count(c: Column, wide: bool = False) -> Column:
-    """words between white space; 0 for blank and null. wide: white space of any kind, as str.split()."""
-    if wide:
-        return F.coalesce(F.size(F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")), F.lit(0))
-    return F.when(is_blank(c), F.lit(0)).otherwise(F.size(F.split(squeeze(c), " ")))
-
-
-def sentence_count(c: Column, wide: bool = False) -> Column:
-    """non-blank parts between runs of . ! ? wide: blank is white space of any kind."""
-    if wide:
-        return F.size(F.filter(F.split(c, r"[.!?]+"), lambda p: strip_all(p) != ""))
-    return F.size(F.filter(F.split(c, r"[.!?]+"), lambda p: F.trim(p) != ""))
+def word_count(c: Column) -> Column:
+    """words between white space of any kind; 0 for blank and null."""
+    return F.coalesce(F.size(F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")), F.lit(0))
+
+
+def sentence_count(c: Column) -> Column:
+    """non-blank parts between runs of . ! ?"""
+    return F.size(F.filter(F.split(c, r"[.!?]+"), lambda p: strip_all(p) != ""))
 
 
 def mark_count(c: Column) -> Column:

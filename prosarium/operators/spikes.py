@@ -13,6 +13,10 @@ from .ranking import null_safe_join, sharded_row_number
 BLOCK = 2048  # readings of one source and field that one Python call looks at
 HALO = 40  # readings it sees beyond either border: half a level window, and more than a stuck run needs
 LEVEL_WINDOW = 31
+#: Products uu, ud, uv, dd, dv, vv of a deviation with its differences if deviations of unit size follow each other at
+#: random, and the number of readings that this weighs in a source's own ellipsoid, so that a source of few readings has a sound one.
+AT_RANDOM = (1.0, 0.0, -2.0, 0.5, 0.0, 6.0)
+PRIOR = 50
 ORDINARY = 4.5  # robust deviations within which readings shape the ellipsoid
 
 
@@ -52,7 +56,7 @@ def _products(points: np.ndarray, over: np.ndarray) -> np.ndarray:
 def _squared_radius(points: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
     """Squared distance of points from the centre of the ellipsoid with this covariance."""
     c = np.zeros((3, 3))
-    c[np.triu_indices(3)] = sums / max(n, 1)
+    c[np.triu_indices(3)] = (sums + PRIOR * sums[0] / max(n, 1) * np.array(AT_RANDOM)) / (n + PRIOR)
     c = c + np.triu(c, 1).T
     return np.einsum("ij,jk,ik->i", points, np.linalg.pinv(c, rcond=1e-9, hermitian=True), points)
 
@@ -176,8 +180,8 @@ def faulty_readings(df: DataFrame, source: str, place: list[str], order: list[Co
     told = cut_lineage(seen.applyInArrow(_inspect(bounds, names, stuck), f"voice string, field int, place {kind}, kind int, point array<double>, n bigint"))
 
     # The source's ellipsoid from the sums of all its blocks: few rows, whatever the number of readings.
-    total = F.greatest(F.sum("n"), F.lit(1))
-    shape = told.where("kind = -1").groupBy("voice", "field").agg(*[(F.sum(F.col("point")[i]) / total).alias(c) for i, c in enumerate(("uu", "ud", "uv", "dd", "dv", "vv"))])
+    total, size = F.sum("n"), F.sum(F.col("point")[0]) / F.greatest(F.sum("n"), F.lit(1))
+    shape = told.where("kind = -1").groupBy("voice", "field").agg(*[((F.sum(F.col("point")[i]) + PRIOR * at_random * size) / (total + PRIOR)).alias(c) for i, (c, at_random) in enumerate(zip(("uu", "ud", "uv", "dd", "dv", "vv"), AT_RANDOM))])
     faults = null_safe_join(told.where("kind >= 0"), shape, ["voice", "field"])
     in_sd = F.sqrt(_squared_radius_column([F.col("point")[i] for i in range(3)]))
     field = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("field") + 1)

@@ -100,11 +100,6 @@ def i11_pause_table(spark, folder):
 
 
 def i13_window_grid(spark, folder):
-    d = events_as_intervals(spark, folder).groupBy(*KEYS).agg(F.round(F.max("xmax") % 1000, 3).alias("dur"))
-    return intervals.window_grid(d, KEYS, "dur").select(*KEYS, "w_start", F.round("w_end", 4).alias("w_end"))
-
-
-def i13_segment_windows(spark, folder):
     """The grid over whole segments: from 0 to the last usable end of a chunk."""
     c = table(spark, folder, "bdd_syntagme_ssml").select(*KEYS, F.col("end_syntagme_natural").alias("e")).where("e > 0 AND e < double('infinity')")  # NaN is above infinity
     return intervals.window_grid(c.groupBy(*KEYS).agg(F.max("e").alias("dur")), KEYS, "dur").select(*KEYS, "w_start", F.round("w_end", 4).alias("w_end"))
@@ -203,12 +198,7 @@ def w4_limit_steps(spark, folder):
 
 
 def a4_levenshtein(spark, folder):
-    p = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("gold_ssml").isNotNull())
-    return p.select("pred_id", F.levenshtein(F.regexp_replace("input_text", r"[^\x00-\x7F]", ""), F.regexp_replace("gold_ssml", r"<[^>]+>|[^\x00-\x7F]", "")).alias("distance"))
-
-
-def a4_whole_texts(spark, folder):
-    """As a4_levenshtein, on the whole texts: characters of any script count, only the mark-up is dropped. No SQL, as DuckDB counts bytes."""
+    """Edit distance of whole texts: characters of any script count, only the mark-up is dropped. No SQL, as DuckDB counts bytes."""
     p = table(spark, folder, "predictions").where(F.col("input_text").isNotNull() & F.col("gold_ssml").isNotNull())
     return p.select("pred_id", F.levenshtein("input_text", F.regexp_replace("gold_ssml", "<[^>]+>", "")).alias("distance"))
 
@@ -309,8 +299,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_words_and_pauses, i2_fill_silences, i3_segment_ids, i4_legacy_chunks, i5_chunks, i6_without_false_pauses, i7_sentence_pauses, i8_pause_after, i9_speech_runs, i10_break_events,
-        i11_pause_table, i12_gap_sessions, i13_window_grid, i13_segment_windows, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
-        j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a4_whole_texts, a5_merged_words, a6_repair_overlaps,
+        i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
+        j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a5_merged_words, a6_repair_overlaps,
         a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors,
     )
 }
@@ -338,9 +328,7 @@ SQL = {
         SELECT voice, segment, idx, 1 AS sub, round(xmin, 4) AS xmin, round(e, 4) AS xmax, mark FROM g UNION ALL SELECT voice, segment, idx, 0, round(before, 4), round(xmin, 4), '' FROM g WHERE xmin > before""",
     "i11_pause_table": f"""WITH {IV}, a AS (SELECT voice, segment, idx, xmin, CASE WHEN idx % 4 = 0 THEN xmax ELSE xmin + 5 END AS e FROM iv), g AS (SELECT *, lead(xmin) OVER w - e AS gap FROM a {_W})
         SELECT voice, segment, idx, round(gap, 4) AS gap_s, NOT gap > 0.01 AS no_pause FROM g WHERE gap IS NOT NULL""",
-    "i13_window_grid": f"""WITH {IV}, d AS (SELECT voice, segment, round(max(xmax) % 1000, 3) AS dur FROM iv GROUP BY ALL)
-        SELECT voice, segment, w_start, round(least(w_start + 15.0, dur), 4) AS w_end FROM (SELECT voice, segment, dur, CAST(unnest(range(0, CAST(floor(dur) AS BIGINT), 15)) AS INTEGER) AS w_start FROM d)""",
-    "i13_segment_windows": """WITH d AS (SELECT voice, segment, max(end_syntagme_natural) AS dur FROM bdd_syntagme_ssml WHERE isfinite(end_syntagme_natural) AND end_syntagme_natural > 0 GROUP BY ALL)
+    "i13_window_grid": """WITH d AS (SELECT voice, segment, max(end_syntagme_natural) AS dur FROM bdd_syntagme_ssml WHERE isfinite(end_syntagme_natural) AND end_syntagme_natural > 0 GROUP BY ALL)
         SELECT voice, segment, w_start, round(least(w_start + 15.0, dur), 4) AS w_end FROM (SELECT voice, segment, dur, CAST(unnest(range(0, CAST(floor(dur) AS BIGINT), 15)) AS INTEGER) AS w_start FROM d)""",
     "i14_consecutive_runs": "SELECT voice, min(s) AS first_no, max(s) AS last_no, count(*) AS n FROM (SELECT voice, s, s - row_number() OVER (PARTITION BY voice ORDER BY s) AS i FROM (SELECT DISTINCT voice, CAST(seg_no AS BIGINT) AS s FROM bdd_ssml WHERE seg_no IS NOT NULL)) GROUP BY voice, i",
     "i16_close_small_gaps": f"""WITH {IV}, a AS (SELECT voice, segment, idx, floor(xmin * 1000) / 1000 AS xmin, CASE WHEN idx % 2 = 0 THEN floor(xmax * 1000) / 1000 - 0.05 ELSE floor(xmax * 1000) / 1000 - 0.5 END AS e FROM iv), g AS (SELECT *, round(xmin - coalesce(lag(e) OVER w, 0), 3) AS gap FROM a {_W}),
@@ -374,7 +362,6 @@ SQL = {
         SELECT voice, round(min(b), 4) AS s_start, round(max(e), 4) AS s_end FROM r GROUP BY voice, s""",
     "w3_exponential_average": _STEP("0.2 * n.value + 0.8 * r.s") + " SELECT voice, pos, round(s, 4) AS smooth FROM r",
     "w4_limit_steps": _STEP("CASE WHEN abs(n.value - r.s) > 8 THEN r.s + sign(n.value - r.s) * 8 ELSE n.value END") + " SELECT voice, pos, round(s, 4) AS limited FROM r",
-    "a4_levenshtein": "SELECT pred_id, CAST(levenshtein(regexp_replace(input_text, '[^\\x00-\\x7F]', '', 'g'), regexp_replace(gold_ssml, '<[^>]+>|[^\\x00-\\x7F]', '', 'g')) AS INTEGER) AS distance FROM predictions WHERE input_text IS NOT NULL AND gold_ssml IS NOT NULL",
     "i20_break_labels": r"""WITH s AS (SELECT record_id, list_filter(parsed_sequence, lambda e: e IS NOT NULL) AS s FROM corpus), e AS (SELECT record_id, i, s[i] AS e, s[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM s)),
         w AS (SELECT record_id, CAST(i - 1 AS INTEGER) AS i, lower(trim(nx.type)) AS nt, list_filter(regexp_split_to_array(trim(e.text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM e WHERE lower(trim(e.type)) = 'text')
         SELECT record_id, i, CAST(k - 1 AS INTEGER) AS k, ws[k] AS word, CASE WHEN k = len(ws) AND nt = 'break' THEN 1 ELSE 0 END AS label FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM w)""",

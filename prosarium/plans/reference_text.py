@@ -11,17 +11,15 @@ from .tables import dealt_out, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts without letters outside ASCII and Latin-1, in which SQL engines agree on case and classes."""
+    """Whole texts of all documents that have one."""
     d = dealt_out(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return d.select("doc_id", F.regexp_replace("text", r"[^\x09\x0A\x20-\x7E\x{C0}-\x{FF}]", "").alias("t")).where(F.col("t").isNotNull())
-
-
-_DOCS = r"docs AS (SELECT doc_id, regexp_replace(text, '[^\x09\x0A\x20-\x7E\x{C0}-\x{FF}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)"
+    return d.select("doc_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
 
 
 def f1_f6_normal_forms(spark, folder):
+    """No SQL here and for F8, F9, F12 and F18, as engines differ in case and in the classes of letters."""
     t = F.col("t")
-    cols = {"f1": text.fold_word(t), "f2": text.fold_word_plain(t), "f3": text.alignment_token(t), "f4": text.loose(t), "f5": text.without_punctuation(t), "f6": text.without_ascii_punctuation(t)}
+    cols = {"f1": text.fold_word(t), "f2": text.fold_word_plain(t), "f3": text.alignment_token(t), "f4": text.loose(t), "f5": text.strip_all(text.without_punctuation(t)), "f6": text.without_ascii_punctuation(t)}
     return _docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
 
 
@@ -29,52 +27,33 @@ def f7_composed(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.md5(text.composed(F.col("text"))).alias("f7"))
 
 
-def f8_f13_cleaning(spark, folder):
+def f8_f9_f12_cleaning(spark, folder):
+    """F12 drops line ends at both ends first."""
     t = F.col("t")
-    cols = {"f8": text.clean_transcript(t), "f9": text.drop_spurious_marks(t), "f10": text.without_commas(t), "f11": text.aligner_text(t), "f12": F.array_join(F.transform(text.manifest_words(t), lambda p: F.concat(p["word"], F.lit("|"), p["original"])), " "), "f13": text.straight_to_apostrophe(t)}
+    manifest = F.transform(text.manifest_words(F.btrim(t, F.lit("\n"))), lambda p: F.concat(p["word"], F.lit("|"), p["original"]))
+    cols = {"f8": text.clean_transcript(t), "f9": text.drop_spurious_marks(t), "f12": F.array_join(manifest, " ")}
     return _docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
 
 
-def f14_f15_counts(spark, folder):
+def f10_f11_f13_marks(spark, folder):
+    """F13 drops line ends at both ends first."""
     t = F.col("t")
-    return _docs(spark, folder).select("doc_id", text.word_count(t).alias("words"), text.sentence_count(t).alias("sentences"), text.mark_count(t).alias("marks"))
-
-
-def f16_f18_escapes(spark, folder):
-    t = F.col("t")
-    cols = {"f16": text.xml_escape(text.without_control(t)), "f17": text.breath_hint(t), "f18": text.correct_spelling(t)}
+    cols = {"f10": text.without_commas(t), "f11": text.aligner_text(t), "f13": text.straight_to_apostrophe(F.btrim(t, F.lit("\n")))}
     return _docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
 
 
-def _whole_docs(spark: SparkSession, folder: str) -> DataFrame:
-    d = dealt_out(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return d.select("doc_id", F.col("text").alias("t")).where(F.col("t").isNotNull())
-
-
-def f1_f6_whole_texts(spark, folder):
-    """As f1_f6_normal_forms, on the texts as they are. No SQL for these four, as engines differ in case, classes and white space."""
-    t = F.col("t")
-    cols = {"f1": text.fold_word(t), "f2": text.fold_word_plain(t), "f3": text.alignment_token(t), "f4": text.loose(t), "f5": text.strip_all(text.without_punctuation(t)), "f6": text.without_ascii_punctuation(t)}
-    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
-
-
-def f8_f13_whole_texts(spark, folder):
-    """As f8_f13_cleaning, on the texts as they are; F12 and F13 drop line ends at both ends first."""
+def f14_f15_counts(spark, folder):
     t = F.col("t")
-    line = F.btrim(t, F.lit("\n"))
-    cols = {"f8": text.clean_transcript(t), "f9": text.drop_spurious_marks(t), "f10": text.without_commas(t), "f11": text.aligner_text(t), "f12": F.array_join(F.transform(text.manifest_words(line), lambda p: F.concat(p["word"], F.lit("|"), p["original"])), " "), "f13": text.straight_to_apostrophe(line)}
-    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
+    return _docs(spark, folder).select("doc_id", text.word_count(t).alias("words"), text.sentence_count(t).alias("sentences"), text.mark_count(t).alias("marks"))
 
 
-def f14_f15_whole_texts(spark, folder):
+def f16_f17_escapes(spark, folder):
     t = F.col("t")
-    return _whole_docs(spark, folder).select("doc_id", text.word_count(t, wide=True).alias("words"), text.sentence_count(t, wide=True).alias("sentences"), text.mark_count(t).alias("marks"))
+    return _docs(spark, folder).select("doc_id", F.md5(text.xml_escape(text.without_control(t))).alias("f16"), F.md5(text.breath_hint(t)).alias("f17"))
 
 
-def f16_f18_whole_texts(spark, folder):
-    t = F.col("t")
-    cols = {"f16": text.xml_escape(text.without_control(t)), "f17": text.breath_hint(t), "f18": text.correct_spelling(t)}
-    return _whole_docs(spark, folder).select("doc_id", *[F.md5(c).alias(n) for n, c in cols.items()])
+def f18_spelling(spark, folder):
+    return _docs(spark, folder).select("doc_id", F.md5(text.correct_spelling(F.col("t"))).alias("f18"))
 
 
 def f19_f21_names(spark, folder):
@@ -265,7 +244,7 @@ def p10_p11_filters(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        f1_f6_normal_forms, f1_f6_whole_texts, f7_composed, f8_f13_cleaning, f8_f13_whole_texts, f14_f15_counts, f14_f15_whole_texts, f16_f18_escapes, f16_f18_whole_texts, f19_f21_names, f22_f23_prompts, x1_parsed, x2_x4_x12_reading, x5_x7_documents, x6_chunk_documents, x8_damping,
+        f1_f6_normal_forms, f7_composed, f8_f9_f12_cleaning, f10_f11_f13_marks, f14_f15_counts, f16_f17_escapes, f18_spelling, f19_f21_names, f22_f23_prompts, x1_parsed, x2_x4_x12_reading, x5_x7_documents, x6_chunk_documents, x8_damping,
         x8_x9_legacy_documents, x10_breaks_of_150, x11_x13_service, x14_respeed, x15_parse_answers, x16_x17_from_params, x18_element_values, x19_x23_layouts, x24_x25_layouts, x26_x27_chunks, x28_paragraphs,
         x28_segments, x29_x30_checks, i22_segment_samples, i23_params, i24_prediction_sequence, g24_merged_maps,
     )
@@ -295,21 +274,19 @@ _LINED = lambda spoken, brk: f"""list_transform(range(1, len(s) + 1), lambda i:
     || CASE WHEN s[i].type = 'break' THEN {brk} WHEN s[i].type = 'text' THEN {spoken} ELSE s[i].text END ELSE '' END)"""
 _WHOLE = lambda lines: f"md5(CASE WHEN {_J(lines)} = '' THEN '' ELSE ' ' || substr({_J(lines)}, 2) END)"
 
+_DOCS = "docs AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)"
+#: White space of any kind, as str.split() has it.
+_WIDE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 SQL = {
-    "f1_f6_normal_forms": f"""WITH {_DOCS} SELECT doc_id, md5(translate({_G("lower(t)", _PUNCT)}, '{text.ACCENTS[0]}', '{text.ACCENTS[1]}')) AS f1,
-        md5(lower(translate(translate(t, '{text.ACCENTS_WIDE[0] + text.ACCENTS_WIDE[0].upper()}', '{text.ACCENTS_WIDE[1] + text.ACCENTS_WIDE[1].upper()}'), ' .!?;:-', ''))) AS f2,
-        md5(CASE WHEN regexp_matches(t, '[ß?.,;]') THEN lower(translate(t, 'ß?.,;', '')) ELSE t END) AS f3, md5({_SQ(_G("lower(t)", _PUNCT))}) AS f4, md5(trim({_G("lower(t)", _PUNCT)})) AS f5,
-        md5({_SQ("lower(translate(t, '" + text.ASCII_PUNCTUATION.replace("'", "''") + "', ''))")}) AS f6 FROM docs""",
     "f7_composed": f"SELECT doc_id, md5({_SQ('lower(nfc_normalize(text))')}) AS f7 FROM documents",
-    "f8_f13_cleaning": f"""WITH {_DOCS} SELECT doc_id, md5(translate({_AFTER(_AFTER(_SQ("t"), _FW, r"[ \t\n\x0B\f\r]*[,.]+"), _FW, r"[ \t\n\x0B\f\r]*\[\*\][ \t\n\x0B\f\r]*")}, ';', '')) AS f8,
-        md5({_AFTER("t", _NP, r"[ \t\n\x0B\f\r]*(?:\[\*\]|,)+")}) AS f9, md5(translate(t, ',;', '')) AS f10, md5({_SQ(_G("t", "[.,!?;:" + chr(34) + r"\\()\-_“”«»]", " "))}) AS f11,
-        md5(array_to_string(list_transform(list_filter(string_split(translate(translate(translate(trim(t), '"', ''''), '.,;:!?()[]{{}}', ''), '-_', '  '), ' '), lambda w: w <> ''), lambda w: translate(lower(w), '{text.ACCENTS_WIDE[0]}', '{text.ACCENTS_WIDE[1]}') || '|' || w), ' ')) AS f12,
-        md5(translate(t, '"', '''')) AS f13 FROM docs""",
-    "f14_f15_counts": f"""WITH {_DOCS} SELECT doc_id, CAST(CASE WHEN trim(t) = '' THEN 0 ELSE len(string_split({_SQ("t")}, ' ')) END AS INTEGER) AS words, CAST(len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda p: trim(p) <> '')) AS INTEGER) AS sentences,
+    "f10_f11_f13_marks": f"""WITH {_DOCS} SELECT doc_id, md5(translate(t, ',;', '')) AS f10,
+        md5(trim({_G(_G("t", "[.,!?;:" + chr(34) + r"\\()\-_“”«»]", " "), f"{_WIDE}+", " ")})) AS f11, md5(translate(trim(t, chr(10)), '"', '''')) AS f13 FROM docs""",
+    "f14_f15_counts": f"""WITH {_DOCS} SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '{_WIDE}+'), lambda w: w <> '')) AS INTEGER) AS words,
+        CAST(len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda p: regexp_replace(p, '{_WIDE}+', '', 'g') <> '')) AS INTEGER) AS sentences,
         CAST(greatest(len(regexp_extract_all(t, '[.!?]')), 1) AS INTEGER) AS marks FROM docs""",
-    "f16_f18_escapes": rf"""WITH {_DOCS} SELECT doc_id, md5({_ESC(_G("t", r"[\x00-\x1F\x7F]"))}) AS f16,
-        md5(CASE WHEN t LIKE '%,' OR t LIKE '%ß' THEN left(t, -1) || ', h' WHEN t LIKE '%!' THEN left(t, -1) || '! h' WHEN t LIKE '%?' THEN left(t, -1) || '? h' ELSE t END) AS f17,
-        md5({_G(_G(_G(_G("t", r"(?i)\bpredestinait\b", "prédestinait"), r"(?i)\bappatride\b", "apatride"), r"(?i)\bmagellane\b", "Magellan"), r"(?i)\bqu''est-ce\b", "Qu''est-ce")}) AS f18 FROM docs""",
+    "f16_f17_escapes": rf"""WITH {_DOCS} SELECT doc_id, md5({_ESC(_G("t", r"[\x00-\x1F\x7F]"))}) AS f16,
+        md5(CASE WHEN t LIKE '%,' OR t LIKE '%ß' THEN left(t, -1) || ', h' WHEN t LIKE '%!' THEN left(t, -1) || '! h' WHEN t LIKE '%?' THEN left(t, -1) || '? h' ELSE t END) AS f17 FROM docs""",
     "f19_f21_names": r"""SELECT pred_id, array_to_string(list_concat([upper(string_split(model, '-')[1][1:1]) || lower(string_split(model, '-')[1][2:])], list_transform(string_split(model, '-')[2:], lambda x: upper(x))), ' ') AS label,
         CASE WHEN regexp_matches(voice, '^.+_EP[0-9]+$') THEN regexp_extract(voice, '^(.+)_EP[0-9]+$', 1) ELSE split_part(voice, '_', 1) END AS speaker, regexp_extract(voice, '_(EP[0-9]+)$', 1) AS episode FROM predictions""",
     "f22_f23_prompts": f"""SELECT pred_id, md5('Add the breaks.' || chr(10) || chr(10) || '### Input:' || chr(10) || input_text || chr(10) || chr(10) || '### Response:' || chr(10)) AS prompt,
