@@ -28,10 +28,10 @@ def mend_intervals(df: DataFrame, begin: str, end: str, duration: str, usable_be
 def periods_and_gaps(df: DataFrame, entity: list[str], begin: str = "b_ms", end: str = "e_ms", tolerance: int = 10, shard: int = SHARD_MS) -> DataFrame:
     """entity columns, kind ('period' or 'gap'), begin_ms, end_ms.
 
-    Starts and ends are counted and ranked independently of each other. Where the rank of the
-    starts has just been reached by that of the ends, the next-ranked start lies beyond the current
-    end; if it does so by more than `tolerance`, a gap is there. The first start, the last end and
-    the two sides of each gap pair up to periods.
+    Starts and ends are ranked independently of each other: the rank of a place among the starts (ends)
+    is the number of starts (ends) up to it. A gap follows the end of rank k where the start of rank k + 1
+    lies beyond it, by more than `tolerance`: where both ranks of a place are k, the next start is that of rank k + 1. The
+    first start, the last end and the two sides of each gap pair up to periods.
 
     All starts and ends of an entity at one millisecond are counted into one row before anything
     moves, and ranks run within time shards of `shard` ms, so a task never holds more than `shard`
@@ -49,15 +49,15 @@ def periods_and_gaps(df: DataFrame, entity: list[str], begin: str = "b_ms", end:
 
     by = [*entity, "shard"]
     along = Window.partitionBy(*entity).orderBy("shard")
-    totals = marks.groupBy(*by).agg(F.sum(F.col("starts") - F.col("ends")).alias("net"), F.min("at").alias("first"), F.max("at").alias("last"))
-    totals = totals.select(*by, (F.sum("net").over(along) - F.col("net")).alias("before"), F.lead("first").over(along).alias("next_first"), F.lag("last").over(along).alias("prev_last"))
+    totals = marks.groupBy(*by).agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"), F.min("at").alias("first"), F.max("at").alias("last"))
+    totals = totals.select(*by, *[(F.sum(c).over(along) - F.col(c)).alias(f"{c}_before") for c in ("starts", "ends")], F.lead("first").over(along).alias("next_first"), F.lag("last").over(along).alias("prev_last"))
 
     within = Window.partitionBy(*by).orderBy("at")
     running = within.rowsBetween(Window.unboundedPreceding, 0)
     rows = null_safe_join(marks, totals, by)
-    rows = rows.withColumns({"open": F.col("before") + F.sum(F.col("starts") - F.col("ends")).over(running), "next": F.coalesce(F.lead("at").over(within), F.col("next_first")), "prev": F.lag("at").over(within)})
-    rows = rows.withColumn("gap_after", (F.col("open") == 0) & F.coalesce(F.col("next") - F.col("at") > tolerance, F.lit(False)))
-    fresh = (F.col("before") == 0) & F.coalesce(F.col("at") - F.col("prev_last") > tolerance, F.lit(True))
+    rows = rows.withColumns({"start_rank": F.col("starts_before") + F.sum("starts").over(running), "end_rank": F.col("ends_before") + F.sum("ends").over(running), "next": F.coalesce(F.lead("at").over(within), F.col("next_first")), "prev": F.lag("at").over(within)})
+    rows = rows.withColumn("gap_after", (F.col("start_rank") == F.col("end_rank")) & F.coalesce(F.col("next") - F.col("at") > tolerance, F.lit(False)))
+    fresh = (F.col("starts_before") == F.col("ends_before")) & F.coalesce(F.col("at") - F.col("prev_last") > tolerance, F.lit(True))
     rows = rows.withColumns({"opens": F.when(F.col("prev").isNull(), fresh).otherwise(F.lag("gap_after").over(within)), "closes": F.col("gap_after") | F.col("next").isNull()})
     rows = rows.withColumn("since", F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(running))
     borders = cut_lineage(rows.where(F.col("opens") | F.col("closes")).select(*by, "at", "next", "gap_after", "closes", "since", "opens"))
