@@ -232,9 +232,18 @@ def is_empty_prosody(c: Column) -> Column:
     return F.coalesce(c.rlike(r'^<prosody pitch="___" rate="___" volume="___">.+</prosody>$'), F.lit(False))
 
 
+#: What is broken into lines of its own, and the attributes that are marked with the class of their span (fixed values).
+SHOWN_LINES = ((r"(<[^/][^>]*>)([^<]+)", "$1\n$2\n"), (r"(</[^>]+>)", "\n$1\n"))
+SHOWN_VALUES = {"pitch": "pitch", "rate": "rate", "volume": "volume", "time": "break"}
+
+
 def highlighted(c: Column) -> Column:
-    """Escaped SSML with spans around prosody and break tags."""
-    return F.regexp_replace(xml_escape(c), r"(&lt;/?(prosody|break)\b.*?&gt;)", '<span class="$2">$1</span>')
+    """SSML with its tags on lines of their own and spans around the values of its attributes."""
+    for pattern, lines in SHOWN_LINES:
+        c = F.regexp_replace(c, pattern, lines)
+    for name, shown in SHOWN_VALUES.items():
+        c = F.regexp_replace(c, f'({name}="[^"]*")', f'<span class="{shown}">$1</span>')
+    return c
 
 
 def element_values(e: Column) -> Column:

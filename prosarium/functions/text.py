@@ -176,9 +176,17 @@ def correct_spelling(c: Column, corrections: dict[str, str] | None = None) -> Co
 
 
 def model_label(c: Column) -> Column:
-    """'name-8b' as 'Name 8B'."""
-    parts = F.split(c, "-")
-    return F.concat_ws(" ", F.initcap(F.element_at(parts, 1)), F.upper(F.concat_ws(" ", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))))
+    """a model's name as shown in tables: a size after ':' in brackets and capitals for the families that have one
+    (qwen, deepseek), each part between '-' with a capital for deepseek, a blank before a version for granite; else only
+    the first letter is made a capital and the rest small."""
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))
+    base, size = F.substring_index(c, ":", 1), F.upper(F.substring_index(c, ":", -1))
+    sized = lambda shown: F.when(c.contains(":"), F.concat(shown, F.lit(" ("), size, F.lit(")"))).otherwise(shown)
+    family = F.lower(c)
+    first = F.concat(F.upper(F.substring(base, 1, 1)), F.substring(base, F.lit(2), F.length(base)))
+    parts = F.array_join(F.transform(F.split(base, "-"), capital), "-")
+    version = F.concat(capital(F.substring_index(c, ".", 1)), F.lit(" ."), F.substring_index(c, ".", -1))
+    return F.when(family.contains("qwen"), sized(first)).when(family.contains("deepseek"), sized(parts)).when(family.contains("granite") & c.contains("."), version).otherwise(capital(c))
 
 
 def speaker_of(voice: Column) -> Column:

@@ -148,7 +148,7 @@ def align_tables(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     both = _spread(one(left).withColumnRenamed("__a", "__l").join(one(right), keys), keys)
     made = both.withColumn("__p", _pairs(F.transform("__l", lambda s: s["t"]), F.transform("__a", lambda s: s["t"])))
     at = lambda a, i: F.when(i >= 0, F.get(F.col(a), i)["o"])
-    rows = made.select(*keys, F.posexplode("__p").alias("pair_no", "__x"), "__l", "__a")
+    rows = made.select(*keys, F.posexplode_outer("__p").alias("pair_no", "__x"), "__l", "__a").where(F.col("__x").isNotNull())
     return rows.select(*keys, "pair_no", at("__l", F.col("__x.i")).alias("left_order"), at("__a", F.col("__x.j")).alias("right_order"))
 
 
@@ -172,7 +172,7 @@ def match_chunks(left: DataFrame, right: DataFrame, keys: list[str], order: str,
     """A2 per group: keys, left_no, right_no (from 0), similarity."""
     one = lambda df: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, loose(F.col(text)).alias("t")))), lambda s: s["t"]).alias("__a"))
     both = _spread(one(left).withColumnRenamed("__a", "__l").join(one(right), keys), keys)
-    return both.select(*keys, F.explode(_chunk_pairs("__l", "__a")).alias("p")).select(*keys, F.col("p.i").alias("left_no"), F.col("p.j").alias("right_no"), F.col("p.sim").alias("similarity"))
+    return both.select(*keys, F.explode_outer(_chunk_pairs("__l", "__a")).alias("p")).where(F.col("p").isNotNull()).select(*keys, F.col("p.i").alias("left_no"), F.col("p.j").alias("right_no"), F.col("p.sim").alias("similarity"))
 
 
 def spans_of_matches(matches: DataFrame, keys: list[str], right_counts: DataFrame) -> DataFrame:
@@ -182,33 +182,73 @@ def spans_of_matches(matches: DataFrame, keys: list[str], right_counts: DataFram
     return matches.withColumn("__next", nxt).join(right_counts, keys).select(*keys, "left_no", "right_no", (F.coalesce("__next", "n_right") - 1).alias("last_right"))
 
 
-def merge_words(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
-    """A5: walks two word lists and joins neighbours where that brings the words closer: (i0, i1, j0, j1) ranges
-    that belong together. It advances past the end of either list; what is left over stands alone."""
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        here = _levenshtein(a[i], b[j])
-        left = _levenshtein(a[i] + a[i + 1], b[j]) if i + 1 < len(a) else here + 1
-        right = _levenshtein(a[i], b[j] + b[j + 1]) if j + 1 < len(b) else here + 1
-        di, dj = (2, 1) if left < here and left <= right else (1, 2) if right < here else (1, 1)
-        out.append((i, i + di, j, j + dj))
-        i, j = i + di, j + dj
-    return out + [(k, k + 1, j, j) for k in range(i, len(a))] + [(i, i, k, k + 1) for k in range(j, len(b))]
+class _Tier:
+    """A tier that is walked word by word; a pending word may take in the words after it."""
+
+    def __init__(self, words: list[dict]):
+        self.words, self.at, self.out = words, 0, []
+        self.since = words[0]["xmin"] if words else 0.0
+        self.pending = words[0]["mark"] if words else ""
+
+    @property
+    def following(self) -> str | None:
+        return self.words[self.at + 1]["mark"] if self.at + 1 < len(self.words) else None
+
+    def take(self, mark: str) -> None:
+        """The pending word ends with the current interval, under this mark."""
+        until = self.words[self.at]["xmax"]
+        self.out.append((mark, self.since, until))
+        self.since = until
+        self.at += 1
+        self.pending = self.words[self.at]["mark"] if self.at < len(self.words) else ""
+
+    def join(self) -> None:
+        self.at += 1
+        self.pending += " " + self.words[self.at]["mark"]
+
+
+def merge_tiers(a: list[dict], b: list[dict]) -> tuple[list[tuple], list[tuple]]:
+    """A5: two tiers of (mark, xmin, xmax) brought together, each as (mark, xmin, xmax) that follow without holes.
+
+    Blank words stand by themselves. A pending word is joined with the next one of its tier, again and again, as long as that
+    brings it closer to the other tier's pending word; the first tier goes first. Then both get the longer of the two
+    words. A last word has nothing to be joined with. What one tier has left over stands alone."""
+    x, y = _Tier(a), _Tier(b)
+    while x.at < len(a) and y.at < len(b):
+        if not x.pending.strip():
+            x.take(" ")
+        elif not y.pending.strip():
+            y.take(" ")
+        else:
+            here = _levenshtein(x.pending, y.pending)
+            left = here if x.following is None else _levenshtein(x.pending + x.following, y.pending)
+            right = here if y.following is None else _levenshtein(x.pending, y.pending + y.following)
+            if here <= min(left, right):
+                mark = max(x.pending, y.pending, key=len)
+                x.take(mark)
+                y.take(mark)
+            else:
+                (x if left <= right else y).join()
+    for t in (x, y):
+        while t.at < len(t.words):
+            t.take(t.pending)
+    return x.out, y.out
 
 
 def _levenshtein(a: str, b: str) -> int:
     return word_edits(list(a), list(b))
 
 
-@vectorised("array<struct<i0:int,i1:int,j0:int,j1:int>>")
+@vectorised("array<struct<tier:int,no:int,mark:string,xmin:double,xmax:double>>")
 def _merged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([[dict(zip(("i0", "i1", "j0", "j1"), r)) for r in merge_words(list(x), list(y))] for x, y in zip(a, b)])
+        yield pd.Series([[{"tier": t, "no": i, "mark": m, "xmin": lo, "xmax": hi} for t, rows in enumerate(merge_tiers(list(x), list(y))) for i, (m, lo, hi) in enumerate(rows)] for x, y in zip(a, b)])
 
 
-def merged_words(a: Column, b: Column) -> Column:
-    """A5 on arrays of words."""
-    return _merged(a, b)
+def merged_tiers(df: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
+    """A5 on arrays of struct(mark, xmin, xmax): keys, tier (0 or 1), no, mark, xmin, xmax."""
+    rows = df.select(*keys, F.explode_outer(_merged(a, b)).alias("__r"))
+    return rows.where(F.col("__r").isNotNull()).select(*keys, "__r.*")
 
 
 def best_words(synth: list[str], natural: list[str]) -> list[int]:
@@ -238,7 +278,7 @@ def _best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 def best_word(df: DataFrame, keys: list[str], synth: str, natural: str) -> DataFrame:
     """J14 on two arrays of words per row: keys, synth_no, natural_no. Distinct words are compared inside the row, no pairs are emitted."""
     rows = df.where(F.col(synth).isNotNull() & F.col(natural).isNotNull()).select(*keys, _best(synth, natural).alias("__b"))
-    return rows.select(*keys, F.posexplode("__b").alias("synth_no", "natural_no")).where(F.col("natural_no") >= 0)
+    return rows.select(*keys, F.posexplode_outer("__b").alias("synth_no", "natural_no")).where(F.col("natural_no") >= 0)
 
 
 def greedy_text_pairs(gold: list[str], pred: list[str]) -> list[tuple[int, int, float]]:
@@ -270,7 +310,7 @@ def greedy_match(gold: DataFrame, pred: DataFrame, keys: list[str], order: str,
     """J15 per group: keys, gold_no, pred_no, score."""
     one = lambda df: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda s: s["t"]).alias("__a"))
     both = _spread(one(gold).withColumnRenamed("__a", "__g").join(one(pred), keys), keys)
-    return both.select(*keys, F.explode(_greedy("__g", "__a")).alias("r")).select(*keys, F.col("r.g").alias("gold_no"), F.col("r.p").alias("pred_no"), F.col("r.score").alias("score"))
+    return both.select(*keys, F.explode_outer(_greedy("__g", "__a")).alias("r")).where(F.col("r").isNotNull()).select(*keys, F.col("r.g").alias("gold_no"), F.col("r.p").alias("pred_no"), F.col("r.score").alias("score"))
 
 
 def break_hits(ref: list[float], sys: list[float], tol: float = 0.3) -> int:

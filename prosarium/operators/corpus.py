@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .ranking import null_safe_join
 from ..functions.vectorised import vectorised
 from .ranking import sharded_row_number, windowed_in_blocks
 
@@ -87,7 +88,7 @@ def chunk_rows(df: DataFrame, key: str, seq: str, limit: int = 100, backtrack: b
     words = F.transform(F.col(seq), lambda e: F.when(is_text(e), word_count(e["text"])).otherwise(0))
     ends = F.transform(F.col(seq), lambda e: is_text(e) & F.coalesce(F.endswith(F.rtrim(e["text"]), F.lit(".")), F.lit(False)))
     cut = df.select(key, F.col(seq).alias("__s"), _bounds(words, ends, F.lit(limit), F.lit(backtrack)).alias("__c"))
-    rows = cut.select(key, "__s", F.size("__c").alias("__n"), F.posexplode("__c").alias("__i", "c"))
+    rows = cut.select(key, "__s", F.size("__c").alias("__n"), F.posexplode_outer("__c").alias("__i", "c")).where(F.col("c").isNotNull())
     name = F.when(F.col("__n") == 1, F.col(key).cast("string")).otherwise(F.concat(F.col(key).cast("string"), F.lit("_part"), (F.col("__i") + 1).cast("string")))
     return rows.select(name.alias("id"), (F.col("__i") + 1).alias("chunk_no"), F.slice("__s", F.col("c.begin") + 1, F.col("c.size")).alias("chunk"))
 
@@ -168,6 +169,20 @@ def hash_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(k)
 
 
+def example_pool(samples: DataFrame, evaluation: DataFrame, key: str, content: str, most: int, seed: int = 42) -> DataFrame:
+    """Examples for prompts: the samples whose content is none of the evaluation samples'. If these are fewer than `most`,
+    evaluation samples in the order of a hash of their key top them up. key, topped_up.
+
+    A null content is a content like others."""
+    rest = null_safe_join(samples, evaluation.select(content).distinct(), [content], "left_anti")
+    short = most - rest.limit(most).count()
+    pool = rest.select(key, F.lit(False).alias("topped_up"))
+    if short <= 0:
+        return pool
+    more = evaluation.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(short)
+    return pool.unionByName(more.select(key, F.lit(True).alias("topped_up")))
+
+
 def checked_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """As hash_sample, an error if there are fewer rows."""
     n = df.count()

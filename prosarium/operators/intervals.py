@@ -112,6 +112,24 @@ def close_small_gaps(df: DataFrame, keys: list[str], begin: str, end: str, order
     return df.withColumn("gap_before", gap).withColumn("__s", shift).withColumns({"shifted_begin": F.round(F.col(begin) - F.col("__s"), 3), "shifted_end": F.round(F.col(end) - F.col("__s"), 3)}).drop("__s")
 
 
+def ctm_intervals(df: DataFrame, keys: list[str], begin: str, end: str, mark: str, order: str, least: float = 0.11, tail: float = 0.5, close: bool = True) -> DataFrame:
+    """I16: recogniser words as an interval tier without holes: keys, order, sub (0 silence, 1 word, 2 tail), xmin, xmax, mark.
+
+    Gaps up to `least` are closed, greater ones become a blank interval, and a blank tail of `tail` seconds follows the last
+    word. The plain variant (close=False) closes nothing, fills every gap and has no tail. Groups without rows have none."""
+    moved = close_small_gaps(df, keys, begin, end, order, least) if close else df.withColumns({"shifted_begin": F.col(begin), "shifted_end": F.col(end), "gap_before": F.col(begin) - F.coalesce(F.lag(end).over(_within(keys, order)), F.lit(0.0))})
+    b, e, gap = F.col("shifted_begin"), F.col("shifted_end"), F.col("gap_before")
+    row = lambda sub, lo, hi, text: F.struct(F.lit(sub).alias("sub"), lo.alias("xmin"), hi.alias("xmax"), text.alias("mark"))
+    word, hole = row(1, b, e, F.col(mark)), row(0, F.round(b - gap, 3), b, F.lit(""))
+    after = row(2, e, F.round(e + tail, 3), F.lit(""))
+    moved = moved.withColumn("__last", F.lead(order).over(_within(keys, order)).isNull() if close else F.lit(False))
+    parts = F.concat(F.when(gap > (least if close else 0.0), F.array(hole)).otherwise(F.array().cast(_TIER)), F.array(word), F.when(F.col("__last"), F.array(after)).otherwise(F.array().cast(_TIER)))
+    return moved.withColumn("__r", F.explode(parts)).select(*keys, order, "__r.*")
+
+
+_TIER = "array<struct<sub:int,xmin:double,xmax:double,mark:string>>"
+
+
 def pause_class(seconds: Column, thresholds: list[float]) -> Column:
     """I18: '::0' below a fifth of the first threshold, else '::k' with k one more than the number of thresholds reached."""
     c = F.when(seconds < thresholds[0] / 5, "::0")

@@ -110,11 +110,16 @@ def i14_consecutive_runs(spark, folder):
     return intervals.consecutive_runs(d, ["voice"], "seg_no")
 
 
-def i16_close_small_gaps(spark, folder):
+def i16_ctm_intervals(spark, folder):
     cut = lambda c: F.floor(F.col(c) * 1000) / 1000
     iv = events_as_intervals(spark, folder).withColumns({"xmin": cut("xmin"), "xmax": F.when(F.col("idx") % 2 == 0, cut("xmax") - 0.05).otherwise(cut("xmax") - 0.5)})
-    r = lambda c: F.round(c, 3).alias(c)
-    return intervals.close_small_gaps(iv, KEYS, "xmin", "xmax", "idx").select(*KEYS, "idx", r("shifted_begin"), r("shifted_end"))
+    t = intervals.ctm_intervals(iv, KEYS, "xmin", "xmax", "mark", "idx")
+    return t.select(*KEYS, "idx", "sub", F.round("xmin", 3).alias("xmin"), F.round("xmax", 3).alias("xmax"), "mark")
+
+
+def i16_plain_intervals(spark, folder):
+    t = intervals.ctm_intervals(events_as_intervals(spark, folder).withColumn("xmax", F.col("xmax") - 0.05), KEYS, "xmin", "xmax", "mark", "idx", close=False)
+    return t.select(*KEYS, "idx", "sub", F.round("xmin", 3).alias("xmin"), F.round("xmax", 3).alias("xmax"), "mark")
 
 
 def i17_clamp_starts(spark, folder):
@@ -240,10 +245,12 @@ def a2_a3_chunk_matches(spark, folder):
 
 
 def a5_merged_words(spark, folder):
+    """Two tiers of each segment's words, one with long words cut in two and a blank between, brought together. No SQL: sequential."""
     p = table(spark, folder, "bdd_ssml").where(spoken(F.col("syntagme")))
     words = F.split("syntagme", " ")
-    split = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 8, F.array(F.substring(w, 1, 4), F.substring(w, F.lit(5), F.length(w)))).otherwise(F.array(w))))
-    return p.select("row_id", F.size(F.filter(align.merged_words(split, words), lambda r: r["i1"] - r["i0"] == 2)).alias("joined"))
+    split = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 8, F.array(F.substring(w, 1, 4), F.lit(" "), F.substring(w, F.lit(5), F.length(w)))).otherwise(F.array(w))))
+    tier = lambda a: F.transform(a, lambda w, i: F.struct(w.alias("mark"), (i * 0.5).cast("double").alias("xmin"), (i * 0.5 + 0.5).cast("double").alias("xmax")))
+    return align.merged_tiers(p, ["row_id"], tier(split), tier(words))
 
 
 def a7_a8_text_scores(spark, folder):
@@ -299,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_words_and_pauses, i2_fill_silences, i3_segment_ids, i4_legacy_chunks, i5_chunks, i6_without_false_pauses, i7_sentence_pauses, i8_pause_after, i9_speech_runs, i10_break_events,
-        i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_close_small_gaps, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
+        i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_ctm_intervals, i16_plain_intervals, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
         j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a5_merged_words, a6_repair_overlaps,
         a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors,
     )
@@ -331,9 +338,13 @@ SQL = {
     "i13_window_grid": """WITH d AS (SELECT voice, segment, max(end_syntagme_natural) AS dur FROM bdd_syntagme_ssml WHERE isfinite(end_syntagme_natural) AND end_syntagme_natural > 0 GROUP BY ALL)
         SELECT voice, segment, w_start, round(least(w_start + 15.0, dur), 4) AS w_end FROM (SELECT voice, segment, dur, CAST(unnest(range(0, CAST(floor(dur) AS BIGINT), 15)) AS INTEGER) AS w_start FROM d)""",
     "i14_consecutive_runs": "SELECT voice, min(s) AS first_no, max(s) AS last_no, count(*) AS n FROM (SELECT voice, s, s - row_number() OVER (PARTITION BY voice ORDER BY s) AS i FROM (SELECT DISTINCT voice, CAST(seg_no AS BIGINT) AS s FROM bdd_ssml WHERE seg_no IS NOT NULL)) GROUP BY voice, i",
-    "i16_close_small_gaps": f"""WITH {IV}, a AS (SELECT voice, segment, idx, floor(xmin * 1000) / 1000 AS xmin, CASE WHEN idx % 2 = 0 THEN floor(xmax * 1000) / 1000 - 0.05 ELSE floor(xmax * 1000) / 1000 - 0.5 END AS e FROM iv), g AS (SELECT *, round(xmin - coalesce(lag(e) OVER w, 0), 3) AS gap FROM a {_W}),
+    "i16_ctm_intervals": f"""WITH {IV}, a AS (SELECT voice, segment, idx, mark, floor(xmin * 1000) / 1000 AS xmin, CASE WHEN idx % 2 = 0 THEN floor(xmax * 1000) / 1000 - 0.05 ELSE floor(xmax * 1000) / 1000 - 0.5 END AS e FROM iv), g AS (SELECT *, round(xmin - coalesce(lag(e) OVER w, 0), 3) AS gap, lead(idx) OVER w IS NULL AS last FROM a {_W}),
         s AS (SELECT *, sum(CASE WHEN gap <= 0.11 THEN gap ELSE 0 END) OVER (PARTITION BY voice, segment ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM g)
-        SELECT voice, segment, idx, round(xmin - s, 3) AS shifted_begin, round(e - s, 3) AS shifted_end FROM s""",
+        SELECT voice, segment, idx, 1 AS sub, round(xmin - s, 3) AS xmin, round(e - s, 3) AS xmax, mark FROM s
+        UNION ALL SELECT voice, segment, idx, 0, round(xmin - s - gap, 3), round(xmin - s, 3), '' FROM s WHERE gap > 0.11
+        UNION ALL SELECT voice, segment, idx, 2, round(e - s, 3), round(e - s + 0.5, 3), '' FROM s WHERE last""",
+    "i16_plain_intervals": f"""WITH {IV}, a AS (SELECT voice, segment, idx, mark, xmin, xmax - 0.05 AS e FROM iv), g AS (SELECT *, coalesce(lag(e) OVER w, 0) AS before FROM a {_W})
+        SELECT voice, segment, idx, 1 AS sub, round(xmin, 3) AS xmin, round(e, 3) AS xmax, mark FROM g UNION ALL SELECT voice, segment, idx, 0, round(before, 3), round(xmin, 3), '' FROM g WHERE xmin - before > 0""",
     "i17_clamp_starts": f"""WITH {IV}, a AS (SELECT voice, segment, idx, xmin, CASE idx % 5 WHEN 0 THEN NULL WHEN 1 THEN xmin ELSE xmax + 0.25 END AS e FROM iv), b AS (SELECT * FROM a WHERE e > xmin)
         SELECT voice, segment, idx, round(greatest(xmin, coalesce(lag(e) OVER w, xmin)), 4) AS xmin, round(e, 4) AS xmax FROM b {_W}""",
     "i18_pause_classes": f"""SELECT row_id, CASE WHEN d < 0.2 / 5 THEN '::0' WHEN d < 0.2 THEN '::1' WHEN d < 0.5 THEN '::2' WHEN d < 1.0 THEN '::3' ELSE '::4' END AS pause_class

@@ -263,11 +263,9 @@ def j5_placeholders(spark, folder):
 
 
 def j7_top_up(spark, folder):
-    """Samples that are no evaluation samples, by the hash of the whole record."""
-    c = table(spark, folder, "corpus").select("record_id", F.sha2(F.to_json(F.struct("x", "parsed_sequence")), 256).alias("h"))
-    ev = c.where("record_id % 4 = 0").select("h").distinct()
-    rest = c.join(ev, "h", "left_anti")
-    return rest.agg(F.count_distinct("h").alias("kept")).withColumn("overlap", F.lit(0))
+    """Examples for prompts of up to 40, where nine records in ten are for evaluation."""
+    c = table(spark, folder, "corpus").select("record_id", F.md5(F.coalesce("x", F.lit(chr(1)))).alias("content"))
+    return corpus.example_pool(c, c.where("record_id % 10 <> 0"), "record_id", "content", 40)
 
 
 def j12_j13_lookups(spark, folder):
@@ -463,7 +461,9 @@ SQL = {
     "j5_placeholders": """WITH a AS (SELECT voice, segment, max(syntagme) AS a FROM bdd_ssml WHERE seg_no % 3 <> 0 GROUP BY ALL), b AS (SELECT voice, segment, max(syn_no) AS b FROM bdd_syntagme_ssml WHERE syn_no % 2 = 0 GROUP BY ALL)
         SELECT voice, segment, md5(coalesce(a, '...')) AS mark, coalesce(b, 0) AS until FROM a FULL JOIN b USING (voice, segment)""",
     "j6_missing_words": f"SELECT DISTINCT word FROM (SELECT {_WORDS('text')} AS word FROM heldout_items) WHERE word NOT IN (SELECT {_WORDS('syntagme')} FROM bdd_ssml)",
-    "j7_top_up": """WITH c AS (SELECT record_id, md5(coalesce(x, chr(1)) || '|' || coalesce(CAST(parsed_sequence AS VARCHAR), chr(1))) AS h FROM corpus) SELECT count(DISTINCT h) AS kept, 0 AS overlap FROM c WHERE h NOT IN (SELECT h FROM c WHERE record_id % 4 = 0)""",
+    "j7_top_up": """WITH c AS (SELECT record_id, md5(coalesce(x, chr(1))) AS h FROM corpus), e AS (SELECT * FROM c WHERE record_id % 10 <> 0), r AS (SELECT record_id FROM c WHERE h NOT IN (SELECT h FROM e))
+        SELECT record_id, false AS topped_up FROM r
+        UNION ALL SELECT record_id, true FROM (SELECT record_id, row_number() OVER (ORDER BY md5(CAST(record_id AS VARCHAR) || ':42'), record_id) AS k FROM e) WHERE k <= 40 - (SELECT count(*) FROM r)""",
     "j12_j13_lookups": """WITH p AS (SELECT pred_id, voice, input_text, max(pred_id) OVER (PARTITION BY input_text) AS last_id FROM predictions WHERE input_text IS NOT NULL AND voice IS NOT NULL), g AS (SELECT voice, min(ssml) AS g FROM bdd_ssml GROUP BY voice)
         SELECT pred_id, last_id, md5(coalesce(a.g, b.g, input_text)) AS gold FROM p LEFT JOIN g a ON a.voice = p.voice LEFT JOIN g b ON b.voice = regexp_replace(p.voice, '_EP01$', '_EP02')""",
     "u1_u5_sets": """WITH a AS (SELECT voice FROM corpus WHERE voice IS NOT NULL), b AS (SELECT voice FROM training_raw WHERE voice IS NOT NULL) SELECT *, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'left' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)

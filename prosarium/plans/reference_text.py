@@ -278,6 +278,10 @@ _DOCS = "docs AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL
 #: White space of any kind, as str.split() has it.
 _WIDE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+_SHOWN = f"""regexp_replace(regexp_replace(predicted_ssml, '(<[^/][^>]*>)([^<]+)', '\\1' || chr(10) || '\\2' || chr(10), 'g'), '(</[^>]+>)', chr(10) || '\\1' || chr(10), 'g')"""
+for _name, _class in (("pitch", "pitch"), ("rate", "rate"), ("volume", "volume"), ("time", "break")):
+    _SHOWN = f"""regexp_replace({_SHOWN}, '({_name}="[^"]*")', '<span class="{_class}">\\1</span>', 'g')"""
+
 SQL = {
     "f7_composed": f"SELECT doc_id, md5({_SQ('lower(nfc_normalize(text))')}) AS f7 FROM documents",
     "f10_f11_f13_marks": f"""WITH {_DOCS} SELECT doc_id, md5(translate(t, ',;', '')) AS f10,
@@ -287,7 +291,7 @@ SQL = {
         CAST(greatest(len(regexp_extract_all(t, '[.!?]')), 1) AS INTEGER) AS marks FROM docs""",
     "f16_f17_escapes": rf"""WITH {_DOCS} SELECT doc_id, md5({_ESC(_G("t", r"[\x00-\x1F\x7F]"))}) AS f16,
         md5(CASE WHEN t LIKE '%,' OR t LIKE '%ß' THEN left(t, -1) || ', h' WHEN t LIKE '%!' THEN left(t, -1) || '! h' WHEN t LIKE '%?' THEN left(t, -1) || '? h' ELSE t END) AS f17 FROM docs""",
-    "f19_f21_names": r"""SELECT pred_id, array_to_string(list_concat([upper(string_split(model, '-')[1][1:1]) || lower(string_split(model, '-')[1][2:])], list_transform(string_split(model, '-')[2:], lambda x: upper(x))), ' ') AS label,
+    "f19_f21_names": r"""SELECT pred_id, upper(model[1:1]) || lower(model[2:]) AS label,
         CASE WHEN regexp_matches(voice, '^.+_EP[0-9]+$') THEN regexp_extract(voice, '^(.+)_EP[0-9]+$', 1) ELSE split_part(voice, '_', 1) END AS speaker, regexp_extract(voice, '_(EP[0-9]+)$', 1) AS episode FROM predictions""",
     "f22_f23_prompts": f"""SELECT pred_id, md5('Add the breaks.' || chr(10) || chr(10) || '### Input:' || chr(10) || input_text || chr(10) || chr(10) || '### Response:' || chr(10)) AS prompt,
         md5(trim(chr(10) || ' ' || input_text, ' ')) AS answer, md5(trim({_G("replace(input_text, ',', ' <break /> ')", r"[ \t\n\x0B\f\r]*<break[ \t\n\x0B\f\r]*/>[ \t\n\x0B\f\r]*", "<break/>")}, ' ')) AS tight FROM predictions WHERE input_text IS NOT NULL""",
@@ -329,7 +333,7 @@ SQL = {
     "x18_element_values": f"""WITH {_SEQS}, e AS (SELECT record_id, CAST(i - 1 AS INTEGER) AS i, s[i] AS e FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM seqs))
         SELECT record_id, i, CASE WHEN e.type = 'break' THEN TRY_CAST(nullif(regexp_extract(trim(e.time), '^([0-9]+)[ ]*(?:ms)?$', 1), '') AS INTEGER) END AS break_ms, {", ".join(f"CASE WHEN e.type = 'text' THEN TRY_CAST(regexp_replace(trim(e.p.{k}), '[ ]*%$', '') AS DOUBLE) END AS {k}" for k in ("pitch", "rate", "volume"))} FROM e""",
     "x29_x30_checks": f"""SELECT pred_id, regexp_matches({_G("predicted_ssml", '="[^"]*"', '="___"')}, '^<prosody pitch="___" rate="___" volume="___">.+</prosody>$') AS valid,
-        md5({_G(_ESC("predicted_ssml"), r"(&lt;/?(prosody|break)\b.*?&gt;)", r'<span class="\2">\1</span>')}) AS shown FROM predictions WHERE predicted_ssml IS NOT NULL""",
+        md5({_SHOWN}) AS shown FROM predictions WHERE predicted_ssml IS NOT NULL""",
     "x1_parsed": r"""WITH t AS (SELECT row_id, regexp_extract_all(ssml, '<prosody[^>]*>|</prosody>|<break[^>]*/?>|<[^>]+>|[^<]+') AS t FROM bdd_ssml WHERE ssml IS NOT NULL), u AS (SELECT row_id, k, t[k] AS x FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM t)),
         o AS (SELECT *, last_value(CASE WHEN starts_with(x, '<prosody') OR x = '</prosody>' THEN x END IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS tag FROM u),
         e AS (SELECT *, starts_with(x, '<break') AS b FROM o WHERE starts_with(x, '<break') OR (NOT starts_with(x, '<') AND starts_with(tag, '<prosody') AND trim(x) <> ''))

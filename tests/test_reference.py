@@ -85,7 +85,12 @@ def test_alignment_golden():
     assert align.word_edits("le chat dort bien".split(), "le chien dort".split()) == 2
     assert align.break_hits([1, 2, 3], [1.2, 2.9, 3.2, 5]) == 2
     assert align.best_similarity_pairs(np.array([[1.0, 0.2], [0.1, 0.9]])) == [(0, 0), (1, 1)]
-    assert align.merge_words(["bon", "jour", "x"], ["bonjour", "x"]) == [(0, 2, 0, 1), (2, 3, 1, 2)]
+    tier = lambda *words: [{"mark": w, "xmin": float(i), "xmax": i + 1.0} for i, w in enumerate(words)]
+    assert align.merge_tiers(tier("bon", "jour", "x"), tier("bonjour", "x")) == ([("bon jour", 0.0, 2.0), ("x", 2.0, 3.0)], [("bon jour", 0.0, 1.0), ("x", 1.0, 2.0)])
+    assert align.merge_tiers(tier("a", "b", "c"), tier("abc")) == ([("a b c", 0.0, 3.0)], [("a b c", 0.0, 1.0)])
+    assert align.merge_tiers(tier("", "bon", "jour"), tier("bonjour")) == ([(" ", 0.0, 1.0), ("bon jour", 1.0, 3.0)], [("bon jour", 0.0, 1.0)])
+    assert align.merge_tiers(tier("a"), tier("a", "b", "c")) == ([("a", 0.0, 1.0)], [("a", 0.0, 1.0), ("b", 1.0, 2.0), ("c", 2.0, 3.0)])
+    assert align.merge_tiers([], tier("a")) == ([], [("a", 0.0, 1.0)]) and align.merge_tiers([], []) == ([], [])
     assert align.greedy_text_pairs(["a b", "c"], ["c", "a b"]) == [(0, 1, 1.0), (1, 0, 1.0)]
     assert align.dtw_rmse(np.array([1.0, 2.0]), np.array([1.0, 1.0, 2.0])) == 0
 
@@ -122,6 +127,19 @@ def test_joins_on_time_by_brute_force(spark):
     assert got == {("f", 0.5): "1", ("f", 2.1): "b", ("f", 3.0): "2", ("f", None): "unknown", ("g", 1.0): "unknown"}
 
 
+def test_names_lines_and_tiers_golden(spark):
+    names = {"qwen2.5:7b": "Qwen2.5 (7B)", "qwen": "Qwen", "deepseek-r1:8b": "Deepseek-R1 (8B)", "deepseek-coder": "Deepseek-Coder", "granite3.1": "Granite3 .1", "MISTRAL": "Mistral", "llama3:8b": "Llama3:8b"}
+    df = spark.createDataFrame([(k,) for k in names], "m string")
+    assert {r[0]: r[1] for r in df.select("m", text.model_label(F.col("m"))).collect()} == names
+    shown = spark.createDataFrame([('<p rate="1%">a b</p><break time="5ms"/>',), (None,)], "s string").select(ssml.highlighted(F.col("s"))).collect()
+    assert [r[0] for r in shown] == ['<p <span class="rate">rate="1%"</span>>\na b\n\n</p>\n<break <span class="break">time="5ms"</span>/>', None]
+    ctm = spark.createDataFrame([("f", 0, 0.05, 0.5, "a"), ("f", 1, 0.6, 1.0, "b"), ("f", 2, 1.5, 2.0, "c")], "file string, i int, b double, e double, w string")
+    got = [tuple(r) for r in intervals.ctm_intervals(ctm, ["file"], "b", "e", "w", "i").orderBy("i", "sub").select("xmin", "xmax", "mark").collect()]
+    assert [(round(a, 3), round(b, 3), m) for a, b, m in got] == [(0.0, 0.45, "a"), (0.45, 0.85, "b"), (0.85, 1.35, ""), (1.35, 1.85, "c"), (1.85, 2.35, "")]
+    plain = [tuple(r) for r in intervals.ctm_intervals(ctm, ["file"], "b", "e", "w", "i", close=False).orderBy("i", "sub").select("mark").collect()]
+    assert [m for (m,) in plain] == ["", "a", "", "b", "", "c"]
+
+
 def test_text_nulls_and_blanks(spark):
     df = spark.createDataFrame([(None,), ("",), ("  ",), ("Où, DES idées ;[*] x",)], "t string")
     for f in (text.fold_word, text.loose, text.clean_transcript, text.word_count, text.sentence_count, text.xml_escape, text.breath_hint, text.plain if hasattr(text, "plain") else text.squeeze, text.composed):
