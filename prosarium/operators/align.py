@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alignment_token, loose
+from ..functions.text import alignment_token, loose, strip_all, without_punctuation
 from ..functions.vectorised import vectorised
+from .ranking import null_safe_join
 
 
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -313,6 +314,18 @@ def greedy_match(gold: DataFrame, pred: DataFrame, keys: list[str], order: str,
     return both.select(*keys, F.explode_outer(_greedy("__g", "__a")).alias("r")).where(F.col("r").isNotNull()).select(*keys, F.col("r.g").alias("gold_no"), F.col("r.p").alias("pred_no"), F.col("r.score").alias("score"))
 
 
+def paired_intervals(gold: DataFrame, pred: DataFrame, keys: list[str], order: str, begin: str, end: str, text: str) -> DataFrame:
+    """Groups of gold intervals with the errors of their pairs by J15: keys, gold (their number), errors, an array of
+    absolute errors start, end and dur, one for each pair. Groups without predicted intervals have no pair."""
+    held = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(strip_all(without_punctuation(F.col(text))), F.lit("")).alias("t"), F.col(begin).alias("b"), F.col(end).alias("e")))).alias(name))
+    both = _spread(null_safe_join(held(gold, "__g"), held(pred, "__p"), keys, "left"), keys)
+    texts = lambda c: F.coalesce(F.transform(c, lambda s: s["t"]), F.array().cast("array<string>"))
+    made = both.withColumn("__m", _greedy(texts("__g"), texts("__p")))
+    at = lambda m: (F.get("__g", m["g"]), F.get("__p", m["p"]))
+    error = lambda g, p: F.struct(F.abs(g["b"] - p["b"]).alias("start"), F.abs(g["e"] - p["e"]).alias("end"), F.abs(g["e"] - g["b"] - (p["e"] - p["b"])).alias("dur"))
+    return made.select(*keys, F.size("__g").alias("gold"), F.transform("__m", lambda m: error(*at(m))).alias("errors"))
+
+
 def break_hits(ref: list[float], sys: list[float], tol: float = 0.3) -> int:
     """Reference breaks that find an unused system break within `tol`, in order."""
     used: set[int] = set()

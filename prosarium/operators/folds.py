@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -190,16 +190,22 @@ def repair_overlaps(df: DataFrame, keys: list[str], begin: str, end: str, text:
 
 
 def gap_sessions(df: DataFrame, keys: list[str], begin: str, end: str, gap: float = 1.0, longest: float = 30.0) -> DataFrame:
-    """Sessions of intervals in order of begin; a new one starts after a gap of more than `gap` or when the current one
-    already lasts more than `longest`. keys, s_start, s_end. Folded in the JVM per group (an audio file's intervals)."""
+    """Sessions of intervals in order of begin (then end); a new one starts after a gap of more than `gap` or when the
+    current one already lasts more than `longest`. keys, s_start, s_end.
+
+    A gap parts sessions whatever came before it, so runs between gaps are cut out by a window first; only within a run the
+    rows are folded, in the JVM, and only the starts of its sessions are kept while folding."""
+    w = Window.partitionBy(*keys).orderBy(begin, end)
+    apart = F.coalesce(F.col(begin) - F.lag(end).over(w) > gap, F.lit(False)).cast("int")
+    runs = df.select(*keys, begin, end).withColumn("__apart", apart).withColumn("__run", F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = F.array_sort(F.collect_list(F.struct(F.col(begin).alias("b"), F.col(end).alias("e"))))
-    none = F.array().cast("array<struct<b:double,e:double>>")
-    start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("e"), none.alias("out"))
+    none = F.array().cast("array<struct<b:double,last:double>>")
 
     def step(s: Column, r: Column) -> Column:
-        new = s["b"].isNotNull() & ((r["b"] - s["e"] > gap) | (s["e"] - s["b"] > longest))
-        closed = F.when(new, F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("e"))))).otherwise(s["out"])
-        return F.struct(F.when(new | s["b"].isNull(), r["b"]).otherwise(s["b"]).alias("b"), r["e"].alias("e"), closed.alias("out"))
+        new = s["b"].isNull() | (s["e"] - s["b"] > longest)
+        closed = F.when(new & s["b"].isNotNull(), F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("last"))))).otherwise(s["out"])
+        return F.struct(F.when(new, r["b"]).otherwise(s["b"]).alias("b"), r["e"].alias("e"), closed.alias("out"))
 
-    done = F.aggregate(rows, start, step, lambda s: F.when(s["b"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("e"))))))
-    return df.groupBy(*keys).agg(done.alias("__a")).select(*keys, F.explode("__a").alias("r")).select(*keys, F.col("r.b").alias("s_start"), F.col("r.e").alias("s_end"))
+    start = F.struct(F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("e"), none.alias("out"))
+    done = F.aggregate(rows, start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("last")))))
+    return runs.groupBy(*keys, "__run").agg(done.alias("__a")).select(*keys, F.explode_outer("__a").alias("r")).select(*keys, F.col("r.b").alias("s_start"), F.col("r.last").alias("s_end"))

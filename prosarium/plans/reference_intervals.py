@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
-from ..operators import align, folds, intervals
+from ..operators import align, evaluation, folds, intervals
 from ..operators.periods import spoken
 from .tables import table
 
@@ -302,13 +302,36 @@ def g19_g20_interval_errors(spark, folder):
     return r.select("voice", "level", "part", *[F.round(c, 4).alias(c) for c in r.columns[3:]])
 
 
+def _sides(spark, folder):
+    """Natural chunks of each segment as gold, synthesized ones as predicted intervals, with the sentences of the latter."""
+    c = table(spark, folder, "bdd_syntagme_ssml").where(spoken(F.col("syntagme")))
+    usable = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < 600), F.col(c))
+    side = lambda kind: c.select(*KEYS, F.col("row_id").alias("o"), usable(f"begin_syntagme_{kind}").alias("b"), usable(f"end_syntagme_{kind}").alias("e"), F.col("syntagme").alias("t")).where("e > b")
+    gold, pred = side("natural"), side("synthesized")
+    sentences = folds.gap_sessions(pred, KEYS, "b", "e").withColumn("s_no", F.round(F.col("s_start") * 1000).cast("bigint"))
+    return gold, pred, sentences
+
+
+def g20_interval_levels(spark, folder):
+    """Errors on the levels of the whole segment, 15-second windows and sentences, summed up by level. No SQL: greedy pairs."""
+    gold, pred, sentences = _sides(spark, folder)
+    r = evaluation.level_summary(evaluation.interval_errors(gold, pred, KEYS, "o", "b", "e", "t", sentences=sentences), ["voice"])
+    return r.select("voice", "level", "parts", *[F.round(c, 6).alias(c) for c in r.columns[3:]])
+
+
+def g20_word_errors(spark, folder):
+    gold, pred, _ = _sides(spark, folder)
+    r = evaluation.word_errors(gold, pred, KEYS, "o", "b", "e", "t")
+    return r.select(*KEYS, "words", *[F.round(c, 6).alias(c) for c in r.columns[3:]])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         i1_words_and_pauses, i2_fill_silences, i3_segment_ids, i4_legacy_chunks, i5_chunks, i6_without_false_pauses, i7_sentence_pauses, i8_pause_after, i9_speech_runs, i10_break_events,
         i11_pause_table, i12_gap_sessions, i13_window_grid, i14_consecutive_runs, i16_ctm_intervals, i16_plain_intervals, i17_clamp_starts, i18_pause_classes, i19_forward_fill, i20_break_labels, i21_boundary_ends,
         j9_overlap_join, j11_asof_join, j14_best_words, j15_greedy_matches, j16_break_scores, a1_alignment_pairs, a2_a3_chunk_matches, a4_levenshtein, a5_merged_words, a6_repair_overlaps,
-        a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors,
+        a7_a8_text_scores, a9_contour_distance, a10_even_spans, w3_exponential_average, w4_limit_steps, g19_g20_interval_errors, g20_interval_levels, g20_word_errors,
     )
 }
 
