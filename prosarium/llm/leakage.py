@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -276,16 +276,14 @@ class Scanner:
         if not n or not it.index:
             return []
         start = np.cumsum(lengths) - lengths
-        look = it.vocabulary.get
-        codes = np.fromiter((look(w, 0) for d in docs for w in d), np.int32, n)
+        flat = list(chain.from_iterable(docs))
+        codes = np.array(list(map(it.vocabulary.get, flat, repeat(0))), np.int32)
         # Words of no item get a row of their own each, after the items' words.
         outside = np.flatnonzero(codes == 0)
-        flat = [w for d in docs for w in d] if len(outside) else []
-        extra: dict[str, int] = {}
+        unknown = [flat[i] for i in outside.tolist()]
+        extra = {w: k for k, w in enumerate(dict.fromkeys(unknown))}
         rows = codes.astype(np.int64)
-        base = len(it.vectors)
-        for i in outside.tolist():
-            rows[i] = base + extra.setdefault(flat[i], len(extra))
+        rows[outside] = len(it.vectors) + np.array(list(map(extra.__getitem__, unknown)), np.int64)
         if len(self.others) > 200_000:
             self.others = {}
         more = np.zeros((len(extra), 64), np.int16)
@@ -355,11 +353,20 @@ class Scanner:
                 at = (diagonal[part] - reach)[:, None] + np.arange(size)
                 inside = (at >= 0) & (at < lengths[doc[part]][:, None])
                 at = np.where(inside, at + start[doc[part]][:, None], len(codes))
-                pairs, single = _sums(weight[who[:, None], shingles[at]]), _sums(has_word[who[:, None], words[at]])
-                least = np.stack([it.least_weights[i] for i in items])[who]
-                for j, (k, e) in enumerate(stretches(n)):
+                lengths_of = stretches(n)
+                single = _sums(has_word[who[:, None], words[at]])
+                # What has too few words or shingles in all has too few in any part.
+                some = np.flatnonzero(single[:, -1] >= min(k - e for k, e in lengths_of))
+                pairs = _sums(weight[who[some][:, None], shingles[at[some]]])
+                least = np.stack([it.least_weights[i] for i in items])[who[some]]
+                enough = pairs[:, -1] >= least.min(axis=1)
+                some, pairs, least = some[enough], pairs[enough], least[enough]
+                if not len(some):
+                    continue
+                single = single[some]
+                for j, (k, e) in enumerate(lengths_of):
                     w = min(size, k + e)
-                    out[part] |= (_densest(pairs, w) >= least[:, j]) & (_densest(single, w) >= k - e)
+                    out[part[some]] |= (_densest(pairs, w) >= least[:, j]) & (_densest(single, w) >= k - e)
         return out
 
     def _spans(self, size: int, i: int, diagonals: list[int]) -> list[tuple[int, int]]:
