@@ -236,9 +236,12 @@ def g24_merged_maps(spark, folder):
 
 
 def p10_p11_filters(spark, folder):
-    s = _seqs(spark, folder)
-    w = (text.word_count(ssml.plain_of(F.col("s"))) + text.word_count(ssml.with_breaks_of(F.col("s")))) * 1.3
-    return s.select("record_id", (w < 200 * 0.8).alias("short"), F.exists("s", lambda e: F.coalesce(e["type"] == "break", F.lit(False))).alias("has_break"))
+    """Types and texts are trimmed and words counted as in the SQL; the reference's split() would part words at no-break spaces, too."""
+    trimmed = lambda e: F.struct(text.trim_spaces(e["type"]).alias("type"), text.trim_spaces(e["text"]).alias("text"))
+    s = _seqs(spark, folder).select("record_id", F.transform("s", trimmed).alias("s"))
+    s = s.select("record_id", ssml.plain_of(F.col("s")).alias("x"), ssml.with_breaks_of(F.col("s")).alias("y"), F.exists("s", lambda e: F.coalesce(e["type"] == "break", F.lit(False))).alias("has_break"))
+    w = (text.ascii_word_count(F.col("x")) + text.ascii_word_count(F.col("y"))) * 1.3
+    return s.select("record_id", (w < 200 * 0.8).alias("short"), "has_break")
 
 
 QUERIES = {
